@@ -7,11 +7,12 @@ A fingerprint is a polynomial in a fixed odd 64-bit base, modulo 2**64, followed
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1 << 20
 WS = np.zeros(256, dtype=bool)
@@ -24,9 +25,17 @@ U64 = np.uint64
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that no lineage is left."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that no lineage is left.
+
+    The table is compressed and columnar, other than what ``checkpoint()`` writes; it goes when the session ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -36,6 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table marked for broadcast if it has at most ``rows`` rows; beyond that, joins with it shuffle.
+
+    ``df`` must be cheap to count, such as a table that ``cut`` wrote.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

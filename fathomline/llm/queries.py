@@ -21,7 +21,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

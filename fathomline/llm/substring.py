@@ -6,15 +6,18 @@ fingerprint of what it stands for, so all tasks give equal content equal names w
 the rounds keep the words that decided it: its own and those of the neighbours that the decision looked at. A symbol
 whose deciding words lie in a window appears in the same place of every other occurrence of that window.
 
-A window of ``length`` words is stood for by the first of the highest symbols it decides (every word decides itself, so
-there is one). Spark then compares: a symbol whose name occurs in one text only clears all windows it stands for. For a
-shared name, occurrences whose whole stretch of windows is equal form a class, and all but the class's smallest text
-repeat an earlier one. Only where classes of a name differ are the single windows compared, one occurrence a class.
-Equality is verified by fingerprints of words of the stretch or window together with the name, 128 bits in all.
+A last round names each symbol together with both its neighbours, so that a short phrase in common is no shared name.
+A window of ``length`` words is stood for by one of the symbols of the highest level that it decides: that whose name
+hashes lowest, then the first. Neighbouring windows mostly agree, so about one symbol in fifteen words stands for all;
+the few windows that decide no symbol of the two highest levels stand for themselves. Spark then compares: a symbol
+whose name occurs in one text only clears all windows it stands for. For a shared name, occurrences whose whole stretch
+of windows is equal form a class, and all but the class's smallest text repeat an earlier one. Only where classes of a
+name differ are the single windows compared, one occurrence a class. Equality is verified by fingerprints of words of
+the stretch or window besides the name, 96 bits in all.
 
 Scale: rows shuffled are one for each standing symbol, a fraction of the words; grouping combines before shuffling, so
 a passage in a third of all texts comes down to one row a task. Texts are shuffled by doc_id, never gathered by
-content. Only removed ranges come back to a text, and they are bounded by its length.
+content, and not even that where the ranges that come back to them are few enough to be broadcast (``SMALL``).
 
 Cases: a null text has no words; a text shorter than ``length`` words loses nothing; a window repeated within one text
 alone stays; rows that share a doc_id are each judged against smaller doc_ids, not against each other; an empty table
@@ -30,10 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import BASE2, U64, chunks, cut, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import BASE2, U64, chunks, cut, if_small, mix, owner, spans_hash, word_hashes, words
 
 LENGTH = 50
-ROUNDS = ("run", *("pair",) * 8)
+ROUNDS = (*("pair",) * 3, "run", "triple")
+#: Levels, from the highest down, whose symbols stand for windows; windows that decide none of them stand alone.
+STANDING = 2
+#: Texts with ranges (a few numbers each) up to which these are broadcast to the texts; beyond, texts are shuffled.
+SMALL = 1_000_000
+#: Bits of a text's checksum that tell apart rows of one doc_id, and of the number of windows in a range.
+TAG_BITS, SPAN_BITS = 25, 7
 
 
 def shorten(kind: str, level: int, name, start, left, right, text):
@@ -57,6 +66,11 @@ def shorten(kind: str, level: int, name, start, left, right, text):
         inside = (after < n) & (text[np.minimum(after, n - 1)] == text[heads])
         hi = np.where(inside, np.maximum(hi, right[np.minimum(after, n - 1)]), far)
         return named, start[heads], lo, hi, text[heads]
+    if kind == "triple":
+        # names of a symbol with both its neighbours: longer content, as many symbols
+        mid = np.flatnonzero(same_text[:-1] & same_text[1:]) + 1 if n > 2 else np.zeros(0, np.int64)
+        named = mix(mix(name[mid - 1] * U64(0x9FB21C651E98DF25) + name[mid]) + name[mid + 1] * U64(0xD6E8FEB86659FD93))
+        return named, start[mid], left[mid - 1], right[mid + 1], text[mid]
     coin = (mix(name + U64(level * 0x9E3779B9)) >> U64(63)).astype(bool)
     pair = same_text & ~coin[:-1] & coin[1:]
     joined[:-1] = pair
@@ -95,37 +109,61 @@ def standing(hashes: np.ndarray, first: np.ndarray, length: int):
         state = shorten(kind, level, *state)
         levels.append(state)
     found = []
-    for level in range(len(levels) - 1, -1, -1):
+    for level in range(len(levels) - 1, max(-1, len(ROUNDS) - STANDING), -1):
         name, _, left, right, own = levels[level]
         begin, end = first[own], first[own + 1]
-        short = right - left <= length
-        use = short & (left >= begin) & (right <= end)
-        name, left, right, begin, end = name[use], left[use], right[use], begin[use], end[use]
-        if not len(name):
+        use = (right - left <= length) & (left >= begin) & (right <= end)
+        name, left, right, begin, end, own = name[use], left[use], right[use], begin[use], end[use], own[use]
+        if not len(name) or not open_windows.any():
             continue
-        # of the symbols a window decides, the first stands for it: not one whose predecessor it decides as well
+        rank = mix(name ^ U64(0x5851F42D4C957F2D))
+        low = np.maximum(right - length, begin)
         high = np.minimum(left, end - length)
-        previous = np.concatenate([[-1], np.where(begin[1:] == begin[:-1], left[:-1], -1)])
-        low = np.maximum(np.maximum(right - length, begin), previous + 1)
+        # windows that also decide a symbol of lower rank, or an earlier one of the same, are that one's
+        gap = 1
+        while gap < len(name):
+            here, there = slice(gap, None), slice(None, -gap)
+            near = (own[here] == own[there]) & (left[there] >= low[here])
+            after = (own[here] == own[there]) & (right[here] - length <= high[there])
+            if not (near.any() or after.any()):
+                break
+            np.maximum(low[here], left[there] + 1, out=low[here], where=near & (rank[there] <= rank[here]))
+            np.minimum(high[there], right[here] - length - 1, out=high[there], where=after & (rank[here] < rank[there]))
+            gap += 1
         free = np.concatenate([[0], np.cumsum(open_windows)])
         ok = low <= high
         low, high, name = low[ok], high[ok], name[ok]
         some = free[high + 1] > free[low]
         low, high, name = low[some], high[some], name[some]
-        # windows already stood for at the ends are left out; what lies between stays and is judged again
         found.append((name + U64(level), low, high))
         marks = np.bincount(low, minlength=n + 1) - np.bincount(high + 1, minlength=n + 1)
         open_windows &= np.cumsum(marks)[:n] == 0
+    alone = np.flatnonzero(open_windows)
+    if len(alone):
+        found.append((spans_hash(hashes, alone, alone + length) + U64(len(ROUNDS) + 1), alone, alone))
     if not found:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), text
     return (*(np.concatenate(x) for x in zip(*found, strict=True)), text)
 
 
+def packed(low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A range of windows of a row as one number: first window, number of windows after it, tag."""
+    return low << (TAG_BITS + SPAN_BITS) | (high - low) << TAG_BITS | tag
+
+
+def unpacked(place="place"):
+    """Columns tag, low and high of a packed range."""
+    p = F.col(place)
+    low = F.shiftright(p, TAG_BITS + SPAN_BITS)
+    return p.bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), low.alias("low"), (low + F.shiftright(p, TAG_BITS).bitwiseAND(F.lit((1 << SPAN_BITS) - 1))).alias("high")
+
+
 def symbols(docs: DataFrame, length: int) -> DataFrame:
     """A row for each standing symbol: its name, a fingerprint of its stretch of windows, and where that lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tags = batch.column(1).to_numpy()
             for a, b, data, offsets in chunks(batch.column(2)):
                 starts, ends, first = words(data, offsets)
                 hashes = word_hashes(data, starts, ends)
@@ -133,82 +171,105 @@ def symbols(docs: DataFrame, length: int) -> DataFrame:
                 if not len(name):
                     continue
                 own, whole = text[low], spans_hash(hashes, low, high + length, BASE2)
-                keys = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].take(keys), batch.column(1)[a:b].take(keys), pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((low - first[own]).astype(np.int32)), pa.array((high - first[own]).astype(np.int32))],
-                    names=["doc_id", "tag", "name", "whole", "low", "high"],
+                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(name.view(np.int64)), pa.array((whole >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(packed(low - first[own], high - first[own], tags[a:b][own]))],
+                    names=["doc_id", "name", "whole", "place"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, tag long, name long, whole long, low int, high int")
+    return docs.mapInArrow(run, "doc_id long, name long, whole int, place long")
+
+
+def windows_of(ranges: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words (counted over all texts) of the distinct windows in each text's list of ranges, and their text."""
+    own = np.repeat(np.arange(len(ranges)), np.diff(ranges.offsets.to_numpy()))
+    low, high = (ranges.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    n = int(first[-1]) + 1
+    marks = np.bincount(low + first[own], minlength=n + 1) - np.bincount(high + 1 + first[own], minlength=n + 1)
+    at = np.flatnonzero(np.cumsum(marks)[: n - 1] > 0)
+    return at, np.searchsorted(first, at, side="right") - 1
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """(doc_id, tag, ranges) of ranges (doc_id, tag, low, high); those that touch become one. Written, so as to be counted."""
+    rows = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            own = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            low, high = (column.flatten().field(k).to_numpy() for k in (0, 1))
+            order = np.lexsort((low, own))
+            own, low, high = own[order], low[order], high[order]
+            if not len(own):
+                continue
+            # the furthest end so far, within each text
+            base = own * (np.int64(1) << 36)
+            reach = np.maximum.accumulate(high + base)
+            fresh = np.concatenate([[True], low[1:] + base[1:] > reach[:-1] + 1])
+            head = np.flatnonzero(fresh)
+            tail = np.concatenate([head[1:], [len(own)]]) - 1
+            first = np.concatenate([[0], np.cumsum(np.bincount(own[head], minlength=len(column)))])
+            spans = pa.StructArray.from_arrays([pa.array(low[head]), pa.array(reach[tail] - base[tail])], names=["low", "high"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), spans)], names=["doc_id", "tag", "ranges"])
+
+    return cut(rows.mapInArrow(run, "doc_id long, tag long, ranges array<struct<low:long,high:long>>"))
 
 
 def window_prints(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     """Fingerprints of the single windows in ``ranges`` (doc_id, tag, ranges) of the texts."""
-    rows = docs.join(ranges, ["doc_id", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tags = batch.column(1).to_numpy()
             for a, b, data, offsets in chunks(batch.column(2)):
                 starts, ends, first = words(data, offsets)
                 hashes = word_hashes(data, starts, ends)
                 at, own = windows_of(batch.column(3)[a:b], first)
-                keys = pa.array(own)
                 one, two = spans_hash(hashes, at, at + length), spans_hash(hashes, at, at + length, BASE2)
+                spot = at - first[own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].take(keys), batch.column(1)[a:b].take(keys), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array((at - first[own]).astype(np.int32))],
-                    names=["doc_id", "tag", "one", "two", "at"],
+                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(one.view(np.int64)), pa.array((two >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(packed(spot, spot, tags[a:b][own]))],
+                    names=["doc_id", "one", "two", "place"],
                 )
 
-    return rows.select("doc_id", "tag", "text", "ranges").mapInArrow(run, "doc_id long, tag long, one long, two long, at int")
-
-
-def windows_of(ranges: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words (counted over all texts) of the distinct windows in each text's list of ranges, and their text."""
-    own = np.repeat(np.arange(len(ranges)), np.diff(ranges.offsets.to_numpy()))
-    low, high = (ranges.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
-    n = int(first[-1]) + 1
-    marks = np.bincount(low + first[own], minlength=n + 1) - np.bincount(high + 1 + first[own], minlength=n + 1)
-    at = np.flatnonzero(np.cumsum(marks)[: n - 1] > 0)
-    return at, np.searchsorted(first, at, side="right") - 1
+    rows = docs.join(if_small(ranges, SMALL), ["doc_id", "tag"])
+    return rows.select("doc_id", "tag", "text", "ranges").mapInArrow(run, "doc_id long, one long, two int, place long")
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag and the ranges of windows (by first word) that also start in a smaller doc_id's text."""
+def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, tag, ranges) of windows, by first word, that also start in a smaller doc_id's text."""
     found = cut(symbols(docs, length))
-    names = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("whole") == F.max("whole")).alias("alike"))
-    shared = cut(found.join(names.filter("least < most").select("name", "alike"), "name"))
+    names = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = cut(found.join(names.filter("least < most").select("name"), "name"))
     classes = shared.groupBy("name", "whole").agg(F.min("doc_id").alias("least"))
-    judged = shared.join(classes, ["name", "whole"])
-    place = F.struct("low", "high")
-    edges = judged.filter((F.col("doc_id") == F.col("least")) & ~F.col("alike"))
-    edges = edges.groupBy("doc_id", "tag").agg(F.collect_set(place).alias("ranges"))
-    prints = cut(window_prints(docs, edges, length))
+    alone = classes.groupBy("name").agg((F.count("*") == 1).alias("alone"))
+    judged = shared.join(classes.join(alone, "name"), ["name", "whole"])
+    judged = cut(judged.filter((F.col("doc_id") > F.col("least")) | ~F.col("alone")).select("doc_id", *unpacked(), (F.col("doc_id") > F.col("least")).alias("later")))
+    prints = cut(window_prints(docs, merged(judged.filter("NOT later")), length))
     firsts = prints.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    single = prints.join(firsts, ["one", "two"]).filter("doc_id > least").select("doc_id", "tag", F.col("at").alias("low"), F.col("at").alias("high"))
-    whole = judged.filter(F.col("doc_id") > F.col("least")).select("doc_id", "tag", "low", "high")
-    return whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_set(place).alias("ranges"))
+    single = prints.join(firsts, ["one", "two"]).filter("doc_id > least").select("doc_id", *unpacked())
+    return merged(judged.filter("later").drop("later").unionByName(single))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) of every row of ``docs``."""
-    tagged = docs.select(F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), "text")
-    rows = tagged.join(repeated_ranges(tagged, length), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space; null unless ``texts``)."""
+    tag = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    tagged = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), "text")
+    rows = tagged.join(if_small(repeated_ranges(tagged, length), SMALL), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, left = [], [], []
+            n, gone, digest, left = [], [], [], []
             for text, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 parts = (text.as_py() or b"").split()
                 n.append(len(parts))
-                if ranges.is_valid:
-                    mark = np.zeros(len(parts) + 1, np.int64)
-                    for r in ranges.as_py():
-                        mark[r["low"]] += 1
-                        mark[r["high"] + length] -= 1
-                    parts = [w for w, m in zip(parts, np.cumsum(mark).tolist(), strict=False) if not m]
+                for r in reversed(ranges.as_py() or []):  # in order and apart, but their words may touch
+                    parts[r["low"] : r["high"] + length] = [None] * (min(r["high"] + length, n[-1]) - r["low"])
+                parts = [w for w in parts if w is not None]
                 gone.append(n[-1] - len(parts))
-                left.append(b" ".join(parts))
-            digests = [hashlib.sha256(x).hexdigest() for x in left]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests), pa.array([x.decode() for x in left])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                rest = b" ".join(parts)
+                digest.append(hashlib.sha256(rest).hexdigest())
+                left.append(rest.decode() if texts else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
