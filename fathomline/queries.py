@@ -1,4 +1,516 @@
-"""All queries of the library by name, with the SQL each must agree with."""
+"""All queries of the library by name, with the SQL each must agree with.
 
-QUERIES: dict = {}
+Queries of the graph language are text over the graph of ``plans.fixture``; the others are plans by the DataFrame API.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from fathomline.functions import clean, extract, fuzzy
+from fathomline.functions.chunk import word_windows
+from fathomline.operators import evaluate, match, post, retrieve, upsert
+from fathomline.plans.fixture import FundGraph
+from fathomline.plans.language.compile import Compiler
+from fathomline.plans.language.parse import parse
+from fathomline.plans.rules import rewrite
+from fathomline.sources.tables import table
+from fathomline.streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def graph_query(name: str, text: str, sql: str, casts: dict[str, str] | None = None, rewrites: bool = False, **params) -> None:
+    """Registers a query of the graph language; ``casts`` fixes column types that engines count differently."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph, tree = FundGraph(spark, sf_dir).graph(), parse(text)
+        if rewrites:
+            tree, _ = rewrite(tree, params=params)
+        df = Compiler(graph, dict(params)).run(tree)
+        return df.withColumns({c: F.col(c).cast(t) for c, t in (casts or {}).items()})
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+def frame_query(sql: str | None = None):
+    """Registers a function (t: name -> table) as a query."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+HIGHLIGHT = "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, round_even(sum(o_totalprice), 2) AS net, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2"
+
+# scans, predicates, projections
+
+graph_query(
+    "fund_overview",
+    "MATCH (p:Provider)-[:MANAGES]->(t:Trust)-[:ISSUES]->(f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1997 RETURN f.ticker AS ticker, f.name AS fund, t.name AS trust, p.name AS provider, r.year AS year, h.numberHoldings AS holdings",
+    f"WITH h AS ({HIGHLIGHT}) SELECT c_custkey AS ticker, c_name AS fund, n_name AS trust, r_name AS provider, h.year, h.n AS holdings FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN h ON h.o_custkey = c_custkey AND h.year = 1997",
+    {"year": "int"},
+)
+graph_query("label_scan", "MATCH (n:Company) RETURN n.ticker AS ticker, n.name AS name", "SELECT s_suppkey AS ticker, s_name AS name FROM supplier")
+graph_query("inline_eq", "MATCH (f:Fund {shareClass: 'BUILDING'}) RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE c_mktsegment = 'BUILDING'")
+graph_query("in_list", "MATCH (f:Fund) WHERE f.shareClass IN ['BUILDING', 'MACHINERY'] AND f.balance >= 100 RETURN f.ticker AS ticker, f.shareClass AS cls", "SELECT c_custkey AS ticker, c_mktsegment AS cls FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 100")
+graph_query("contains_ci", "MATCH (h:Holding) WHERE toLower(h.category) CONTAINS 'omo' RETURN h.nodeId AS id", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_type), 'omo')")
+graph_query("starts_ends", "MATCH (h:Holding) WHERE h.category STARTS WITH 'S' OR h.category ENDS WITH 'R' RETURN h.nodeId AS id", "SELECT p_partkey AS id FROM part WHERE starts_with(p_type, 'S') OR ends_with(p_type, 'R')")
+graph_query("null_guard_sort", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1995 WITH f, h WHERE h.netAssets IS NOT NULL RETURN f.ticker AS ticker, h.netAssets AS net ORDER BY net DESC, ticker LIMIT 20", f"WITH h AS ({HIGHLIGHT}) SELECT o_custkey AS ticker, net FROM h WHERE year = 1995 AND net IS NOT NULL ORDER BY net DESC, ticker LIMIT 20")
+graph_query("nulls_largest", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1996 RETURN f.ticker AS ticker, h.netAssets AS net ORDER BY net DESC, ticker LIMIT 30", f"WITH h AS ({HIGHLIGHT}) SELECT c_custkey AS ticker, net FROM customer LEFT JOIN h ON o_custkey = c_custkey AND year = 1996 ORDER BY net DESC NULLS FIRST, ticker LIMIT 30")
+graph_query("exists_semi", "MATCH (f:Fund) WHERE EXISTS { MATCH (f)-[:HAS_PORTFOLIO]->(p:Portfolio) WHERE p.status = 'P' } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+graph_query("not_exists_anti", "MATCH (f:Fund) WHERE NOT EXISTS { MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1998 } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998)")
+graph_query("pattern_predicate", "MATCH (c:Company) WHERE NOT (c)<-[:REPRESENTS]-(:Holding {size: 7}) RETURN c.ticker AS ticker", "SELECT s_suppkey AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)")
+graph_query("multi_label", "MATCH (s:Section:RiskFactor) WHERE size(s.text) > 200 RETURN s.id AS id, s.sectionType AS source", "SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE lang = 'en' AND length(text) > 200")
+graph_query("label_predicate", "MATCH (s:Section) WHERE 'Strategy' IN labels(s) RETURN s.title AS lang, count(*) AS n", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' OR lang IS NULL GROUP BY lang", {"n": "long"})
+graph_query("case_div_guard", "MATCH (h:Holding) RETURN h.nodeId AS id, CASE WHEN h.size > 0 THEN h.price / h.size ELSE null END AS unit, CASE WHEN h.size > 25 THEN 'large' WHEN h.size > 10 THEN 'middle' ELSE 'small' END AS band", "SELECT p_partkey AS id, CASE WHEN p_size > 0 THEN p_retailprice / p_size END AS unit, CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END AS band FROM part")
+graph_query("coalesce_parent", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1994 RETURN f.ticker AS ticker, coalesce(h.numberHoldings, 0) AS n", f"WITH h AS ({HIGHLIGHT}) SELECT c_custkey AS ticker, coalesce(n, 0) AS n FROM customer LEFT JOIN h ON o_custkey = c_custkey AND year = 1994", {"n": "long"})
+graph_query("date_parts", "MATCH (p:Portfolio) WHERE date(p.date).year = 1996 AND p.date >= date('1996-06-01') RETURN p.seriesId AS id, date(p.date).month AS month", "SELECT o_orderkey AS id, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders WHERE year(o_orderdate) = 1996 AND o_orderdate >= DATE '1996-06-01'", {"month": "int"})
+graph_query("params", "MATCH (f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio) WHERE f.shareClass = $cls AND p.total > $least RETURN f.ticker AS ticker, p.seriesId AS id", "SELECT c_custkey AS ticker, o_orderkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE' AND o_totalprice > 200000", cls="AUTOMOBILE", least=200000)
+graph_query("structured_filter", "MATCH (f:Fund)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE h.netAssets >= 300000 AND h.numberHoldings <= 4 RETURN f.ticker AS ticker, r.year AS year, h.netAssets AS net ORDER BY net DESC, ticker, year LIMIT 10", f"WITH h AS ({HIGHLIGHT}) SELECT o_custkey AS ticker, year, net FROM h WHERE net >= 300000 AND n <= 4 ORDER BY net DESC, ticker, year LIMIT 10", {"year": "int"})
+
+# traversals
+
+graph_query("multi_hop_join", "MATCH (f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio)-[w:HAS_HOLDING]->(h:Holding)-[:OF_CATEGORY]->(a:AssetCategory) WHERE h.size = 7 RETURN f.ticker AS ticker, p.seriesId AS portfolio, h.nodeId AS holding, a.code AS category, w.shares AS shares", "SELECT o_custkey AS ticker, o_orderkey AS portfolio, p_partkey AS holding, p_type AS category, l_quantity AS shares FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 7")
+graph_query("incoming_hop", "MATCH (t:Trust)<-[:MANAGES]-(p:Provider) RETURN t.name AS trust, p.name AS provider", "SELECT n_name AS trust, r_name AS provider FROM nation JOIN region ON n_regionkey = r_regionkey")
+graph_query("undirected_hop", "MATCH (t:Trust)-[:MANAGES]-(p:Provider {name: 'ASIA'}) RETURN t.name AS trust", "SELECT n_name AS trust FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+graph_query("edge_types", "MATCH (f:Fund)-[r:HAS_PORTFOLIO|HAS_SHARE_CLASS]->(x) RETURN type(r) AS kind, count(*) AS n", "SELECT 'HAS_PORTFOLIO' AS kind, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'HAS_SHARE_CLASS', count(*) FROM customer", {"n": "long"})
+graph_query("untyped_hop", "MATCH (f:Fund {shareClass: 'FURNITURE'})-[r]->(x) RETURN type(r) AS kind, count(*) AS n", "WITH f AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE') SELECT 'HAS_PORTFOLIO' AS kind, count(*) AS n FROM orders JOIN f ON o_custkey = c_custkey UNION ALL SELECT 'HAS_SHARE_CLASS', count(*) FROM f UNION ALL SELECT 'HAS_FINANCIAL_HIGHLIGHT', count(*) FROM (SELECT DISTINCT o_custkey, year(o_orderdate) FROM orders JOIN f ON o_custkey = c_custkey)", {"n": "long"})
+graph_query("cross_domain", "MATCH (pr:Provider)-[:MANAGES]->(t:Trust)-[:ISSUES]->(f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio)-[w:HAS_HOLDING]->(h:Holding)-[:REPRESENTS]->(c:Company) WHERE h.size < 3 RETURN pr.name AS provider, count(DISTINCT c) AS companies, sum(w.shares) AS shares", "WITH rep AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT r_name AS provider, count(DISTINCT rep.l_suppkey) AS companies, sum(l.l_quantity) AS shares FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN part ON p_partkey = l.l_partkey JOIN rep ON rep.l_partkey = p_partkey JOIN supplier ON s_suppkey = rep.l_suppkey WHERE p_size < 3 GROUP BY 1", {"companies": "long"})
+graph_query("same_edge_once", "MATCH (a:Fund)-[:HAS_SHARE_CLASS]->(s:ShareClass)<-[:HAS_SHARE_CLASS]-(b:Fund) WHERE a.ticker < 20 AND b.ticker < 20 RETURN a.ticker AS a, b.ticker AS b", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey WHERE a.c_custkey < 20 AND b.c_custkey < 20")
+graph_query("optional_pattern", "MATCH (t:Trust) OPTIONAL MATCH (t)-[:ISSUES]->(f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio) WHERE p.total > 440000 RETURN t.name AS trust, f.ticker AS ticker, p.seriesId AS portfolio", "WITH m AS (SELECT c_nationkey, c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 440000) SELECT n_name AS trust, c_custkey AS ticker, o_orderkey AS portfolio FROM nation LEFT JOIN m ON c_nationkey = n_nationkey")
+
+# aggregates, sets, order
+
+graph_query("provider_funds", "MATCH (p:Provider)-[:MANAGES]->(t:Trust) OPTIONAL MATCH (t)-[:ISSUES]->(f:Fund) RETURN p.name AS provider, count(DISTINCT t) AS trusts, count(DISTINCT f) AS funds", "SELECT r_name AS provider, count(DISTINCT n_nationkey) AS trusts, count(DISTINCT c_custkey) AS funds FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", {"trusts": "long", "funds": "long"})
+graph_query("collect_tickers", "MATCH (s:ShareClass)<-[:HAS_SHARE_CLASS]-(f:Fund) WHERE f.ticker < 100 RETURN s.name AS cls, collect(DISTINCT f.ticker) AS tickers", "SELECT c_mktsegment AS cls, list_sort(list(DISTINCT c_custkey)) AS tickers FROM customer WHERE c_custkey < 100 GROUP BY 1")
+graph_query("agg_measures", "MATCH (p:Portfolio)-[w:HAS_HOLDING]->(h:Holding) RETURN h.sector AS sector, count(*) AS n, min(w.shares) AS least, max(w.shares) AS most, sum(w.shares) AS total, avg(w.shares) AS mean", "SELECT p_brand AS sector, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, sum(l_quantity) AS total, avg(l_quantity) AS mean FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1", {"n": "long"})
+graph_query("with_having", "MATCH (f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio) WITH f, count(p) AS n WHERE n > 15 RETURN f.ticker AS ticker, f.name AS name, n AS portfolios", "SELECT c_custkey AS ticker, c_name AS name, count(*) AS portfolios FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(*) > 15", {"portfolios": "long"})
+graph_query("list_average", "MATCH (h:Holding) WHERE h.size < 5 RETURN h.nodeId AS id, avg([h.size, h.price]) AS mean", "SELECT p_partkey AS id, (p_size + p_retailprice) / 2 AS mean FROM part WHERE p_size < 5")
+graph_query("distinct_return", "MATCH (f:Fund)-[:HAS_PORTFOLIO]->(p:Portfolio) RETURN DISTINCT f.shareClass AS cls, p.status AS status", "SELECT DISTINCT c_mktsegment AS cls, o_orderstatus AS status FROM customer JOIN orders ON o_custkey = c_custkey")
+graph_query("top_holdings", "MATCH (p:Portfolio)-[w:HAS_HOLDING]->(h:Holding) RETURN p.seriesId AS portfolio, h.nodeId AS holding, w.marketValue AS value ORDER BY value DESC, portfolio, holding LIMIT 10", "SELECT o_orderkey AS portfolio, p_partkey AS holding, l_extendedprice AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey ORDER BY value DESC, portfolio, holding LIMIT 10")
+graph_query("skip_limit", "MATCH (f:Fund) RETURN f.ticker AS ticker, f.balance AS balance ORDER BY balance, ticker SKIP 40 LIMIT 25", "SELECT c_custkey AS ticker, c_acctbal AS balance FROM customer ORDER BY balance, ticker LIMIT 25 OFFSET 40")
+graph_query("union_distinct", "MATCH (t:Trust) RETURN t.name AS name UNION MATCH (p:Provider) RETURN p.name AS name", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+graph_query("unwind_in", "UNWIND ['BUILDING', 'HOUSEHOLD', 'NONE'] AS cls MATCH (f:Fund) WHERE f.shareClass = cls RETURN cls AS cls, count(f) AS n", "SELECT c_mktsegment AS cls, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') GROUP BY 1", {"n": "long"})
+graph_query("rewritten_direction", "MATCH (f:Fund)<-[:HAS_PORTFOLIO]-(p:Portfolio) WHERE toFloat(p.total) > 350000 RETURN f.ticker AS ticker, p.seriesId AS id", "SELECT c_custkey AS ticker, o_orderkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 350000", rewrites=True)
+graph_query("rewritten_provider", "MATCH (f:Fund {ticker: 7}) RETURN f.name AS name", "SELECT c_name AS name, r_name AS provider, n_name AS trust FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey = 7", rewrites=True)
+graph_query("rewritten_distinct", "MATCH (t:Trust)-[:ISSUES]->(f:Fund)-[:HAS_SHARE_CLASS]->(s:ShareClass) RETURN t.name AS trust, s.name AS cls", "SELECT DISTINCT n_name AS trust, c_mktsegment AS cls FROM customer JOIN nation ON c_nationkey = n_nationkey", rewrites=True)
+
+
+@frame_query("SELECT 'customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders")
+def label_counts(t):
+    parts = [t(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("label"), "n") for n in ("customer", "supplier", "part", "orders")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# windows
+
+
+@frame_query("WITH y AS (SELECT o_custkey AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY 1, 2), g AS (SELECT ticker, year, round_even((v / lag(v) OVER (PARTITION BY ticker ORDER BY year) - 1) * 100, 2) AS pct FROM y) SELECT * FROM g WHERE pct IS NOT NULL")
+def annual_returns(t):
+    by = Window.partitionBy("ticker").orderBy("year")
+    last = F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("v")
+    y = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year")).agg(last)
+    return y.select("ticker", "year", F.bround((F.col("v") / F.lag("v").over(by) - 1) * 100, 2).alias("pct")).filter("pct IS NOT NULL")
+
+
+@frame_query("SELECT o_custkey AS ticker, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
+def latest_per_key(t):
+    return t("orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+
+
+@frame_query("SELECT text_key, doc_id FROM (SELECT md5(text) AS text_key, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def first_per_key(t):
+    return t("documents").groupBy(F.md5("text").alias("text_key")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@frame_query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n <= 5 AND l_extendedprice >= top - 5000 AND top >= 30000")
+def topk_band(t):
+    by = Window.partitionBy("l_orderkey")
+    rows = t("lineitem").withColumn("top", F.max("l_extendedprice").over(by)).withColumn("n", F.row_number().over(by.orderBy(F.desc("l_extendedprice"), "l_linenumber")))
+    return rows.filter("n <= 5 AND l_extendedprice >= top - 5000 AND top >= 30000").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@frame_query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def last_n_messages(t):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return t("conversations").withColumn("n", n).filter("n <= 3").select("conv_id", "turn", "role")
+
+
+@frame_query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, avg(length(text)) AS mean_length FROM conversations GROUP BY 1")
+def session_stats(t):
+    return t("conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"), F.avg(F.length("text")).alias("mean_length"))
+
+
+CHUNKS = "SELECT doc_id, CAST(s / 48 AS INTEGER) AS chunk_index, md5(array_to_string(list_slice(w, CAST(s AS INTEGER) + 1, CAST(s AS INTEGER) + 64), ' ')) AS digest FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 64) / 48.0) AS BIGINT)) * 48, 48)) AS s FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents))"
+
+
+@frame_query(CHUNKS)
+def chunk_windows(t):
+    rows = word_windows(t("documents").select("doc_id", "text"), "text", 64, 48)
+    return rows.select("doc_id", F.col("chunkIndex").alias("chunk_index"), F.md5("chunk").alias("digest"))
+
+
+@frame_query("SELECT lang, avg(length(text)) AS mean, min(length(text)) AS least, max(length(text)) AS most, quantile_cont(length(text), 0.25) AS p25, quantile_cont(length(text), 0.75) AS p75 FROM documents GROUP BY 1")
+def chunk_length_stats(t):
+    n = F.length("text").cast("long")
+    return t("documents").groupBy("lang").agg(F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), F.percentile(n, 0.25).alias("p25"), F.percentile(n, 0.75).alias("p75"))
+
+
+# cleaning and extraction
+
+NUMBERS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '(' || c_acctbal || '%)' WHEN c_custkey % 3 = 1 THEN '$' || c_acctbal ELSE 'n/a' END AS raw FROM customer"
+
+
+@frame_query(f"SELECT id, coalesce(CASE WHEN starts_with(raw, '(') OR starts_with(raw, '-') THEN -1.0 ELSE 1.0 END * TRY_CAST(nullif(regexp_extract(raw, '([0-9][0-9,]*\\.?[0-9]*|\\.[0-9]+)', 1), '') AS DOUBLE), 0.0) AS value FROM ({NUMBERS})")
+def clean_number(t):
+    k, v = F.col("c_custkey"), F.col("c_acctbal").cast("string")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("("), v, F.lit("%)"))).when(k % 3 == 1, F.concat(F.lit("$"), v)).otherwise("n/a")
+    return t("customer").select(F.col("c_custkey").alias("id"), clean.financial_number(raw).alias("value"))
+
+
+@frame_query("SELECT s_suppkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s_name || ' & Co, Holdings Inc.'), '[^a-z0-9 ]+', ' ', 'g'), '\\b(the|and)\\b', ' ', 'g'), '\\b(inc|incorporated|corp|corporation|co|company|ltd|limited|plc|llc|lp|sa|nv|ag|group|holdings|holding|class a|class b|class c)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM supplier")
+def norm_company(t):
+    return t("supplier").select(F.col("s_suppkey").alias("id"), clean.company_name(F.concat("s_name", F.lit(" & Co, Holdings Inc."))).alias("name"))
+
+
+@frame_query("SELECT c_custkey AS id, regexp_replace(trim(regexp_replace('Mary  J. ' || c_name || ' Jr.', '\\s+', ' ', 'g')), '\\b([A-Z])\\. ', '\\1 ', 'g') AS name FROM customer")
+def norm_person(t):
+    return t("customer").select(F.col("c_custkey").alias("id"), clean.person_name(F.concat(F.lit("Mary  J. "), "c_name", F.lit(" Jr."))).alias("name"))
+
+
+@frame_query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title>\\s*(.*?)\\s*</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def extract_between(t):
+    return t("pages").select("page_id", extract.between("html", "<title>", "</title>").alias("title"))
+
+
+@frame_query("SELECT s_suppkey AS id, TRY_CAST(d AS DATE) AS day FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '1997-0' || (1 + s_suppkey % 9) || '-15' ELSE '2020-13-01' END AS d FROM supplier)")
+def date_ladder(t):
+    k = F.col("s_suppkey")
+    iso = F.concat(F.lit("1997-0"), (1 + k % 9).cast("string"), F.lit("-15"))
+    us = F.concat(F.lit("0"), (1 + k % 9).cast("string"), F.lit("/15/1997"))
+    raw = F.when(k % 4 == 0, iso).when(k % 4 == 2, us).otherwise("2020-13-01")
+    return t("supplier").select(k.alias("id"), clean.any_date(raw).alias("day"))
+
+
+@frame_query("SELECT p_brand, round_even(100.0 * sum(p_retailprice) / (SELECT sum(p_retailprice) FROM part), 2) AS pct FROM part GROUP BY 1")
+def segment_pct(t):
+    total = Window.partitionBy(F.lit(1))
+    by = t("part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("v"))
+    return by.select("p_brand", clean.percent_of(F.col("v"), F.sum("v").over(total)).alias("pct"))
+
+
+@frame_query("SELECT l_orderkey, round_even(CASE WHEN sum(l_extendedprice) <> 0 THEN sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice) END, 4) AS margin, round_even(CASE WHEN sum(l_quantity * l_tax) <> 0 THEN sum(l_tax) / sum(l_quantity * l_tax) END, 4) AS rate FROM lineitem GROUP BY 1")
+def margins(t):
+    by = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("net"), F.sum("l_extendedprice").alias("gross"), F.sum("l_tax").alias("tax"), F.sum(F.expr("l_quantity * l_tax")).alias("base"))
+    return by.select("l_orderkey", clean.ratio("net", "gross").alias("margin"), clean.ratio("tax", "base").alias("rate"))
+
+
+@frame_query("SELECT conv_id, turn, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '… [' || (length(text) - 40) || ' more chars]' ELSE text END AS shown FROM conversations")
+def capped_text(t):
+    return t("conversations").select("conv_id", "turn", clean.capped("text", 40).alias("shown"))
+
+
+@frame_query("SELECT count(*) AS n, count_if(NOT regexp_matches(c_name, '^[A-Z]{1,6}$'))::BIGINT AS no_ticker, count_if(length(c_name) < 5)::BIGINT AS short_name, count_if(c_acctbal < 0)::BIGINT AS negative, count_if(c_mktsegment IS NULL OR trim(c_mktsegment) = '')::BIGINT AS no_class FROM customer")
+def dq_report(t):
+    c = F.col
+    return t("customer").agg(F.count("*").alias("n"), F.count_if(~c("c_name").rlike("^[A-Z]{1,6}$")).alias("no_ticker"), F.count_if(F.length("c_name") < 5).alias("short_name"), F.count_if(c("c_acctbal") < 0).alias("negative"), F.count_if(c("c_mktsegment").isNull() | (F.trim("c_mktsegment") == "")).alias("no_class"))
+
+
+@frame_query("SELECT c_custkey AS id, list_filter([CASE WHEN c_acctbal < 0 THEN 'balance below zero' END, CASE WHEN c_acctbal > 9000 THEN 'balance very high' END, CASE WHEN c_nationkey IN (1, 2) THEN 'check trust' END], lambda x: x IS NOT NULL) AS warnings FROM customer")
+def sanity_warnings(t):
+    c = F.col
+    rules = F.array(F.when(c("c_acctbal") < 0, "balance below zero"), F.when(c("c_acctbal") > 9000, "balance very high"), F.when(c("c_nationkey").isin(1, 2), "check trust"))
+    return t("customer").select(c("c_custkey").alias("id"), F.filter(rules, lambda x: x.isNotNull()).alias("warnings"))
+
+
+@frame_query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS links FROM pages")
+def html_links(t):
+    return extract.parse_pages(t("pages")).select("page_id", F.size("links").cast("long").alias("links"))
+
+
+@frame_query()
+def html_text(t):
+    parsed = extract.parse_pages(t("pages"))
+    return parsed.select("page_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@frame_query("SELECT sector_key, min(name) AS shortest FROM (SELECT p_brand AS sector_key, p_type AS name, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_type), p_type) AS n FROM part) WHERE n = 1 GROUP BY 1")
+def shortest_name(t):
+    return t("part").groupBy(F.col("p_brand").alias("sector_key")).agg(F.min_by("p_type", F.struct(F.length("p_type"), "p_type")).alias("shortest"))
+
+
+@frame_query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'US' || p_partkey WHEN p_partkey % 3 = 1 THEN 'cusip_' || (100000000 + p_partkey) ELSE 'gen_' || substr(md5(p_name || '|' || p_brand), 1, 16) END AS node_id FROM part")
+def holding_ids(t):
+    k = F.col("p_partkey")
+    rows = t("part").withColumn("isin", F.when(k % 3 == 0, F.concat(F.lit("US"), k.cast("string"))).otherwise("nan")).withColumn("cusip", F.when(k % 3 == 1, (100000000 + k).cast("string")).otherwise(" "))
+    return rows.select(k.alias("id"), clean.holding_id("isin", "cusip", "p_name", "p_brand").alias("node_id"))
+
+
+# upserts
+
+
+@frame_query("SELECT c_custkey, coalesce(n.name, c.c_name) AS c_name, coalesce(n.bal, c.c_acctbal) AS c_acctbal FROM (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0) c FULL JOIN (SELECT s_suppkey AS c_custkey, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS bal FROM supplier) n USING (c_custkey)")
+def merge_upsert(t):
+    old = t("customer").filter("c_custkey % 5 <> 0").select("c_custkey", "c_name", "c_acctbal")
+    new = t("supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("c_acctbal"))
+    return upsert.merge(old, new, ["c_custkey"])
+
+
+@frame_query("SELECT l_partkey, sum(l_quantity) AS l_quantity, sum(l_extendedprice) AS l_extendedprice, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) AS l_returnflag FROM lineitem GROUP BY 1")
+def holdings_dedup(t):
+    rows = t("lineitem").withColumn("row", F.expr("l_orderkey * 100 + l_linenumber")).select("l_partkey", "row", "l_quantity", "l_extendedprice", "l_returnflag")
+    return upsert.collapse_holdings(rows, "l_partkey", ["l_quantity", "l_extendedprice"], "row")
+
+
+@frame_query("SELECT l_orderkey, l_linenumber, round_even(100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 4) AS weight FROM lineitem")
+def portfolio_weight(t):
+    total = F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.bround(100 * F.col("l_extendedprice") / total, 4).alias("weight"))
+
+
+@frame_query(f"WITH h AS ({HIGHLIGHT}), s AS (SELECT c_custkey, unnest([1995, 1996]) AS year, c_acctbal AS net FROM customer) SELECT coalesce(h.o_custkey, s.c_custkey) AS ticker, CAST(coalesce(h.year, s.year) AS INTEGER) AS year, coalesce(h.net, s.net, 0.0) AS net FROM h FULL JOIN s ON h.o_custkey = s.c_custkey AND h.year = s.year")
+def highlights_fill(t):
+    rows = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year")).agg(F.bround(F.sum("o_totalprice"), 2).alias("net"))
+    stubs = t("customer").select(F.col("c_custkey").alias("ticker"), F.explode(F.array(F.lit(1995), F.lit(1996))).alias("year"), F.col("c_acctbal").alias("net"))
+    return upsert.fill_years(rows, stubs, ["ticker", "year"], ["net"])
+
+
+@frame_query("SELECT c_custkey AS ticker, c_name AS name FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+def delete_keys(t):
+    gone = t("customer").join(t("nation").filter("n_regionkey = 0"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return upsert.delete(t("customer").select(F.col("c_custkey").alias("ticker"), F.col("c_name").alias("name")), gone.select(F.col("c_custkey").alias("ticker")), ["ticker"])
+
+
+@frame_query("SELECT o_custkey AS ticker, o_orderkey AS accession, o_orderdate AS report_date FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def newest_filing(t):
+    rows = t("orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("accession"), F.col("o_orderdate").alias("report_date"))
+    return upsert.first_per_ticker(rows)
+
+
+# retrieval
+
+QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+
+
+def query_vector(t) -> list[float]:
+    return [float(x) for x in t("embeddings").filter("vec_id = 0").first()["embedding"]]
+
+
+@frame_query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding, {QUERY_VECTOR}) DESC, vec_id LIMIT 10")
+def knn_cosine(t):
+    return retrieve.knn(t("embeddings"), query_vector(t), 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@frame_query(f"SELECT vec_id, label FROM (SELECT vec_id, label FROM embeddings ORDER BY list_cosine_similarity(embedding, {QUERY_VECTOR}) DESC, vec_id LIMIT 50) WHERE label IN (1, 2, 3)")
+def knn_postfilter(t):
+    return retrieve.knn(t("embeddings"), query_vector(t), 50).filter("label IN (1, 2, 3)").select("vec_id", "label")
+
+
+@frame_query(f"SELECT vec_id FROM embeddings ORDER BY list_cosine_similarity(embedding, {QUERY_VECTOR}) DESC, vec_id LIMIT 5")
+def knn_filter_fallback(t):
+    q = query_vector(t)
+    none = retrieve.knn(t("embeddings").filter("label = -1"), q, 5)
+    return retrieve.with_fallback(none, retrieve.knn(t("embeddings"), q, 5)).select("vec_id")
+
+
+@frame_query(f"SELECT label, round(max(s), 5) AS score FROM (SELECT label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])) AS s, row_number() OVER (PARTITION BY label % 3 ORDER BY list_cosine_similarity(embedding, {QUERY_VECTOR}) DESC, vec_id) AS n FROM embeddings) WHERE n <= 20 GROUP BY 1")
+def hybrid_max(t):
+    q = query_vector(t)
+    searches = [retrieve.knn(t("embeddings").filter(F.col("label") % 3 == i), q, 20) for i in range(3)]
+    return retrieve.hybrid(searches, "label").select("label", F.round("score", 5).alias("score"))
+
+
+@frame_query(f"WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding, {QUERY_VECTOR}) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 20), b AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(embedding, {QUERY_VECTOR}) DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 20) SELECT vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1")
+def rrf_fusion(t):
+    v = t("embeddings")
+    q = F.array(*[F.lit(x) for x in query_vector(t)])
+    top = lambda c: v.withColumn("s", c).orderBy(F.desc("s"), "vec_id").limit(20).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id")))
+    fused = retrieve.rrf(top(retrieve.cosine("embedding", q)), top(retrieve.dot("embedding", q)), key="vec_id")
+    return fused.select("vec_id", F.round("score", 9).alias("score"))
+
+
+@frame_query("WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding, e.embedding) AS score FROM q JOIN embeddings e ON true), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def knn_queries(t):
+    v = t("embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieve.knn_join(q, v, 5).select("query_id", "vec_id", "rank")
+
+
+@frame_query("WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, q.label AS want, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding, e.embedding) DESC, e.vec_id) AS rank FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), f AS (SELECT query_id, min(rank) FILTER (WHERE label = want) AS rank FROM s GROUP BY 1) SELECT avg(CAST(rank <= 1 AS DOUBLE)) AS hit_1, avg(CAST(rank <= 3 AS DOUBLE)) AS hit_3, avg(CAST(rank <= 5 AS DOUBLE)) AS hit_5, avg(CAST(rank <= 10 AS DOUBLE)) AS hit_10, avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0.0 END) AS mrr FROM f")
+def hit_mrr_at_k(t):
+    v = t("embeddings").select("vec_id", "embedding", "label")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("want"))
+    pairs = q.join(v, F.col("query_id") != F.col("vec_id")).select("query_id", "want", "label", "vec_id", retrieve.cosine("query", "embedding").alias("s"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")))
+    return evaluate.hits(ranked.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("want"), F.col("rank"))).alias("rank")))
+
+
+@frame_query(f"SELECT round(avg(s), 5) AS mean, round(stddev_pop(s), 5) AS sd, round(quantile_cont(s, 0.05), 5) AS p5, round(quantile_cont(s, 0.95), 5) AS p95 FROM (SELECT list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])) AS s FROM embeddings)")
+def similarity_stats(t):
+    q = F.array(*[F.lit(x) for x in query_vector(t)])
+    s = t("embeddings").select(retrieve.cosine("embedding", q).alias("s"))
+    return s.agg(F.round(F.avg("s"), 5).alias("mean"), F.round(F.stddev_pop("s"), 5).alias("sd"), F.round(F.percentile("s", 0.05), 5).alias("p5"), F.round(F.percentile("s", 0.95), 5).alias("p95"))
+
+
+@frame_query("WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id AND a.item_id < 20")
+def jaccard_overlap(t):
+    w = t("benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("t"))
+    a, b = w.filter("item_id < 20").select(F.col("item_id").alias("a"), F.col("t").alias("x")), w.select(F.col("item_id").alias("b"), F.col("t").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(evaluate.jaccard("x", "y"), 6).alias("jaccard"))
+
+
+BM25 = "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a, count_if(list_contains(t, 'the')) AS d0, count_if(list_contains(t, 'token')) AS d1 FROM d), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'the')) AS c0, len(list_filter(t, lambda x: x = 'token')) AS c1 FROM d) SELECT doc_id, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * c0 * 2.2 / (c0 + 1.2 * (0.25 + 0.75 * l / a)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * c1 * 2.2 / (c1 + 1.2 * (0.25 + 0.75 * l / a)), 6) AS score FROM c, s WHERE c0 > 0 OR c1 > 0 ORDER BY score DESC, doc_id LIMIT 15"
+
+
+@frame_query(BM25)
+def bm25_topk(t):
+    docs = t("documents").select(F.col("doc_id").alias("__id"), "text")
+    return retrieve.bm25(docs, "the token", 15).select(F.col("__id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@frame_query("WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS w FROM documents), f AS (SELECT w, count(*) AS n FROM d GROUP BY 1) SELECT doc_id, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS uniqueness FROM d JOIN f USING (w) GROUP BY 1")
+def lexical_uniqueness(t):
+    d = t("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))).alias("w"))
+    f = d.groupBy("w").agg(F.count("*").alias("n"))
+    return d.join(f, "w").groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), 6).alias("uniqueness"))
+
+
+@frame_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def corpus_dedup(t):
+    return t("documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("text")
+
+
+@frame_query()
+def mmr_diverse(t):
+    v = t("embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = retrieve.knn_join(q, v, 10).join(v.select("vec_id", "embedding"), "vec_id").select("query_id", "vec_id", "score", "embedding")
+    return retrieve.mmr(near, 4)
+
+
+# fuzzy joins
+
+
+@frame_query()
+def fuzzy_ratio_topk(t):
+    names = t("supplier").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"))
+    queries = t("nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Supplier "), "n_name").alias("query"))
+    return match.top_matches(queries, names, 40.0, 5).select("query_id", "name_id", F.round("score", 4).alias("score"), "rank")
+
+
+@frame_query()
+def blocked_match(t):
+    left = t("customer").select(F.col("c_custkey").alias("left_id"), F.translate("c_name", "#", " ").alias("name"))
+    right = t("supplier").select(F.col("s_suppkey").alias("right_id"), F.regexp_replace("s_name", "Supplier", "Customer").alias("name"))
+    return match.cascade(left, right, 0.9)
+
+
+@frame_query()
+def token_set(t):
+    w = t("part").select("p_partkey", "p_name", "p_type")
+    return w.select("p_partkey", F.round(fuzzy.token_set_ratio(F.lower("p_name"), F.lower("p_type")), 4).alias("token_set"), F.round(fuzzy.partial_ratio(F.lower("p_name"), F.lower("p_type")), 4).alias("partial"))
+
+
+@frame_query("SELECT c.c_custkey AS id, min(s.s_suppkey) AS match FROM customer c JOIN supplier s ON regexp_extract(c.c_name, '[0-9]+') = regexp_extract(s.s_name, '[0-9]+') GROUP BY 1")
+def equal_match(t):
+    digits = lambda c: F.regexp_extract(c, "[0-9]+", 0)
+    left = t("customer").select(F.col("c_custkey").alias("left_id"), digits("c_name").alias("name"))
+    right = t("supplier").select(F.col("s_suppkey").alias("right_id"), digits("s_name").alias("name"))
+    return match.equal_then_contained(left, right).filter("stage = 'equal'").select(F.col("left_id").alias("id"), F.col("right_id").alias("match"))
+
+
+# evaluation and what follows a result
+
+GUESS = "SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS truth, list_filter([CASE WHEN n_chars > 500 THEN 'good' END, CASE WHEN contains(lower(text), 'stupid') OR contains(lower(text), 'idiot') THEN 'toxic' END], lambda x: x IS NOT NULL) AS guess FROM labels JOIN documents USING (doc_id)"
+
+
+def guesses(t) -> DataFrame:
+    rows = t("labels").join(t("documents"), "doc_id")
+    some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    rude = F.contains(F.lower("text"), F.lit("stupid")) | F.contains(F.lower("text"), F.lit("idiot"))
+    return rows.select("doc_id", some(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")).alias("truth"), some(F.when(F.col("n_chars") > 500, "good"), F.when(rude, "toxic")).alias("guess"))
+
+
+@frame_query(f"WITH g AS ({GUESS}), l AS (SELECT unnest(['good', 'toxic']) AS label), c AS (SELECT label, count_if(list_contains(truth, label))::BIGINT AS s, count_if(list_contains(guess, label))::BIGINT AS p, count_if(list_contains(truth, label) AND list_contains(guess, label))::BIGINT AS h FROM l, g GROUP BY 1) SELECT label, h / p AS precision, h / s AS recall, 2 * (h / p) * (h / s) / (h / p + h / s) AS f1, s AS support FROM c")
+def clf_report(t):
+    return evaluate.label_report(guesses(t))
+
+
+@frame_query(f"WITH g AS ({GUESS}) SELECT x AS truth_label, y AS guess_label, count(*) AS n FROM (SELECT unnest(truth) AS x, guess FROM g), unnest(guess) AS u(y) GROUP BY 1, 2")
+def confusion(t):
+    return evaluate.overlap_matrix(guesses(t))
+
+
+@frame_query(f"WITH g AS ({GUESS}) SELECT avg(CAST(len(list_filter(truth, lambda x: NOT list_contains(guess, x))) + len(list_filter(guess, lambda x: NOT list_contains(truth, x))) = 0 AS DOUBLE)) AS exact_match, avg(CAST(len(list_filter(truth, lambda x: NOT list_contains(guess, x))) = 0 AS DOUBLE)) AS superset, sum(len(list_filter(truth, lambda x: NOT list_contains(guess, x))) + len(list_filter(guess, lambda x: NOT list_contains(truth, x)))) / (count(*) * 2.0) AS hamming FROM g")
+def label_summary(t):
+    return evaluate.label_summary(guesses(t), 2)
+
+
+@frame_query("WITH r AS (SELECT event_type <> 'error' AS ok, user_id % 3 AS retries, value FROM events) SELECT count(*) AS n, avg(CAST(ok AS DOUBLE)) AS accuracy, avg(CAST(ok AND retries = 0 AS DOUBLE)) AS first_attempt, avg(CAST(retries > 0 AS DOUBLE)) AS retry_rate, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms FROM r")
+def benchmark_summary(t):
+    runs = t("events").select((F.col("event_type") != "error").alias("success"), (F.col("user_id") % 3).alias("retry_attempts"), F.lit(1.0).alias("count_ratio"), F.lit(True).alias("schema_adherent"), F.col("value").alias("execution_time_ms"))
+    return evaluate.run_summary(runs).drop("count_ratio", "schema_rate")
+
+
+@frame_query("SELECT 'purchase' AS path, user_id, arg_max(event_id, (ts, -event_id)) AS accession FROM events WHERE event_type = 'purchase' GROUP BY user_id UNION ALL SELECT 'signup', user_id, arg_max(event_id, (ts, -event_id)) FROM events WHERE event_type = 'signup' GROUP BY user_id")
+def provenance_latest(t):
+    part = lambda k: t("events").filter(F.col("event_type") == k).select("user_id", F.col("event_id").alias("accession"), F.col("ts").alias("filing_date"))
+    return post.provenance({"purchase": part("purchase"), "signup": part("signup")}, "user_id").select("path", "user_id", "accession")
+
+
+@frame_query("SELECT count(*) AS rows, min(l_discount) AS weight_min, max(l_discount) AS weight_max, sum(l_extendedprice) AS market_value, CAST(min(year(l_shipdate)) AS INTEGER) AS year_min, CAST(max(year(l_shipdate)) AS INTEGER) AS year_max FROM lineitem")
+def truncate_stats(t):
+    return post.note(t("lineitem").select(F.col("l_discount").alias("weight"), F.col("l_extendedprice").alias("marketValue"), F.year("l_shipdate").alias("year")))
+
+
+@frame_query("WITH t AS (SELECT p_name AS name, p_retailprice AS price FROM part ORDER BY price DESC, name LIMIT 10) SELECT name, price FROM t UNION ALL SELECT 'Total', sum(price) FROM t")
+def totals_row(t):
+    top = t("part").select(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")).orderBy(F.desc("price"), "name").limit(10)
+    return post.with_total(top, "name", ["price"])
+
+
+# extensions: not part of the compared engine, offered because Spark has them
+
+
+@frame_query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling(t):
+    return streams.tumbling(t("events")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@frame_query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def ext_sessions(t):
+    return streams.sessions(t("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@frame_query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def ext_cube(t):
+    return t("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@frame_query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def ext_intersect(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@frame_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+def ext_except(t):
+    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
+
+
+@frame_query("SELECT e.event_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def ext_asof(t):
+    e = t("events").filter("event_type IN ('error', 'purchase')").select("event_id", "ts", "user_id", "event_type")
+    before = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "error", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before)
+    return e.withColumn("purchase_id", last).filter("event_type = 'error'").select("event_id", "purchase_id")
