@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fathomline.functions import clean, extract, fuzzy
+from fathomline.functions import clean, extract, filings, fuzzy
 from fathomline.functions.chunk import word_windows
-from fathomline.operators import evaluate, match, post, retrieve, upsert
+from fathomline.models import classify, embed
+from fathomline.operators import evaluate, ingest, match, post, retrieve, upsert
 from fathomline.plans.fixture import FundGraph
 from fathomline.plans.language.compile import Compiler
 from fathomline.plans.language.parse import parse
@@ -480,6 +481,92 @@ def totals_row(t):
     return post.with_total(top, "name", ["price"])
 
 
+# filings, ingestion, models
+
+
+@frame_query("SELECT id, lang AS label, substr(text, 1, 1500) AS text FROM (SELECT doc_id AS id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE length(text) > 200) WHERE n <= 30")
+def corpus_sample(t):
+    return filings.corpus_sample(t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"))
+
+
+@frame_query("SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'ETF' WHEN c_mktsegment = 'MACHINERY' THEN 'INSTITUTIONAL' ELSE 'OTHER' END AS cls, count(*) AS n FROM customer GROUP BY 1")
+def share_classes(t):
+    label = F.when(F.col("c_mktsegment") == "BUILDING", "Some ETF Shares").when(F.col("c_mktsegment") == "MACHINERY", "Institutional Shares").otherwise(F.col("c_mktsegment"))
+    return t("customer").groupBy(clean.share_class(label).alias("cls")).agg(F.count("*").alias("n"))
+
+
+@frame_query("SELECT user_id || '_' || event_type || '_' || event_id AS id, CASE WHEN event_type = 'purchase' THEN 'Purchase' WHEN event_type = 'signup' THEN 'Award' ELSE 'Other' END AS type, value * 2 AS value FROM events WHERE event_type <> 'error'")
+def insider_values(t):
+    code = F.when(F.col("event_type") == "purchase", "P").when(F.col("event_type") == "signup", "a").otherwise("?")
+    security = F.when(F.col("event_type") == "error", "Stock Option").otherwise("Common Stock")
+    rows = t("events").select(F.lit("X").alias("ticker"), F.lit("A B").alias("insider"), "event_id", "event_type", "user_id", code.alias("code"), security.alias("security"), F.lit("d").alias("date"), F.col("value").alias("shares"), F.lit(2.0).alias("price"))
+    return filings.insider_transactions(rows).select(F.concat_ws("_", "user_id", "event_type", "event_id").alias("id"), "type", "value")
+
+
+@frame_query("SELECT p_brand, '| p_name | p_size |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || p_name || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY 1")
+def markdown_tables(t):
+    return filings.markdown_table(t("part"), ["p_brand"], "p_partkey", ["p_name", "p_size"])
+
+
+@frame_query("SELECT c_nationkey, CASE WHEN len(m) > 0 THEN m ELSE a END AS managers, c_custkey FROM (SELECT c_custkey, c_nationkey, m, list_sort(list_distinct(flatten(list(m) OVER (PARTITION BY c_nationkey)))) AS a FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN [c_mktsegment] ELSE [] END AS m FROM customer))")
+def shared_managers(t):
+    m = F.when(F.col("c_custkey") % 4 == 0, F.array("c_mktsegment")).otherwise(F.array().cast("array<string>"))
+    rows = t("customer").select("c_custkey", F.col("c_nationkey").alias("name"), m.alias("managers"))
+    return filings.shared_managers(rows).withColumnRenamed("name", "c_nationkey")
+
+
+@frame_query("SELECT o_custkey AS ticker, o_orderpriority AS name, CAST(year(o_orderdate) AS INTEGER) AS year, arg_max(o_totalprice, o_orderkey) AS weight FROM orders GROUP BY 1, 2, 3")
+def allocation_upsert(t):
+    rows = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderpriority").alias("name"), F.year("o_orderdate").alias("year")).agg(F.max_by("o_totalprice", "o_orderkey").alias("weight"))
+    target = ingest.allocation_target("sector")
+    once = ingest.ingest(rows, [target])
+    return ingest.ingest(rows, [target], once)[target.name]
+
+
+@frame_query("WITH w AS (SELECT o_custkey AS ticker, o_orderpriority AS name, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3) SELECT ticker, name, arg_max(v, y) AS weight, CAST(max(y) AS INTEGER) AS year FROM w GROUP BY 1, 2")
+def allocation_latest(t):
+    rows = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderpriority").alias("name"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("weight"))
+    return ingest.latest(rows, ["ticker", "name"], "weight")
+
+
+@frame_query("WITH f AS (SELECT o_custkey AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS whole FROM orders GROUP BY 1, 2), s AS (SELECT o_custkey AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS label, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3) SELECT ticker, year, label, value, CASE WHEN whole > 0 THEN round_even(100.0 * value / whole, 2) END AS percentage FROM s JOIN f USING (ticker, year)")
+def metric_segments(t):
+    by = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("label")).agg(F.sum("o_totalprice").alias("value"))
+    whole = t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
+    facts = by.groupBy("ticker", "year").agg(F.collect_list(F.struct("label", "value")).alias("segments")).join(whole, ["ticker", "year"]).withColumn("label", F.lit("Revenue"))
+    return ingest.metrics(facts)["Segment"].select("ticker", "year", "label", "value", "percentage")
+
+
+@frame_query("WITH d AS (SELECT item_id, regexp_extract_all(lower(text), '([a-z]{2,})', 1) AS w FROM benchmark), b AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d), tf AS (SELECT item_id, term, count(*) AS tf FROM b GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)) SELECT item_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM r GROUP BY 1")
+def tf_idf_terms(t):
+    w = embed.tf_idf(t("benchmark"), "item_id", "text")
+    return w.groupBy("item_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"))
+
+
+@frame_query()
+def tf_idf_pairs(t):
+    w = embed.tf_idf(t("benchmark"), "item_id", "text")
+    return embed.alike(w, "item_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@frame_query("SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(lower(text), 'holding|portfolio|sector|allocation|weight|region|invests? in|exposure') THEN 'fund_portfolio' END, CASE WHEN regexp_matches(lower(text), '\\bceo\\b|compensation|insider|executive|chief') THEN 'company_people' END], lambda x: x IS NOT NULL) AS labels FROM conversations")
+def rule_labels(t):
+    rows = t("conversations").select("conv_id", "turn", classify.rule_labels("text").alias("l"))
+    return rows.select("conv_id", "turn", F.filter("l", lambda x: x.isin("fund_portfolio", "company_people")).alias("labels"))
+
+
+@frame_query()
+def classifier_guess(t):
+    rows = t("documents").select("doc_id", F.col("text"), F.array("lang").alias("labels"))
+    model = classify.Classifier.train(rows.filter("doc_id % 2 = 0"), ("en", "de", "fr", "es"))
+    return model.predict(rows.filter("doc_id % 2 = 1").select("doc_id", "text")).select("doc_id", "guess")
+
+
+@frame_query()
+def embedded_chunks(t):
+    return embed.embed(t("benchmark"), "text", prefix="Question:").select("item_id", "embedding")
+
+
 # extensions: not part of the compared engine, offered because Spark has them
 
 
