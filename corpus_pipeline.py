@@ -18,9 +18,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of 80 % similarity hold together, the one of smallest doc_id."""
+    """Of each group of documents that links of 80 % similarity hold together, the one of smallest doc_id.
+
+    Documents without a doc_id stay.
+    """
+    docs = docs.select(*COLUMNS)
     firsts = jaccard.components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(firsts, "doc_id", "left_semi")
+    return docs.join(firsts, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
