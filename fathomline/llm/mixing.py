@@ -10,7 +10,8 @@ buckets, so a source that holds a third of all rows is spread over all tasks. On
 (one row a source).
 
 Cases: a null text has no words (size 0); a null source is a source of its own, last in order; documents of size 0
-take nothing but keep a row; repeated rows count each by itself; an empty table gives an empty result.
+take nothing but keep a row; repeated rows count each by itself, and so do rows without a doc_id; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -123,5 +124,6 @@ def stream(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Rows of ``docs`` that share a doc_id are taken as often as the first of them in the mix.
     """
     times = mixed.filter(F.col("copies") > 0).groupBy("doc_id").agg(F.min_by("positions", "starts_at").alias("__at"))
-    rows = docs.join(times, "doc_id").withColumn("__at", F.explode("__at"))
+    times = times.withColumnRenamed("doc_id", "__id")
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__at", F.explode("__at"))
     return rows.repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*docs.columns)

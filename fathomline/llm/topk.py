@@ -9,7 +9,7 @@ A low one prunes by length: a vector must be long enough for the score at all. W
 Scale: a task holds one block of each side; both counts of blocks grow with their tables, no side is broadcast. Copies
 of one vector spread over all blocks. Each task returns k rows a query, of which the best k are ranked.
 
-Cases: vectors that are null, empty or hold null or non-finite values take no part, neither as queries; a query meets
+Cases: vectors that are null, empty, without an id or hold null or non-finite values take no part, neither as queries; a query meets
 only vectors of its own dimension; ties go to the smaller vec_id; fewer candidates than k give fewer rows; repeated
 vec_ids are rows of their own, and a query never meets its own vec_id.
 """
@@ -32,7 +32,7 @@ def quantise(df: DataFrame, scale: int = 256) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     whole = F.transform(x, lambda v: F.floor(v * scale).cast("double"))
-    return df.filter(F.coalesce(sound, F.lit(False))).select("vec_id", whole.alias("vector"))
+    return df.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select("vec_id", whole.alias("vector"))
 
 
 def bucketed(ids, vectors, queries_ids, queries, k):

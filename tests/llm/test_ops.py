@@ -334,25 +334,26 @@ def test_scores(spark, odd):
 
 def test_windows_score_each_place_once_as_whole_texts_would():
     rng = np.random.default_rng(0)
-    w = attention.initial(context=40)
+    w = attention.initial(context=40, kinds=50)
+    class_of = rng.integers(0, attention.CLASSES, 50)
     size = np.array([0, 5, 33, 1, 17])
-    flat = rng.integers(0, attention.CLASSES, size.sum())
-    got = attention.log_probabilities(w, flat, size, context=40, stride=8)
+    flat = rng.integers(0, 50, size.sum())
+    got = attention.log_probabilities(w, flat, size, class_of, context=40, stride=8)
     at = 0
     for n, g in zip(size, got, strict=True):
         text, total = flat[at : at + n], 0.0
         for i in range(n):
             lo = i - i % 8 + 8 - 40
-            row = np.array([[text[j - 1] if j > 0 and j - 1 < n else attention.CLASSES for j in range(lo, lo + 40)]])
+            row = np.array([[text[j - 1] if j > 0 and j - 1 < n else 50 for j in range(lo, lo + 40)]])
             logits = attention.forward(w, row, 8)[0][0, i % 8].astype(float)
-            total += logits[text[i]] - np.log(np.exp(logits).sum())
+            total += logits[class_of[text[i]]] - np.log(np.exp(logits).sum())
         assert g == pytest.approx(total, abs=1e-3)
         at += n
 
 
 def test_attention_gradient_and_learning():
     rng = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) for k, v in attention.initial(classes=6, width=4, context=5).items()}
+    w = {k: v.astype(np.float64) for k, v in attention.initial(classes=6, width=4, context=5, kinds=6).items()}
     x, y = rng.integers(0, 7, (3, 5)), rng.integers(0, 6, (3, 5))
     _, grad = attention.step(w, x, y)
     for name in w:
@@ -362,6 +363,23 @@ def test_attention_gradient_and_learning():
         down[name][at] -= 1e-5
         assert grad[name][at] == pytest.approx((attention.step(up, x, y)[0] - attention.step(down, x, y)[0]) / 2e-5, rel=1e-2, abs=1e-6)
     cycle = [np.arange(300) % 6]
-    learned = attention.train(cycle, steps=200, context=8, classes=6)
+    learned = attention.train(cycle, np.arange(6), steps=200, context=8)
     windows, target = attention.cut_windows(cycle, 8, 8, 6)
     assert attention.step(learned, windows[1:-1], target[1:-1])[0] < 0.5 < math.log(6)
+
+
+def test_rows_without_an_id(spark):
+    from fathomline.llm import jaccard, substring
+
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text, None), (None, None, None), (1, text, "a"), (2, text + " x", None)], "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
+    assert got == Counter([(None, 0), (None, 0), (1, 0), (2, 80)])
+    rows = jaccard.components(df).collect()
+    assert len(rows) == 4 and {r["component_id"] for r in rows if r["doc_id"]} == {1}
+    mixed = mixing.mix(df, boundary="round")
+    assert mixed.count() == 4 and mixing.stream(df, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    for count in (packing.pack(df).filter("start = 0").count(), shards.assign(df).count(), quality.judge(df).count(), secrets.scan(df).count(), lm.score(df, F.col("doc_id") == 2).count(), urls.judge(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count()):
+        assert count == 4
+    vectors = spark.createDataFrame([(None, [1.0]), (0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
+    assert topk.search(topk.quantise(vectors), topk.quantise(vectors)).count() == 2
