@@ -20,8 +20,8 @@ a passage in a third of all texts comes down to one row a task. Texts are shuffl
 content, and not even that where the ranges that come back to them are few enough to be broadcast (``SMALL``).
 
 Cases: a null text has no words; a text shorter than ``length`` words loses nothing; a window repeated within one text
-alone stays; rows that share a doc_id are each judged against smaller doc_ids, not against each other; an empty table
-gives an empty result; other columns are ignored.
+alone stays; rows that share a doc_id are each judged against smaller doc_ids, not against each other; rows without a
+doc_id lose nothing and take nothing from others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
