@@ -119,8 +119,22 @@ class Compiler:
     def same(self, left: Column, right: Column, mixed: bool) -> Column:
         return left.cast("string") == right.cast("string") if mixed else left == right
 
+    def free_end(self, paths: list[t.Path], where: t.Expr | None, shared: list[str]) -> str | None:
+        """The one bound variable of a path that begins or ends with it and reads nothing but its key.
+
+        Such a path needs no rows so far: its first edge has the keys.
+        """
+        if len(shared) != 1 or len(paths) != 1 or not paths[0].rels:
+            return None
+        at = [n for n in paths[0].nodes if n.var == shared[0]]
+        reads = any(isinstance(x, (t.Prop, t.HasLabel)) and x.var == shared[0] or isinstance(x, t.Var) and x.name == shared[0] or isinstance(x, t.Exists) for x in t.walk(where))
+        path = paths[0]
+        edge = path.rels[0] if at[0] is path.nodes[0] else path.rels[-1] if at[0] is path.nodes[-1] else None
+        plain = edge is not None and len(edge.types) == 1 and not at[0].labels and not at[0].props
+        return shared[0] if len(at) == 1 and plain and not reads else None
+
     def join_paths(self, frame: Frame, paths: list[t.Path]) -> Frame:
-        """Inner join of a pattern onto the rows so far."""
+        """Inner join of a pattern onto the rows so far; without rows, a bound variable stands for the edges' keys."""
         df, scope = frame.df, dict(frame.scope)
         used: dict[str, list[str]] = {}
         for path in paths:
@@ -139,7 +153,7 @@ class Compiler:
                     if right is not None:
                         df = right if df is None else df.join(right)
                         scope[var] = ("node", node.labels)
-                    elif node.props:
+                    elif node.props and df is not None:
                         df = self.with_props(df, var, node.props)
                     seen.add(i)
                     continue
@@ -150,7 +164,10 @@ class Compiler:
                 rows, mixed = self.edge_rows(rel, edge, *kinds), len(rel.types) != 1
                 forward = (rel.direction != "<") == (k == other)
                 near, far = ("src", "dst") if forward else ("dst", "src")
-                df = df.join(rows, self.same(F.col(f"{names[other]}${ID}"), F.col(f"{edge}${near}"), mixed))
+                if df is None:
+                    df = rows.withColumn(f"{names[other]}${ID}", F.col(f"{edge}${near}"))
+                else:
+                    df = df.join(rows, self.same(F.col(f"{names[other]}${ID}"), F.col(f"{edge}${near}"), mixed))
                 there = F.col(f"{edge}${far}")
                 if bound:
                     df = df.filter(self.same(F.col(f"{var}${ID}"), there, mixed))
@@ -183,7 +200,7 @@ class Compiler:
             raise QueryError("OPTIONAL MATCH needs rows before it")
         shared = sorted({n.var for p in clause.paths for n in p.nodes if n.var in frame.scope})
         keys = [f"{v}${ID}" for v in shared]
-        base = frame.df.select(*keys).distinct() if keys else None
+        base = frame.df.select(*keys).distinct() if keys and not self.free_end(clause.paths, clause.where, shared) else None
         inner = self.filtered(self.join_paths(Frame(base, {v: frame.scope[v] for v in shared}), clause.paths), clause.where)
         new = {k: v for k, v in inner.scope.items() if k not in frame.scope}
         columns = [c for c in inner.df.columns if c.split("$")[0] in new]
@@ -216,7 +233,7 @@ class Compiler:
         shared = sorted({n.var for p in e.paths for n in p.nodes if n.var in frame.scope})
         if not shared:
             raise QueryError("a pattern predicate needs a bound variable")
-        base = frame.df.select(*[f"{v}${ID}" for v in shared]).distinct()
+        base = None if self.free_end(e.paths, e.where, shared) else frame.df.select(*[f"{v}${ID}" for v in shared]).distinct()
         inner = self.filtered(self.join_paths(Frame(base, {v: frame.scope[v] for v in shared}), e.paths), e.where).df
         right = inner.select(*[F.col(f"{v}${ID}").alias(f"_k{i}") for i, v in enumerate(shared)])
         on = reduce(lambda a, b: a & b, [F.col(f"{v}${ID}") == F.col(f"_k{i}") for i, v in enumerate(shared)])
