@@ -10,9 +10,14 @@ between, a set is indexed both ways, so that every pair within reach of each oth
 Which tokens count as frequent changes the cost alone: any choice gives every link. They are found by counts over all
 documents, in which tokens seen once in a stretch of a task drop out, and are bounded in number.
 
-Links are needed as components. Equal sets are one class from the start. Then each class is verified against the
-smallest class of each index entry it stands in; components of these links come first, and only classes that share an
-entry and are still apart are verified pair by pair. No link between different components is left out.
+Links are needed as components. Equal sets are one class from the start. Then each class is verified against one hub,
+the class of fewest rare tokens in most of the index entries it stands in; components of these links come first, and
+only classes that share an entry and are still apart are verified pair by pair: those of entries with few classes by a
+join, those of large entries in blocks, from which only pairs come out that bitmaps let pass. No link between different
+components is left out.
+
+A pair is verified in two steps: parity bitmaps of the sets bound their difference from below, so most pairs that are
+no link drop out by a few words each; whole sets are compared for the rest.
 
 Scale: index rows are about a fifth of all shingles, grouped with partial aggregation; entries of one class are dropped
 by the first grouping. Whole sets are made of classes that share an entry only.
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import BASE2, LOWER, U64, chunks, cut, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import BASE2, LOWER, U64, chunks, cut, if_small, mix, owner, spans_hash, word_hashes, words
 from fathomline.llm.graph import connected
 
 N = 5
@@ -38,9 +43,17 @@ PERCENT = 80
 #: A token this often seen counts as frequent; at most so many of the most frequent do (8 bytes each on every executor).
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Tokens of a task that are counted together.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 #: Longest set whose frequent tokens are combined.
 COMBINED = 64
+#: 64-bit words of a set's parity bitmap at least; a power of two.
+BITMAP = 16
+#: Classes of an index entry up to which it is joined with itself; beyond, blocks of so many classes meet.
+SMALL_GROUP, BLOCK = 16, 4096
+#: Documents whose sets are wanted up to which their ids are broadcast to the texts; beyond, texts are shuffled.
+SMALL = 2_000_000
+#: Bits of index keys; what falls together by chance is told apart when verified.
+KEY_BITS = 48
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +88,16 @@ def signatures(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (0, doc_id, two signatures, size) of documents and (1, token, count) of tokens seen twice."""
-    schema = "kind int, a long, b long, c long, n long"
+    """Rows of two kinds: (0, doc_id, two signatures, size, bitmap) of documents and (1, token, count) of tokens seen
+    twice."""
+    schema = "kind int, a long, b long, c long, n long, bits array<long>"
 
     def rows(kind: int, *columns) -> pa.RecordBatch:
         columns = [np.asarray(c).view(np.int64) if getattr(c, "dtype", None) == U64 else c for c in columns]
-        columns += [np.zeros(len(columns[0]), np.int64)] * (4 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=["kind", "a", "b", "c", "n"])
+        n = len(columns[0])
+        bits = columns.pop() if kind == 0 else pa.nulls(n, pa.list_(pa.int64()))
+        columns += [np.zeros(n, np.int64)] * (4 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), bits], names=["kind", "a", "b", "c", "n", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,7 +105,8 @@ def survey(docs: DataFrame) -> DataFrame:
             for a, b, data, offsets in chunks(batch.column(1)):
                 token, first = shingles(data, offsets)
                 one, two = signatures(token, first)
-                yield rows(0, batch.column(0)[a:b], one, two, np.diff(first))
+                one = one >> U64(8)
+                yield rows(0, batch.column(0)[a:b], one, two, np.diff(first), bitmaps(token, first))
                 held.append(token)
                 size += len(token)
                 if size >= STRETCH:
@@ -108,13 +125,16 @@ def twice(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return token[head][n > 1], n[n > 1].astype(np.int64)
 
 
+def is_common(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(token), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
+
+
 def keys_of(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int, combined: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys and the text of each."""
     own, size = owner(first), np.diff(first)
-    common = np.zeros(len(token), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-        common = frequent[at] == token
+    common = is_common(token, frequent)
     order = np.lexsort((token, common, own))
     token, common = token[order], common[order]
     place = np.arange(len(token)) - first[own]
@@ -138,45 +158,131 @@ def keys_of(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent:
 
 
 def index(docs: DataFrame, frequent, percent: int, combined: int) -> DataFrame:
-    """(key, sig) of every document with two shingles or more."""
+    """(key, sig) of every document with two shingles or more.
+
+    The top byte of this signature tells which part of a set is rare, so that the least signature of an entry is that
+    of the set most like all others in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 token, first = shingles(data, offsets)
                 sig, _ = signatures(token, first)
+                common = np.concatenate([[0], np.cumsum(is_common(token, frequent.value))])[first]
+                rare = 127 - (127 * np.diff(common)) // np.maximum(np.diff(first), 1)
+                sig = sig >> U64(8) | rare.astype(U64) << U64(56)
                 key, text = keys_of(token, first, frequent.value, percent, combined)
                 use = np.diff(first)[text] > 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(sig[text[use]].view(np.int64))], names=["key", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array((key[use] >> U64(64 - KEY_BITS)).view(np.int64)), pa.array(sig[text[use]].view(np.int64))], names=["key", "sig"])
 
     return docs.select("text").mapInArrow(run, "key long, sig long")
 
 
+def bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A list of words for each set; a bit is on if an odd number of tokens falls on it.
+
+    A set has two bits a token at least, in a power of two of words; the upper half of a bitmap folds onto the lower.
+    """
+    size = np.diff(first)
+    length = np.full(len(size), BITMAP)
+    while (short := 32 * length < size).any():
+        length[short] *= 2
+    begin = np.concatenate([[0], np.cumsum(length)])
+    own = owner(first)
+    spot = (mix(token ^ U64(77)) & (64 * length[own] - 1).astype(U64)).astype(np.int64) + 64 * begin[own]
+    odd = np.zeros(64 * begin[-1], np.uint8)
+    at, n = np.unique(spot, return_counts=True)
+    odd[at] = n & 1
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(sig, tokens) of the documents (sig, text)."""
+    """(at, sig, tokens) of the documents (at, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(2)):
                 token, first = shingles(data, offsets)
-                given = batch.column(0)[a:b]
+                at, given = batch.column(0)[a:b], batch.column(1)[a:b]
                 # rows that share the doc_id but hold another text are not meant
-                same = signatures(token, first)[0].view(np.int64) == given.to_numpy()
-                token, given = token[same[owner(first)]], given.filter(pa.array(same))
+                same = (signatures(token, first)[0] >> U64(8)).view(np.int64) == given.to_numpy()
+                token, at, given = token[same[owner(first)]], at.filter(pa.array(same)), given.filter(pa.array(same))
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[same])])
-                yield pa.RecordBatch.from_arrays([given, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(token.view(np.int64)))], names=["sig", "tokens"])
-
-    return docs.select("sig", "text").mapInArrow(run, "sig long, tokens array<long>")
-
-
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v) those whose sets are similar."""
-    left = sets.select(F.col("sig").alias("u"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("sig").alias("v"), F.col("tokens").alias("y"))
+                yield pa.RecordBatch.from_arrays([at, given, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(token.view(np.int64)))], names=["at", "sig", "tokens"])
+
+    return docs.select("at", "sig", "text").mapInArrow(run, "at long, sig long, tokens array<long>")
+
+
+def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (u, v) those whose sets are similar; ``classes`` has sig, doc_id, n and bits."""
+    side = lambda key: classes.select(F.col("sig").alias(key), F.col("n").alias(f"n_{key}"), F.col("bits").alias(f"bits_{key}"))
+    least = F.least(F.size("bits_u"), F.size("bits_v"))
+    both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    # sets of near sizes have bitmaps of one length, or one twice as long as the other
+    folded = lambda c: F.when(F.size(c) > least, both(F.slice(c, F.lit(1), least), F.slice(c, least + 1, least))).otherwise(F.col(c))
+    differ = F.aggregate(both(folded("bits_u"), folded("bits_v")), F.lit(0), lambda a, x: a + F.bit_count(x))
+    # shared tokens are at most half of what the sizes leave besides the difference
+    most = F.floor((F.col("n_u") + F.col("n_v") - differ) / 2)
+    near = pairs.join(side("u"), "u").join(side("v"), "v")
+    near = cut(near.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (100 * most >= percent * (F.col("n_u") + F.col("n_v") - most))).select("u", "v"))
+    # whole sets go to where the second class of their pair is
+    wanted = near.select(F.col("v").alias("at"), F.col("u").alias("sig")).unionByName(near.select(F.col("v").alias("at"), F.col("v").alias("sig")).distinct())
+    wanted = cut(wanted.join(classes.select("sig", "doc_id"), "sig"))
+    sets = sets_of(docs.join(if_small(wanted, SMALL), "doc_id"))
+    left = sets.filter("sig <> at").select(F.col("at").alias("v"), F.col("sig").alias("u"), F.col("tokens").alias("x"))
+    right = sets.filter("sig = at").select(F.col("at").alias("v"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
-    both = pairs.join(left, "u").join(right, "v")
-    return both.filter((100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))) & (100 * shared >= percent * (sizes - shared))).select("u", "v")
+    return cut(left.join(right, "v").filter(100 * shared >= percent * (sizes - shared)).select("u", "v").distinct())
+
+
+def small_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes of different roots and near sizes that share an entry of few classes."""
+    left = rows.select("key", F.col("sig").alias("u"), F.col("root").alias("r"), F.col("n").alias("x"))
+    right = rows.select("key", F.col("sig").alias("v"), F.col("root").alias("s"), F.col("n").alias("y"))
+    met = left.join(right, "key").filter((F.col("u") > F.col("v")) & (F.col("r") != F.col("s")) & (100 * F.least("x", "y") >= percent * F.greatest("x", "y")))
+    return met.select("u", "v")
+
+
+def large_groups(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The same for entries of many classes: blocks of them meet, and only pairs that bitmaps let pass come out."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = rows.withColumn("own", own).withColumn("at", F.explode(others)).select("key", "at.i", "at.j", "own", "sig", "root", "n")
+    dealt = dealt.join(classes.select("sig", "bits"), "sig")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sig, root, n, own = (table[c].to_numpy() for c in ("sig", "root", "n", "own"))
+        bits = table["bits"].chunk(0)
+        begin = bits.offsets.to_numpy()
+        words_of, flat = np.diff(begin), bits.flatten().to_numpy().view(U64)
+        begin = begin[:-1] - begin[0]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        found = [np.zeros((2, 0), np.int64)]
+        for length in np.unique(words_of).tolist():
+            left, right = np.flatnonzero((own == i) & (words_of == length)), np.flatnonzero((own == j) & (words_of == length))
+            one = flat[begin[left][:, None] + np.arange(length)]
+            sides = [(right, flat[begin[right][:, None] + np.arange(length)], left, one)]
+            for x, y in ((i, j), (j, i))[: 1 + (i != j)]:  # and with those whose bitmaps are twice as long
+                small, big = np.flatnonzero((own == x) & (words_of == length)), np.flatnonzero((own == y) & (words_of == 2 * length))
+                if len(small) and len(big):
+                    wide = flat[begin[big][:, None] + np.arange(2 * length)]
+                    sides.append((small, flat[begin[small][:, None] + np.arange(length)], big, wide[:, :length] ^ wide[:, length:]))
+            for many, their, few, own_bits in sides:
+                for at, mine in zip(few.tolist(), own_bits, strict=True):
+                    differ = np.bitwise_count(their ^ mine).sum(axis=1).astype(np.int64)
+                    both = n[many] + n[at]
+                    most = (both - differ) // 2
+                    ok = (root[many] != root[at]) & (100 * np.minimum(n[many], n[at]) >= percent * np.maximum(n[many], n[at])) & (100 * most >= percent * (both - most))
+                    hit = sig[many[ok]]
+                    found.append(np.stack([np.maximum(hit, sig[at]), np.minimum(hit, sig[at])]))
+        u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(meet, "u long, v long")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, combined: int = COMBINED) -> DataFrame:
@@ -184,33 +290,33 @@ def components(docs: DataFrame, percent: int = PERCENT, combined: int = COMBINED
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = cut(survey(docs))
-    members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("sig2"), F.col("n").alias("n_shingles"))
+    members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("sig2"), F.col("n").alias("n_shingles"), "bits")
     counted = seen.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")).filter(F.col("n") >= FREQUENT)
     # bounded: at most MOST_FREQUENT numbers
     top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(top, np.int64).view(U64)))
-    classes = members.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("least"))
+    classes = cut(members.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
 
     entries = index(docs, frequent, percent, combined)
     hubs = entries.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("most")).filter("hub < most").drop("most")
-    shared = cut(entries.join(hubs, "key").distinct())
-    stars = shared.filter("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")).distinct()
-    wanted = shared.select("sig").distinct().join(classes.groupBy("sig").agg(F.min("least").alias("doc_id")), "sig")
-    sets = cut(sets_of(docs.join(wanted, "doc_id")).dropDuplicates(["sig"]))
-    first = cut(links(stars, sets, percent))
+    plain = lambda c: F.col(c).bitwiseAND(F.lit((1 << 56) - 1)).alias(c)
+    shared = cut(entries.join(hubs, "key").distinct().select("key", plain("sig"), plain("hub")))
+    # one hub a class: that of most of its entries
+    votes = shared.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("n"))
+    stars = cut(votes.groupBy(F.col("sig").alias("u")).agg(F.max(F.struct("n", "hub"))["hub"].alias("v")))
+    first = links(stars, docs, classes, percent)
     roots = cut(connected(first))
 
-    labelled = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
-    apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    known = classes.select("sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("root"))
+    labelled = shared.select("key", "sig").join(known, "sig")
+    apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
     open_rows = cut(labelled.join(apart, "key"))
-    left = open_rows.select("key", F.col("sig").alias("u"), F.col("root").alias("r"))
-    right = open_rows.select("key", F.col("sig").alias("v"), F.col("root").alias("s"))
-    pairs = left.join(right, "key").filter("u > v AND r <> s").select("u", "v").distinct()
+    pairs = small_groups(open_rows.filter(F.col("m") <= SMALL_GROUP), percent).unionByName(large_groups(open_rows.filter(F.col("m") > SMALL_GROUP), classes, percent)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    late = links(pairs.join(tried, ["u", "v"], "left_anti"), sets, percent)
+    late = links(pairs.join(tried, ["u", "v"], "left_anti"), docs, classes, percent)
     every = cut(connected(first.unionByName(late)))
 
-    named = every.join(classes.groupBy("sig").agg(F.min("least").alias("least")).withColumnRenamed("sig", "node"), "node")
-    least = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("sig"), "component")
-    out = members.join(classes, ["sig", "sig2"], "left").join(least, "sig", "left")
+    named = every.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")
+    least = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component")), "root").groupBy(F.col("node").alias("sig")).agg(F.min("component").alias("component"))
+    out = members.drop("bits").join(classes.select("sig", "sig2", F.col("doc_id").alias("least")), ["sig", "sig2"], "left").join(least, "sig", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "least", "doc_id").alias("component_id"))
