@@ -82,7 +82,7 @@ TABLE_KINDS = (("average annual", "average_returns"), ("annual total return", "a
 
 def table_kind(header) -> Column:
     """What a table holds, by the first rule that its header fits."""
-    h = F.lower(F.coalesce(F.col(header), F.lit("")))
+    h = F.lower(F.coalesce(F.col(header) if isinstance(header, str) else header, F.lit("")))
     out = F.when(F.contains(h, F.lit(TABLE_KINDS[0][0])), TABLE_KINDS[0][1])
     for words, kind in TABLE_KINDS[1:]:
         out = out.when(F.contains(h, F.lit(words)), kind)

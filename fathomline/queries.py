@@ -68,7 +68,7 @@ graph_query("null_guard_sort", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCI
 graph_query("nulls_largest", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1996 RETURN f.ticker AS ticker, h.netAssets AS net ORDER BY net DESC, ticker LIMIT 30", f"WITH h AS ({HIGHLIGHT}) SELECT c_custkey AS ticker, net FROM customer LEFT JOIN h ON o_custkey = c_custkey AND year = 1996 ORDER BY net DESC NULLS FIRST, ticker LIMIT 30")
 graph_query("exists_semi", "MATCH (f:Fund) WHERE EXISTS { MATCH (f)-[:HAS_PORTFOLIO]->(p:Portfolio) WHERE p.status = 'P' } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 graph_query("not_exists_anti", "MATCH (f:Fund) WHERE NOT EXISTS { MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1998 } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998)")
-graph_query("pattern_predicate", "MATCH (c:Company) WHERE NOT (c)<-[:REPRESENTS]-(:Holding {size: 7}) RETURN c.ticker AS ticker", "SELECT s_suppkey AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7)")
+graph_query("pattern_predicate", "MATCH (c:Company) WHERE NOT (c)<-[:REPRESENTS]-(:Holding {size: 7, category: 'PROMO', sector: 'Brand#2'}) RETURN c.ticker AS ticker", "SELECT s_suppkey AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7 AND p_type = 'PROMO' AND p_brand = 'Brand#2')")
 graph_query("multi_label", "MATCH (s:Section:RiskFactor) WHERE size(s.text) > 200 RETURN s.id AS id, s.sectionType AS source", "SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE lang = 'en' AND length(text) > 200")
 graph_query("label_predicate", "MATCH (s:Section) WHERE 'Strategy' IN labels(s) RETURN s.title AS lang, count(*) AS n", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' OR lang IS NULL GROUP BY lang", {"n": "long"})
 graph_query("case_div_guard", "MATCH (h:Holding) RETURN h.nodeId AS id, CASE WHEN h.size > 0 THEN h.price / h.size ELSE null END AS unit, CASE WHEN h.size > 25 THEN 'large' WHEN h.size > 10 THEN 'middle' ELSE 'small' END AS band", "SELECT p_partkey AS id, CASE WHEN p_size > 0 THEN p_retailprice / p_size END AS unit, CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END AS band FROM part")
@@ -567,6 +567,45 @@ def embedded_chunks(t):
     return embed.embed(t("benchmark"), "text", prefix="Question:").select("item_id", "embedding")
 
 
+LETTERS = "upper(translate(substr(md5(c_name), 1, 4), '0123456789', 'ghijklmnop'))"
+
+
+@frame_query(f"SELECT c_custkey AS id, {LETTERS} AS ticker FROM customer WHERE {LETTERS} NOT IN ('FUND', 'BOND', 'NONE')")
+def ticker_pattern(t):
+    word = F.upper(F.translate(F.substring(F.md5("c_name"), 1, 4), "0123456789", "ghijklmnop"))
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("THE FUND for INC. Ticker Symbol: "), word, F.lit(" (NYSE)")).alias("text"), word.alias("w"))
+    return rows.filter(~F.col("w").isin("FUND", "BOND", "NONE")).select("id", extract.ticker("text").alias("ticker"))
+
+
+@frame_query("SELECT s_suppkey AS id, 'compare [fund] with [ticker] in ' || s_nationkey AS intent FROM supplier")
+def intent_norm(t):
+    text = F.concat(F.lit("compare Growth Index Fund with VTI in "), F.col("s_nationkey").cast("string"))
+    return t("supplier").select(F.col("s_suppkey").alias("id"), clean.intent(text).alias("intent"))
+
+
+@frame_query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'Vanguard' WHEN n_nationkey % 3 = 1 THEN 'BlackRock' ELSE 'Other' END AS provider, CAST(n_nationkey AS DOUBLE) * CASE WHEN n_nationkey % 3 = 0 THEN 1e6 ELSE 1 END AS assets FROM nation")
+def provider_units(t):
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("VANGUARD "), "n_name")).when(k % 3 == 1, F.concat("n_name", F.lit(" iShares Trust"))).otherwise(F.col("n_name"))
+    rows = t("nation").select(k.alias("id"), clean.provider(name).alias("provider"))
+    return rows.select("id", "provider", clean.in_units(F.col("id").cast("double"), F.col("provider")).alias("assets"))
+
+
+@frame_query("SELECT p_partkey AS id, CASE WHEN p_type = 'PROMO' THEN 'sector_allocation' WHEN p_type = 'SMALL' THEN 'top_holdings' ELSE 'other' END AS kind FROM part")
+def table_kinds(t):
+    header = F.when(F.col("p_type") == "PROMO", "Sector Diversification").when(F.col("p_type") == "SMALL", "Top Ten Holdings").otherwise("Notes")
+    return t("part").select(F.col("p_partkey").alias("id"), extract.table_kind(header).alias("kind"))
+
+
+@frame_query()
+def entity_resolve(t):
+    funds = t("part").select(F.col("p_partkey").alias("name_id"), F.initcap("p_name").alias("name"), F.concat(F.lit("T"), F.upper(F.substring(F.translate(F.md5("p_name"), "0123456789", "ghijklmnop"), 1, 4))).alias("ticker"))
+    firms = t("supplier").select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name"), F.lit("NONE").alias("ticker"))
+    houses = t("region").select(F.col("r_regionkey").cast("long").alias("name_id"), F.initcap("r_name").alias("name"))
+    asked = t("part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("expense ratio of "), F.regexp_replace("p_name", "^(.)(.)", "$1$2$2")).alias("query"))
+    return match.resolve(asked, funds, firms, houses).select("query_id", "kind", "name_id", F.round("score", 4).alias("score"))
+
+
 # extensions: not part of the compared engine, offered because Spark has them
 
 
