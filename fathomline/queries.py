@@ -68,7 +68,7 @@ graph_query("null_guard_sort", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCI
 graph_query("nulls_largest", "MATCH (f:Fund) OPTIONAL MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1996 RETURN f.ticker AS ticker, h.netAssets AS net ORDER BY net DESC, ticker LIMIT 30", f"WITH h AS ({HIGHLIGHT}) SELECT c_custkey AS ticker, net FROM customer LEFT JOIN h ON o_custkey = c_custkey AND year = 1996 ORDER BY net DESC NULLS FIRST, ticker LIMIT 30")
 graph_query("exists_semi", "MATCH (f:Fund) WHERE EXISTS { MATCH (f)-[:HAS_PORTFOLIO]->(p:Portfolio) WHERE p.status = 'P' } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 graph_query("not_exists_anti", "MATCH (f:Fund) WHERE NOT EXISTS { MATCH (f)-[r:HAS_FINANCIAL_HIGHLIGHT]->(h:FinancialHighlight) WHERE r.year = 1998 } RETURN f.ticker AS ticker", "SELECT c_custkey AS ticker FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998)")
-graph_query("pattern_predicate", "MATCH (c:Company) WHERE NOT (c)<-[:REPRESENTS]-(:Holding {size: 7, category: 'PROMO', sector: 'Brand#2'}) RETURN c.ticker AS ticker", "SELECT s_suppkey AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7 AND p_type = 'PROMO' AND p_brand = 'Brand#2')")
+graph_query("pattern_predicate", "MATCH (c:Company) WHERE NOT (c)<-[:REPRESENTS]-(:Holding {nodeId: 3}) RETURN c.ticker AS ticker", "SELECT s_suppkey AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey = 3)")
 graph_query("multi_label", "MATCH (s:Section:RiskFactor) WHERE size(s.text) > 200 RETURN s.id AS id, s.sectionType AS source", "SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE lang = 'en' AND length(text) > 200")
 graph_query("label_predicate", "MATCH (s:Section) WHERE 'Strategy' IN labels(s) RETURN s.title AS lang, count(*) AS n", "SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' OR lang IS NULL GROUP BY lang", {"n": "long"})
 graph_query("case_div_guard", "MATCH (h:Holding) RETURN h.nodeId AS id, CASE WHEN h.size > 0 THEN h.price / h.size ELSE null END AS unit, CASE WHEN h.size > 25 THEN 'large' WHEN h.size > 10 THEN 'middle' ELSE 'small' END AS band", "SELECT p_partkey AS id, CASE WHEN p_size > 0 THEN p_retailprice / p_size END AS unit, CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END AS band FROM part")
