@@ -24,7 +24,7 @@ from fathomline.llm.common import LOWER, U64, WS, chunks, mix, owner, spans_hash
 
 BITS = 16
 #: Labelled rows that the classifier is trained on at most.
-SAMPLE = 3000
+SAMPLE = 2000
 #: A text is kept if it is good with at least this probability.
 KEEP_FROM = 0.25
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -125,9 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, steps: int = 1
         for i in range(len(offsets) - 1):
             for part, base in ((slots[first[i] : first[i + 1]], 0), (grams[begin[i] : end[i]], 1 << BITS)):
                 at, n = np.unique(part, return_counts=True)
-                columns.append(at + base)
-                values.append(n / max(1, len(part)))
-                index.append(np.full(len(at), a + i))
+                columns.append((at + base).astype(np.int32))
+                values.append((n / max(1, len(part))).astype(np.float32))
+                index.append(np.full(len(at), a + i, np.int32))
     columns, values, index = map(np.concatenate, (columns, values, index))
     held = np.arange(len(rows)) % 5 == 0
     weights, bias = fit(columns, values, index, y, ~held, steps)
