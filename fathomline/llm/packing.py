@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
                     out += [(doc, at // 4, len(x) // 4, zlib.crc32(x), n, x) for at in range(0, len(ids), step) for x in (ids[at : at + step],)]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + ([pa.array(columns[5], pa.binary())] if keep_ids else []), names=schema.fieldNames())
+        subwords.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 

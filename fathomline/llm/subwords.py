@@ -57,6 +57,11 @@ class Subwords:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def forget(self) -> None:
+        """Gives the caches' memory back: workers outlive their tasks, and others need it."""
+        self.cache.clear()
+        self.pieces.clear()
+
     def piece(self, text: str) -> bytes:
         shown = text if text.isascii() else "".join(map(LETTERS.__getitem__, text.encode()))
         code = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
