@@ -12,8 +12,8 @@ hashes lowest, then the first. Neighbouring windows mostly agree, so about one s
 the few windows that decide no symbol of the two highest levels stand for themselves. Spark then compares: a symbol
 whose name occurs in one text only clears all windows it stands for. For a shared name, occurrences whose whole stretch
 of windows is equal form a class, and all but the class's smallest text repeat an earlier one. Only where classes of a
-name differ are the single windows compared, one occurrence a class. Equality is verified by fingerprints of words of
-the stretch or window besides the name, 96 bits in all.
+name differ are the single windows compared, one occurrence a class. Stretches of one name, which speaks for their
+middle only, are told apart by a 64-bit fingerprint of all their words; single windows by 96 bits of theirs.
 
 Scale: rows shuffled are one for each standing symbol, a fraction of the words; grouping combines before shuffling, so
 a passage in a third of all texts comes down to one row a task. Texts are shuffled by doc_id, never gathered by
@@ -172,11 +172,11 @@ def symbols(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 own, whole = text[low], spans_hash(hashes, low, high + length, BASE2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(name.view(np.int64)), pa.array((whole >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(packed(low - first[own], high - first[own], tags[a:b][own]))],
+                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed(low - first[own], high - first[own], tags[a:b][own]))],
                     names=["doc_id", "name", "whole", "place"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, name long, whole int, place long")
+    return docs.mapInArrow(run, "doc_id long, name long, whole long, place long")
 
 
 def windows_of(ranges: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -136,3 +136,25 @@ def test_connected(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 101), (101, 102), (7, 7)]
     got = dict(graph.connected(spark.createDataFrame(edges, "u long, v long")).collect())
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and got[101] == 100
+
+
+def test_stretches_of_one_name_are_told_apart_by_more_than_32_bits(spark):
+    from fathomline.llm.common import BASE2, U64, spans_hash, word_hashes, words as split
+
+    shared = " ".join(f"p{i}" for i in range(49))
+    n = 300_000
+    data = " ".join([shared, *(f"e{i}" for i in range(n))]).encode()
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends, _ = split(raw, np.array([0, len(raw)]))
+    hashes = word_hashes(raw, starts, ends)
+    rows = np.concatenate([np.repeat(hashes[None, :49], n, 0), hashes[49:, None]], axis=1).ravel()
+    at = np.arange(10_000) * 50
+    short = np.concatenate([spans_hash(rows[50 * a : 50 * (a + 10_000)], at, at + 50, BASE2) for a in range(0, n, 10_000)]) >> U64(32)
+    order = np.argsort(short, kind="stable")
+    twins = np.flatnonzero(short[order][1:] == short[order][:-1])
+    assert len(twins)
+    docs = []
+    for k in twins.tolist():
+        docs += [(len(docs) + j, f"{shared} e{order[k + j]}") for j in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(df).collect()} == {0}
