@@ -28,7 +28,8 @@ def grow(x, y, rng, depth: int, least: int, tries: int) -> list[tuple]:
             impurity = np.where(ok, left * a * (1 - a) + (len(rows) - left) * b * (1 - b), np.inf)
             i = int(impurity.argmin())
             if best is None or impurity[i] < best[0]:
-                best = (impurity[i], int(f), float((value[i] + value[i + 1]) / 2))
+                middle = float((value[i] + value[i + 1]) / 2)
+                best = (impurity[i], int(f), middle if middle < value[i + 1] else float(value[i]))  # neighbours have no middle
         if best is None:
             return at
         low = x[rows, best[1]] <= best[2]

@@ -1,8 +1,9 @@
 """Secret scans: candidates by their characters, false positives removed by a random forest.
 
-A candidate is a run of at least 12 of ``A-Z a-z 0-9 + / _ - .`` with two digits or more. The forest looks at its
-length, at transitions between kinds of characters, at how much of it dictionary words cover, at traits of paths and
-at the words beside it. It is trained on labelled findings: pieces of text with one finding each, and whether that is
+A candidate is a run of ``A-Z a-z 0-9 + / _ - .``: any of at least 12, any of at least 6 with both letters and digits,
+and any of at least 4 within 40 bytes of a word that speaks for a secret. The forest looks at its length, at transitions
+between kinds of characters, at how much of it dictionary words cover, at traits of paths and at the words on both
+sides of it. It is trained on labelled findings: pieces of text with one finding each, and whether that is
 a secret. Callers pass their own; by default findings are made from forms that secrets and look-alikes take.
 
 Scale: one pass over the texts without a shuffle; candidates are found in numpy over the bytes of a batch, and only
@@ -24,13 +25,16 @@ from pyspark.sql import DataFrame
 from fathomline.llm import forest
 from fathomline.llm.common import chunks
 
-MIN_LENGTH, MIN_DIGITS = 12, 2
+#: Least length of any candidate, of one with both letters and digits, and of one near a word that speaks for a secret.
+MIN_LENGTH, MIN_MIXED, MIN_NEAR = 12, 6, 4
 SECRET_FROM = 0.5
 MARK = b"[SECRET]"
 RUN = np.zeros(256, bool)
 RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.")] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[list(b"0123456789")] = True
+LETTER = np.zeros(256, bool)
+LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 KIND = np.full(256, 3, np.int8)
 KIND[list(b"0123456789")] = 0
 KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
@@ -39,7 +43,9 @@ KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 2
 FOR = re.compile(rb"(?i)secret|passw|passwd|pwd|token|api.?key|access.?key|private.?key|auth|bearer|credential|\bkey\b")
 AGAINST = re.compile(rb"(?i)sha\d*|md5|crc|checksum|digest|commit|revision|uuid|guid|hash|version|order|phone|isbn|build|example|sample|invoice|serial|file|path|host|mail")
 DICTIONARY = tuple(b"about access admin agent alpha api app archive asset auto base beta bin build cache change client cloud code common config content core create data date default demo device disk docs document download driver dummy error event example export file filter final format frame free global group guide header home host html http image import index info input install item java json kernel label language lib library license linux list load local logs mail main manager map master media menu message meta model module month name network node note number object office online order output package page panel part patch path photo place plain plugin print private product profile project public python query readme record release remote report request resource response result sample script search section secure server service session setting share simple site size source stable stage start state static status storage store stream string style support system table target task template test text theme thread time tmp token tool train tree type update upload user usr util value version video view volume web week window word work year".split())
-FEATURES = 18
+FEATURES = 22
+#: How keys of known services begin.
+ISSUED = re.compile(rb"AKIA[A-Z0-9]{8}|gh[pousr]_|sk-|xox[abpr]-|glpat-")
 TAIL = re.compile(rb"\.[a-z]{1,5}[0-9]?$")
 NEAR = 40
 
@@ -53,12 +59,28 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
-    use = (ends - starts >= MIN_LENGTH) & (digits[ends] - digits[starts] >= MIN_DIGITS)
+    some = ends - starts >= MIN_NEAR
+    starts, ends = starts[some], ends[some]
+    digits, letters = (np.concatenate([[0], np.cumsum(x[data])]) for x in (DIGIT, LETTER))
+    mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+    length = ends - starts
+    use = (length >= MIN_LENGTH) | (mixed & (length >= MIN_MIXED)) | near_words(data, offsets, starts, ends)
     starts, ends = starts[use], ends[use]
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def near_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a word that speaks for a secret lies in the same text within NEAR bytes before or after each run."""
+    spans = [m.span() for m in FOR.finditer(data.tobytes())]
+    if not spans or not len(starts):
+        return np.zeros(len(starts), bool)
+    at, end = np.array(spans).T
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    before = np.searchsorted(end, starts, side="right") > np.searchsorted(at, np.maximum(starts - NEAR, offsets[text]))
+    after = np.searchsorted(end, np.minimum(ends + NEAR, offsets[text + 1]), side="right") > np.searchsorted(at, ends)
+    return before | after
+
+
 def covered(value: bytes) -> float:
     """The part of a value's characters that dictionary words cover."""
     low, mark = value.lower(), bytearray(len(value))
@@ -83,11 +105,13 @@ def traits(value: bytes, left: bytes, right: bytes) -> list[float]:
     near = left[-NEAR:]
     word = re.findall(rb"[A-Za-z][A-Za-z_.-]*", near)
     last = b" ".join(word[-2:])
+    following = b" ".join(re.findall(rb"[A-Za-z][A-Za-z_.-]*", right[:NEAR])[:3])
     alike = float((raw[1:] == raw[:-1]).mean())
     return [
         float(n), float(-(p * np.log2(p)).sum()), *map(float, shares), changes, float(hexes), covered(value),
         float(value.count(b"/")), float(value.count(b".")), float(bool(TAIL.search(value))), float(value[:1] in b"/."),
         float(bool(FOR.search(last))), float(bool(AGAINST.search(last))), float(bool(re.search(rb"[=:]\s*[\"']?$", near))), alike, float(value.count(b"-")),
+        float(bool(FOR.search(following))), float(bool(AGAINST.search(following))), float(right[:1] in (b'"', b"'")), float(bool(ISSUED.match(value))),
     ]
 
 
@@ -100,19 +124,23 @@ def labelled_findings(n: int = 1500, seed: int = 7) -> list[tuple[bytes, int, in
     b64 = alnum + "+/"
     words = [w.decode() for w in DICTIONARY if len(w) > 3]
     word = lambda: pick(*words)
+    syllables = lambda k: "".join(pick(*"bcdfghklmnprstvwz", "st", "sch", "tr", "") + pick(*"aeiou", "ei", "ou") + pick("", "", "n", "r", "s", "ng") for _ in range(k))
+    names = ("token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private key", "passwd", "Bearer", "credential", "TOKEN", "KEY")
     out = []
     while len(out) < n:
         before, after = f"{word()} {word()} ", f" {word()} {word()}"
         secret = bool(rng.random() < 0.5)
         if secret:
-            value = pick(lambda: chars(pick(24, 32, 40, 64), hexes), lambda: chars(pick(24, 32, 40, 64), hexes).upper(), lambda: chars(int(rng.integers(16, 48)), alnum), lambda: chars(int(rng.integers(20, 64)), b64), lambda: "AKIA" + chars(16, alnum.upper()), lambda: pick("ghp_", "sk-", "xoxb-", "glpat-") + chars(32, alnum))()
-            name = pick("token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private key", "passwd", "Bearer", "credential", "TOKEN", "KEY")
+            value = pick(lambda: chars(pick(24, 32, 40, 64), hexes), lambda: chars(pick(24, 32, 40, 64), hexes).upper(), lambda: chars(int(rng.integers(16, 48)), alnum), lambda: chars(int(rng.integers(8, 16)), alnum), lambda: chars(int(rng.integers(20, 64)), b64), lambda: "AKIA" + chars(16, pick(alnum[:26], alnum[:26] + alnum[52:])), lambda: chars(int(rng.integers(12, 24)), alnum[:52]), lambda: pick("ghp_", "sk-", "xoxb-", "glpat-") + chars(32, alnum))()
+            name = pick(*names)
             form = pick('{} = "', "{}=", "{}: ", "{} = '", "{} ", '{}:"')
             if rng.random() < 0.1 and value[:4] in ("AKIA", "ghp_", "xoxb", "glpa"):
                 name = word()
             lead = before + form.format(name)
+            if rng.random() < 0.1:
+                lead, after = before, pick(" is the ", " as ", " (", " is my ") + pick(*names) + after
         else:
-            kind = int(rng.integers(10))
+            kind = int(rng.integers(15))
             value = [
                 lambda: chars(pick(32, 40, 64), hexes),
                 lambda: "-".join(chars(k, hexes) for k in (8, 4, 4, 4, 12)),
@@ -124,14 +152,22 @@ def labelled_findings(n: int = 1500, seed: int = 7) -> list[tuple[bytes, int, in
                 lambda: pick("EXAMPLE_", "YOUR_", "xxxxxxxx", "changeme_", "placeholder-", "dummy_") + word() + pick("_1234", "-0000", "_12345678"),
                 lambda: "_".join(word() for _ in range(3)) + f"_{rng.integers(10, 999)}",
                 lambda: f"{rng.integers(10, 99)}-{rng.integers(100, 999)}-{rng.integers(1000, 9999)}-{rng.integers(1000, 9999)}",
+                lambda: pick(str, str.capitalize, str.upper, str.upper)(syllables(int(rng.integers(2, 9)))) + pick("", "", "."),
+                lambda: pick(str, str.capitalize, str.upper)(word() + pick("", "s", "ing", "ed")) + pick("", "", "."),
+                lambda: pick("-", "_", ".", "/").join(pick(syllables(2), word()) for _ in range(rng.integers(2, 4))),
+                lambda: "".join(word().capitalize() for _ in range(rng.integers(2, 4))),
+                lambda: pick(word(), syllables(2)) + pick("", "-", "_", "v") + str(rng.integers(1, 2030)),
             ][kind]()
             if kind < 2:
                 lead = before + pick("sha1: ", "sha256=", "commit ", "md5: ", "checksum ", "uuid ", "digest = ", "revision ", "build id: ", "hash: ", 'uuid="', "serial ")
+            elif kind >= 10:
+                lead = before + pick("", "", "the ", "a ", pick(*names) + " ", pick(*names) + " is ", pick(*names) + ": ", pick(*names) + "=")
+                after = pick("", "", " " + pick(*names)) + after
             elif kind in (7, 8):
                 lead = before + pick("token = ", "password=", 'api_key: "', "file ", "")
             else:
                 lead = before + pick("", "", "file ", "see ", "path=", "order ", "phone: ", "version ", "host ", "id: ")
-        if sum(c.isdigit() for c in value) < MIN_DIGITS or len(value) < MIN_LENGTH:
+        if len(value) < MIN_NEAR:
             continue
         text = (lead + value + pick('"', " ", "", "'") + after).encode()
         out.append((text, len(lead.encode()), len(lead.encode()) + len(value), secret))

@@ -383,3 +383,21 @@ def test_rows_without_an_id(spark):
         assert count == 4
     vectors = spark.createDataFrame([(None, [1.0]), (0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert topk.search(topk.quantise(vectors), topk.quantise(vectors)).count() == 2
+
+
+def test_secrets_with_few_digits_or_characters_are_judged(spark):
+    rng = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = [c for c in alnum if not c.isdigit()]
+    draw = lambda k, a: "".join(rng.choices(a, k=k))
+    texts = [f'the password = "{draw(16, letters)}" here' for _ in range(20)] + [f"AKIA{draw(16, alnum[:26])} is the access key" for _ in range(20)]
+    texts += [f"api_key: ghp_{draw(32, letters)} here" for _ in range(20)] + [f'password="{draw(9, alnum)}" here' for _ in range(20)]
+    plain = ["the password policy changed yesterday", "their secret recommendation was straightforward", "internationalisation of the token economy"]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: len(r["findings"]) for r in secrets.scan(df).collect()}
+    for k in range(0, 80, 20):
+        assert sum(got[i] > 0 for i in range(k, k + 20)) >= 18, (k, got)
+    assert all(got[80 + i] == 0 for i in range(len(plain)))
+    assert any(s and sum(c in b"0123456789" for c in t[a:b]) < 2 for t, a, b, s in secrets.labelled_findings())
+    assert any(s and b - a < 12 for t, a, b, s in secrets.labelled_findings())
+    assert secrets.traits(b"abcdEF12", b"", b" is the password") != secrets.traits(b"abcdEF12", b"", b" is the colour")
