@@ -59,9 +59,11 @@ def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(length, key).select(key, "term", (F.col("w") / F.col("l")).alias("weight"))
 
 
-def alike(weights: DataFrame, key: str, most_frequent: int = 1000) -> DataFrame:
-    """(a, b, similarity) of texts that share a term that at most ``most_frequent`` texts have."""
-    few = weights.join(weights.groupBy("term").count().filter(F.col("count") <= most_frequent).select("term"), "term")
-    a = few.select(F.col(key).alias("a"), "term", F.col("weight").alias("x"))
-    b = few.select(F.col(key).alias("b"), "term", F.col("weight").alias("y"))
+def alike(weights: DataFrame, key: str) -> DataFrame:
+    """(a, b, similarity) of all texts that share a term, over all terms of both.
+
+    A term that k texts have makes k * k rows, as all its pairs are asked for.
+    """
+    a = weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("x"))
+    b = weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("y"))
     return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))

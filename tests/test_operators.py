@@ -95,3 +95,14 @@ def test_sources(spark, tmp_path):
     tables.write_snapshot(df, str(tmp_path / "t"))
     again = spark.read.parquet(str(tmp_path / "t"))
     assert tables.content_digest(df) == tables.content_digest(again)
+
+
+def test_similarity_counts_terms_of_many_texts(spark):
+    from pyspark.sql import functions as F
+
+    from fathomline.models import embed
+
+    common = spark.range(1001).select(F.col("id").alias("k"), F.lit("all").alias("term"), F.lit(0.6).alias("weight"))
+    rare = spark.createDataFrame([(1, "rare", 0.8), (2, "rare", 0.8)], "k long, term string, weight double")
+    got = {(r["a"], r["b"]): r["similarity"] for r in embed.alike(common.unionByName(rare), "k").filter("b <= 4 AND a > 0").collect()}
+    assert len(got) == 6 and abs(got[1, 2] - 1.0) < 1e-9 and abs(got[3, 4] - 0.36) < 1e-9
