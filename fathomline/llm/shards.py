@@ -1,6 +1,6 @@
 """Sharding: a two-pass external shuffle.
 
-Pass one scatters the records uniformly into buckets that fit in memory, by a seeded hash of the record. Pass two
+Whole records go through both passes. Pass one scatters them uniformly into buckets that fit in memory, by a seeded hash of the record. Pass two
 brings each bucket into a fixed order, shuffles it by Fisher-Yates with a generator seeded by the bucket, and places it
 behind the buckets before it. The n-th record of the whole order goes to shard n mod the number of shards, so counts
 are at most one apart (law ``rows``).
@@ -9,6 +9,8 @@ Scale: a bucket holds about ``bucket_rows`` records however many there are; the
 the buckets' counts are summed up in one place. Everything depends on the record and the seed alone, so a task that is
 run again gives the same rows.
 
+Records are told apart by a hash of all their columns, not by doc_id, which may be null or repeated.
+
 Cases: a null text has size 1 and checksum 0, like an empty one; repeated rows each have a slot of their own; an empty
 table gives no rows.
 """
@@ -17,17 +19,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from fathomline.llm.common import cut
 
 SHARDS = 16
 SEED = 29
 BUCKET_ROWS = 20_000
 
 
+def digest(at: str = "") -> list[Column]:
+    """doc_id, size and text_crc32 of a record whose columns are under ``at``."""
+    text = F.coalesce(F.col(f"{at}text"), F.lit("")).cast("binary")
+    return [F.col(f"{at}doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+
+
 def scatter(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return digest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(buckets)).cast("int"))
+    records = docs.select(F.struct("*").alias("record"), *digest(), F.xxhash64(*docs.columns).alias("print"))
+    return records.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(buckets)).cast("int"))
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -39,31 +48,36 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every record."""
+def shuffled(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """record (all columns of a row), shard and slot of every row."""
     buckets = max(1, -(-docs.count() // bucket_rows))
     records = scatter(docs, buckets, seed)
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = records.groupBy("bucket").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    counts = scatter(docs.select("doc_id", "text"), buckets, seed).groupBy("bucket").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending"), ("print", "ascending")])
         order = fisher_yates(len(table), seed, table["bucket"][0].as_py())
         at = np.empty(len(table), np.int64)
         at[order] = np.arange(len(table))
-        return table.append_column("at", pa.array(at))
+        return table.select(["record", "bucket"]).append_column("at", pa.array(at))
 
-    schema = T.StructType([*records.schema.fields, T.StructField("at", T.LongType())])
+    schema = T.StructType([records.schema["record"], records.schema["bucket"], T.StructField("at", T.LongType())])
     placed = records.groupBy("bucket").applyInArrow(place, schema)
     placed = placed.join(counts, "bucket").withColumn("n", F.col("first") + F.col("at"))
-    return placed.select("doc_id", "size", "text_crc32", F.pmod("n", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("n") / shards).cast("long").alias("slot"))
+    return placed.select("record", F.pmod("n", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("n") / shards).cast("long").alias("slot"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every record, from the shuffled records as they were written."""
+    return cut(shuffled(docs, shards, **options)).select(*digest("record."), "shard", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
     """Writes the records as Parquet, a folder for each shard, in the order of their slots.
 
-    doc_id must tell the records apart. Each shard's files come from one range of slots each, so a shard is never in
+    Each shard's files come from one range of slots each, so a shard is never in
     one task as a whole.
     """
-    placed = assign(docs, shards, **options).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = shuffled(docs, shards, **options).select("record.*", "shard", "slot")
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

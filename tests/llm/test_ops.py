@@ -401,3 +401,10 @@ def test_secrets_with_few_digits_or_characters_are_judged(spark):
     assert any(s and sum(c in b"0123456789" for c in t[a:b]) < 2 for t, a, b, s in secrets.labelled_findings())
     assert any(s and b - a < 12 for t, a, b, s in secrets.labelled_findings())
     assert secrets.traits(b"abcdEF12", b"", b" is the password") != secrets.traits(b"abcdEF12", b"", b" is the colour")
+
+
+def test_shards_hold_every_row_once_without_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a", 1), (None, None, 2), (5, "b", 3), (5, "c", 4), (5, "c", 5)], "doc_id long, text string, extra int")
+    shards.write(docs, str(tmp_path / "s"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "s")).select(*docs.columns)
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
