@@ -1,11 +1,13 @@
 """Shared by the operators: where lineage is cut, and words and fingerprints in numpy over Arrow buffers.
 
 A *word* is a run of bytes outside ``[\\x20\\x09-\\x0D]``; texts are UTF-8, so such runs are whole code points.
-A fingerprint is a polynomial in a fixed odd 64-bit base, modulo 2**64, followed by a finaliser.
+A fingerprint takes in one block of eight bytes, or one word, after the other and mixes all bits at each step, so it is
+linear in nothing; words longer than ``LONG_WORD`` bytes go through BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +21,14 @@ WS = np.zeros(256, dtype=bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE2 = 0xC2B2AE3D27D4EB4F | 1
 U64 = np.uint64
+STEP, TURN = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Bytes of a word beyond which it is hashed by itself, and words hashed together (this bounds temporary arrays).
+LONG_WORD, WORDS_AT_ONCE = 64, 1 << 16
+#: Bytes up to which a table is broadcast.
+SMALL_BYTES = 48 << 20
+#: A key with more than this part of all rows is broadcast; there can be at most 1 / HEAVY of them.
+HEAVY = 1e-3
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,24 +40,44 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the cluster's ``spark.checkpoint.dir``; only where none is named, as in tests, a temporary one."""
+    """Takes the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named in a local session."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathomline-"))
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
 
+def if_small(df: DataFrame, size=None, limit: int | None = None) -> DataFrame:
+    """A table marked for broadcast if its rows take at most ``limit`` bytes; beyond that, joins with it shuffle.
+
+    ``size`` is a column with the bytes of a row (16 a column unless given). ``df`` must be cheap to read, such as a
+    table that ``cut`` wrote.
+    """
+    total = df.agg(F.sum(F.lit(16 * len(df.columns)) if size is None else size).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= (SMALL_BYTES if limit is None else limit) else df
 
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A narrow table marked for broadcast if it has at most ``rows`` rows; beyond that, joins with it shuffle.
 
-    ``df`` must be cheap to count, such as a table that ``cut`` wrote.
+def join_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key, ``rows_of_key`` of which are in ``rows``), hot keys apart.
+
+    Keys with more than HEAVY of the ``total`` rows, 1 / HEAVY of them at most, are broadcast, so that no key's rows
+    meet in one task; all others shuffle. ``keyed`` must be cheap to read, such as a table that ``cut`` wrote.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    hot = F.col("rows_of_key") > max(1.0, HEAVY * total)
+    heavy, light = (F.broadcast(keyed.filter(hot).drop("rows_of_key")), keyed.filter(~hot).drop("rows_of_key"))
+    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(keyed.filter(hot).select(*keys)), keys, "left_anti").join(light, keys))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,27 +93,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        inverse = pow(base, -1, 1 << 64)
-        have = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, b, U64))]) for b in (base, inverse))
-        if size <= 4 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A fingerprint of each ``values[start:end]``."""
-    up, down = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A fingerprint of each ``values[start:end]``, by one mixing step a value; for short spans."""
+    length = ends - starts
+    out = mix(length.astype(U64) * TURN + STEP)
+    for k in range(int(length.max(initial=0))):
+        live = np.flatnonzero(length > k)
+        if len(live) == len(out):
+            out = mix((out ^ values[starts + k]) * STEP + TURN)
+        else:
+            out[live] = mix((out[live] ^ values[starts[live] + k]) * STEP + TURN)
+    return out
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +146,43 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_hash(data, starts, ends)
+    """A fingerprint of the bytes of each word."""
+    out = np.empty(len(starts), U64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    kept = np.concatenate([(U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1), [~U64(0)]])
+    for at in range(0, len(starts), WORDS_AT_ONCE):
+        begin, end = starts[at : at + WORDS_AT_ONCE], ends[at : at + WORDS_AT_ONCE]
+        length = end - begin
+        part = mix(length.astype(U64) * TURN + STEP)
+        live = np.flatnonzero(length <= LONG_WORD)
+        done = 0
+        while len(live):
+            block = blocks[begin[live] + done] & kept[np.minimum(length[live] - done, 8)]
+            part[live] = mix((part[live] ^ block) * STEP + TURN)
+            done += 8
+            live = live[length[live] > done]
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            part[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        out[at : at + WORDS_AT_ONCE] = part
+    return out
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space between them, and the start and end of each; neighbouring texts may touch."""
+    keep = ~WS[data]
+    out = np.where(keep, data, np.uint8(32))
+    keep[starts[starts > 0] - 1] = True
+    place = np.cumsum(keep)
+    return out[keep].tobytes(), place[starts] - 1, place[ends - 1]
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each ``raw[start:end]``, as two arrays."""
+    blake = hashlib.blake2b
+    both = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    pair = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
 
 
 def owner(first: np.ndarray) -> np.ndarray:

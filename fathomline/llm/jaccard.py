@@ -1,11 +1,12 @@
 """N-gram Jaccard join by prefixes of tokens and token combinations.
 
 A document's set holds the fingerprints of its distinct shingles of five words. All sets are in one order: rare tokens
-before frequent ones, and each class by fingerprint. Two sets of similarity t or more share one token of their
-prefixes, and two tokens of prefixes that are one token longer. So documents are indexed by each rare token of the
-extended prefix and by each combination of two frequent tokens of it. If the only shared tokens are frequent, then a
-combination of two is shared. Longer sets, of which combinations would be many, take their frequent tokens singly; in
-between, a set is indexed both ways, so that every pair within reach of each other meets.
+before frequent ones, and each class by fingerprint. Two sets of similarity t or more share s tokens of their prefixes
+if these are s - 1 tokens longer than for one. Frequent tokens are dealt into g groups by hash, and prefixes extended by
+g tokens: of g + 1 shared ones either one is rare, or two frequent ones are of one group. So documents are indexed by
+each rare token of the extended prefix and by each combination of two frequent tokens of a group. g grows with the set,
+by powers of two, so that a group has a few tokens and combinations stay in proportion to the set; a set that may link
+with smaller ones of another g is indexed with both.
 
 Which tokens count as frequent changes the cost alone: any choice gives every link. They are found by counts over all
 documents, in which tokens seen once in a stretch of a task drop out, and are bounded in number.
@@ -19,11 +20,17 @@ components is left out.
 A pair is verified in two steps: parity bitmaps of the sets bound their difference from below, so most pairs that are
 no link drop out by a few words each; whole sets are compared for the rest.
 
-Scale: index rows are about a fifth of all shingles, grouped with partial aggregation; entries of one class are dropped
-by the first grouping. Whole sets are made of classes that share an entry only.
+Classes are told apart by 120 bits of their sets: their short name of 56 bits serves for joins, and where two classes
+have the same one, both take another (``twins``).
 
-Cases: a null or empty text has an empty set and stays alone; fewer than five words are one shingle; texts are read
-whole; repeated rows and ties come under the smallest doc_id; an empty table gives an empty result.
+Scale: index rows are about a quarter of all shingles, grouped with partial aggregation; entries of one class are
+dropped by the first grouping. Whole sets are made of classes that share an entry only. Rows of empty sets meet nothing,
+and classes that hold more than a thousandth of all rows are joined by broadcast.
+
+Cases: a null or empty text has an empty set and stays alone; fewer than five words are one shingle; very long texts are
+read whole, in arrays of some 60 bytes a word; repeated rows and ties come under the smallest doc_id; rows without a
+doc_id belong to the component of the rows with an id that have an equal set, else to none (null); an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import BASE2, LOWER, U64, chunks, cut, if_small, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import LOWER, STEP, U64, chunks, cut, if_small, join_spread, mix, owner, spans_hash, word_hashes, words
 from fathomline.llm.graph import connected
 
 N = 5
@@ -44,16 +51,16 @@ PERCENT = 80
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Tokens of a task that are counted together.
 STRETCH = 1 << 21
-#: Longest set whose frequent tokens are combined.
-COMBINED = 64
+#: Shingles of a set for each group of frequent tokens, twice as many at most.
+GROUP = 16
 #: 64-bit words of a set's parity bitmap at least; a power of two.
 BITMAP = 16
 #: Classes of an index entry up to which it is joined with itself; beyond, blocks of so many classes meet.
 SMALL_GROUP, BLOCK = 16, 4096
-#: Documents whose sets are wanted up to which their ids are broadcast to the texts; beyond, texts are shuffled.
-SMALL = 2_000_000
 #: Bits of index keys; what falls together by chance is told apart when verified.
 KEY_BITS = 48
+#: Short names of classes that fall together by chance: n * n / 2 ** 57 of n classes are expected.
+MOST_TWINS = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +87,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
 def signatures(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two fingerprints of each set, whatever its order; 0 for empty sets."""
     out = []
-    for salt in (U64(11), U64(BASE2)):
+    for salt in (U64(11), STEP):
         total = np.zeros(len(token) + 1, U64)
         np.cumsum(mix(token ^ salt), out=total[1:])
         out.append(np.where(np.diff(first) > 0, mix(total[first[1:]] - total[first[:-1]]), U64(0)))
@@ -125,13 +132,24 @@ def twice(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return token[head][n > 1], n[n > 1].astype(np.int64)
 
 
+def names_of(token: np.ndarray, first: np.ndarray, twins: np.ndarray) -> np.ndarray:
+    """Short name of each set: 56 bits of its first signature, or of its second where two sets share the first."""
+    one, two = (x >> U64(8) for x in signatures(token, first))
+    return np.where(is_common(one, twins), two, one)
+
+
 def is_common(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not len(frequent):
         return np.zeros(len(token), bool)
     return frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
 
 
-def keys_of(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int, combined: int) -> tuple[np.ndarray, np.ndarray]:
+def groups_of(size: np.ndarray) -> np.ndarray:
+    """Groups of frequent tokens for sets of these sizes: powers of two."""
+    return 1 << np.maximum(np.log2(np.maximum(size // GROUP, 1)).astype(np.int64), 0)
+
+
+def keys_of(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys and the text of each."""
     own, size = owner(first), np.diff(first)
     common = is_common(token, frequent)
@@ -139,28 +157,34 @@ def keys_of(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent:
     token, common = token[order], common[order]
     place = np.arange(len(token)) - first[own]
     least = -(-percent * size // 100)
-    prefix = (size - least + 1)[own]  # of one shared token
-    rare = ~common & (place < prefix + 1)
-    single = common & (place < prefix) & (100 * size[own] >= percent * combined)
-    keys, texts = [mix(token[rare | single])], [own[rare | single]]
-    pair = np.flatnonzero(common & (place < prefix + 1) & (size[own] <= combined))
-    gap = 1
-    while len(pair) > gap:  # combinations of two tokens ``gap`` apart
-        left, right = pair[:-gap], pair[gap:]
-        same = own[left] == own[right]
-        if not same.any():
+    prefix, groups = size - least + 1, groups_of(size)  # a prefix of one shared token
+    rare = ~common & (place < (prefix + groups)[own])
+    keys, texts = [mix(token[rare])], [own[rare]]
+    smallest = groups_of(least)  # of any set that this one may link with
+    while True:
+        pair = np.flatnonzero(common & (place < (prefix + groups)[own]) & (groups >= smallest)[own])
+        if not len(pair):
             break
-        left, right = left[same], right[same]
-        keys.append(mix(mix(token[left]) * U64(3) + token[right]))
-        texts.append(own[left])
-        gap += 1
+        group = own[pair] * (int(groups.max()) + 1) + (mix(token[pair] ^ U64(55)) % groups[own[pair]].astype(U64)).astype(np.int64)
+        order = np.lexsort((token[pair], group))
+        pair, group = pair[order], group[order]
+        gap = 1
+        while len(pair) > gap:  # combinations of two tokens ``gap`` apart
+            same = group[gap:] == group[:-gap]
+            if not same.any():
+                break
+            left, right = pair[:-gap][same], pair[gap:][same]
+            keys.append(mix(mix(token[left]) * U64(3) + token[right]))
+            texts.append(own[left])
+            gap += 1
+        groups = groups // 2
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def index(docs: DataFrame, frequent, percent: int, combined: int) -> DataFrame:
+def index(docs: DataFrame, frequent, twins: np.ndarray, percent: int) -> DataFrame:
     """(key, sig) of every document with two shingles or more.
 
-    The top byte of this signature tells which part of a set is rare, so that the least signature of an entry is that
+    The top byte of this name tells which part of a set is rare, so that the least name of an entry is that
     of the set most like all others in it.
     """
 
@@ -168,11 +192,10 @@ def index(docs: DataFrame, frequent, percent: int, combined: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 token, first = shingles(data, offsets)
-                sig, _ = signatures(token, first)
                 common = np.concatenate([[0], np.cumsum(is_common(token, frequent.value))])[first]
                 rare = 127 - (127 * np.diff(common)) // np.maximum(np.diff(first), 1)
-                sig = sig >> U64(8) | rare.astype(U64) << U64(56)
-                key, text = keys_of(token, first, frequent.value, percent, combined)
+                sig = names_of(token, first, twins) | rare.astype(U64) << U64(56)
+                key, text = keys_of(token, first, frequent.value, percent)
                 use = np.diff(first)[text] > 1
                 yield pa.RecordBatch.from_arrays([pa.array((key[use] >> U64(64 - KEY_BITS)).view(np.int64)), pa.array(sig[text[use]].view(np.int64))], names=["key", "sig"])
 
@@ -197,7 +220,7 @@ def bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, twins: np.ndarray) -> DataFrame:
     """(at, sig, tokens) of the documents (at, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +229,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 token, first = shingles(data, offsets)
                 at, given = batch.column(0)[a:b], batch.column(1)[a:b]
                 # rows that share the doc_id but hold another text are not meant
-                same = (signatures(token, first)[0] >> U64(8)).view(np.int64) == given.to_numpy()
+                same = names_of(token, first, twins).view(np.int64) == given.to_numpy()
                 token, at, given = token[same[owner(first)]], at.filter(pa.array(same)), given.filter(pa.array(same))
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[same])])
                 yield pa.RecordBatch.from_arrays([at, given, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(token.view(np.int64)))], names=["at", "sig", "tokens"])
@@ -214,7 +237,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("at", "sig", "text").mapInArrow(run, "at long, sig long, tokens array<long>")
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, twins: np.ndarray, percent: int) -> DataFrame:
     """Of the pairs (u, v) those whose sets are similar; ``classes`` has sig, doc_id, n and bits."""
     side = lambda key: classes.select(F.col("sig").alias(key), F.col("n").alias(f"n_{key}"), F.col("bits").alias(f"bits_{key}"))
     least = F.least(F.size("bits_u"), F.size("bits_v"))
@@ -229,7 +252,7 @@ def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -
     # whole sets go to where the second class of their pair is
     wanted = near.select(F.col("v").alias("at"), F.col("u").alias("sig")).unionByName(near.select(F.col("v").alias("at"), F.col("v").alias("sig")).distinct())
     wanted = cut(wanted.join(classes.select("sig", "doc_id"), "sig"))
-    sets = sets_of(docs.join(if_small(wanted, SMALL), "doc_id"))
+    sets = sets_of(docs.join(if_small(wanted), "doc_id"), twins)
     left = sets.filter("sig <> at").select(F.col("at").alias("v"), F.col("sig").alias("u"), F.col("tokens").alias("x"))
     right = sets.filter("sig = at").select(F.col("at").alias("v"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -285,8 +308,29 @@ def large_groups(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return dealt.groupBy("key", "i", "j").applyInArrow(meet, "u long, v long")
 
 
-def components(docs: DataFrame, percent: int = PERCENT, combined: int = COMBINED) -> DataFrame:
+def told_apart(members: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Members and classes with one short name a class, and the names that two classes had."""
+    classes = members.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows_of_key"))
+    classes = cut(classes)
+    # bounded by chance, and checked: a name of 56 bits is rarely that of two classes
+    doubled = lambda df: df.groupBy("sig").count().filter("count > 1").select("sig")
+    found = doubled(classes).limit(MOST_TWINS + 1).toArrow()["sig"].to_numpy()
+    if not len(found):
+        return members, classes, np.zeros(0, U64)
+    if len(found) > MOST_TWINS:
+        raise RuntimeError("too many classes share a short name")
+    twins = F.broadcast(members.sparkSession.createDataFrame([(int(x),) for x in found], "twin long"))
+    rename = lambda df: df.join(twins, F.col("sig") == F.col("twin"), "left").withColumn("sig", F.when(F.col("twin").isNull(), F.col("sig")).otherwise(F.shiftrightunsigned("sig2", 8))).drop("twin")
+    members, classes = rename(members), cut(rename(classes))
+    if doubled(classes).limit(1).count():
+        raise RuntimeError("two classes share both their names")
+    return members, classes, np.sort(np.asarray(found, np.int64).view(U64))
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    if not 50 <= percent <= 100:
+        raise ValueError("similarities from 50 to 100 hundredths are indexed")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = cut(survey(docs))
@@ -295,16 +339,16 @@ def components(docs: DataFrame, percent: int = PERCENT, combined: int = COMBINED
     # bounded: at most MOST_FREQUENT numbers
     top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(top, np.int64).view(U64)))
-    classes = cut(members.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    members, classes, twins = told_apart(members)
 
-    entries = index(docs, frequent, percent, combined)
+    entries = index(docs, frequent, twins, percent)
     hubs = entries.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("most")).filter("hub < most").drop("most")
     plain = lambda c: F.col(c).bitwiseAND(F.lit((1 << 56) - 1)).alias(c)
     shared = cut(entries.join(hubs, "key").distinct().select("key", plain("sig"), plain("hub")))
     # one hub a class: that of most of its entries
     votes = shared.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("n"))
     stars = cut(votes.groupBy(F.col("sig").alias("u")).agg(F.max(F.struct("n", "hub"))["hub"].alias("v")))
-    first = links(stars, docs, classes, percent)
+    first = links(stars, docs, classes, twins, percent)
     roots = cut(connected(first))
 
     known = classes.select("sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("root"))
@@ -313,10 +357,13 @@ def components(docs: DataFrame, percent: int = PERCENT, combined: int = COMBINED
     open_rows = cut(labelled.join(apart, "key"))
     pairs = small_groups(open_rows.filter(F.col("m") <= SMALL_GROUP), percent).unionByName(large_groups(open_rows.filter(F.col("m") > SMALL_GROUP), classes, percent)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    late = links(pairs.join(tried, ["u", "v"], "left_anti"), docs, classes, percent)
+    late = links(pairs.join(tried, ["u", "v"], "left_anti"), docs, classes, twins, percent)
     every = cut(connected(first.unionByName(late)))
 
     named = every.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")
     least = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component")), "root").groupBy(F.col("node").alias("sig")).agg(F.min("component").alias("component"))
-    out = members.drop("bits").join(classes.select("sig", "sig2", F.col("doc_id").alias("least")), ["sig", "sig2"], "left").join(least, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "least", "doc_id").alias("component_id"))
+    final = cut(classes.join(least, "sig", "left").select("sig", "sig2", F.coalesce("component", "doc_id").alias("component_id"), "rows_of_key"))
+    members = members.drop("bits")
+    out = join_spread(members.filter("n_shingles > 0"), final, ["sig", "sig2"], seen.filter("kind = 0").count())
+    alone = members.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return out.unionByName(alone).select("doc_id", "n_shingles", "component_id")

@@ -12,16 +12,19 @@ hashes lowest, then the first. Neighbouring windows mostly agree, so about one s
 the few windows that decide no symbol of the two highest levels stand for themselves. Spark then compares: a symbol
 whose name occurs in one text only clears all windows it stands for. For a shared name, occurrences whose whole stretch
 of windows is equal form a class, and all but the class's smallest text repeat an earlier one. Only where classes of a
-name differ are the single windows compared, one occurrence a class. Stretches of one name, which speaks for their
-middle only, are told apart by a 64-bit fingerprint of all their words; single windows by 96 bits of theirs.
+name differ are the single windows compared, one occurrence a class. A name only brings stretches together: what is
+removed is decided by 128 bits of BLAKE2b over the stretch's or the window's words themselves.
 
-Scale: rows shuffled are one for each standing symbol, a fraction of the words; grouping combines before shuffling, so
-a passage in a third of all texts comes down to one row a task. Texts are shuffled by doc_id, never gathered by
-content, and not even that where the ranges that come back to them are few enough to be broadcast (``SMALL``).
+Scale: rows shuffled are one for each standing symbol, a fraction of the words; grouping combines before shuffling, and
+names, stretches and windows that hold more than a thousandth of all rows are joined by broadcast, so a passage in a
+third of all texts is spread over all tasks. Texts are shuffled by doc_id, never gathered by content, and not even that
+where the ranges that come back to them are few enough bytes to be broadcast.
 
 Cases: a null text has no words; a text shorter than ``length`` words loses nothing; a window repeated within one text
-alone stays; rows that share a doc_id are each judged against smaller doc_ids, not against each other; rows without a
-doc_id lose nothing and take nothing from others; an empty table gives an empty result; other columns are ignored.
+alone stays; ties between equal windows of one text do not matter, all of them go or stay; rows that share a doc_id are
+each judged against smaller doc_ids, not against each other; rows without a doc_id lose nothing and take nothing from
+others; very long texts are read whole, in arrays of some 60 bytes a word; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import BASE2, U64, chunks, cut, if_small, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import U64, chunks, cut, digests, if_small, join_spread, joined, mix, owner, spans_hash, word_hashes, words
 
 LENGTH = 50
 ROUNDS = (*("pair",) * 3, "run", "triple")
 #: Levels, from the highest down, whose symbols stand for windows; windows that decide none of them stand alone.
 STANDING = 2
-#: Texts with ranges (a few numbers each) up to which these are broadcast to the texts; beyond, texts are shuffled.
-SMALL = 1_000_000
-#: Bits of a text's checksum that tell apart rows of one doc_id, and of the number of windows in a range.
-TAG_BITS, SPAN_BITS = 25, 7
+#: Bits of the number of windows in a range; windows may be so long at most.
+SPAN_BITS = 8
 
 
 def shorten(kind: str, level: int, name, start, left, right, text):
@@ -146,37 +147,38 @@ def standing(hashes: np.ndarray, first: np.ndarray, length: int):
     return (*(np.concatenate(x) for x in zip(*found, strict=True)), text)
 
 
-def packed(low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """A range of windows of a row as one number: first window, number of windows after it, tag."""
-    return low << (TAG_BITS + SPAN_BITS) | (high - low) << TAG_BITS | tag
+def packed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A range of windows of a row as one number: first window, number of windows after it."""
+    return low << SPAN_BITS | (high - low)
 
 
-def unpacked(place="place"):
-    """Columns tag, low and high of a packed range."""
-    p = F.col(place)
-    low = F.shiftright(p, TAG_BITS + SPAN_BITS)
-    return p.bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag"), low.alias("low"), (low + F.shiftright(p, TAG_BITS).bitwiseAND(F.lit((1 << SPAN_BITS) - 1))).alias("high")
+def unpacked():
+    """Columns low and high of a packed range."""
+    p = F.col("place")
+    low = F.shiftright(p, SPAN_BITS)
+    return low.alias("low"), (low + p.bitwiseAND(F.lit((1 << SPAN_BITS) - 1))).alias("high")
 
 
 def symbols(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each standing symbol: its name, a fingerprint of its stretch of windows, and where that lies."""
+    """A row for each standing symbol: its name, a digest of its stretch of windows, and where that lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = batch.column(1).to_numpy()
             for a, b, data, offsets in chunks(batch.column(2)):
                 starts, ends, first = words(data, offsets)
-                hashes = word_hashes(data, starts, ends)
-                name, low, high, text = standing(hashes, first, length)
+                name, low, high, text = standing(word_hashes(data, starts, ends), first, length)
                 if not len(name):
                     continue
-                own, whole = text[low], spans_hash(hashes, low, high + length, BASE2)
+                raw, begin, end = joined(data, starts, ends)
+                one, two = digests(raw, begin[low], end[high + length - 1])
+                own = text[low]
+                rows = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(packed(low - first[own], high - first[own], tags[a:b][own]))],
-                    names=["doc_id", "name", "whole", "place"],
+                    [batch.column(0)[a:b].take(rows), batch.column(1)[a:b].take(rows), pa.array(name.view(np.int64)), pa.array(one), pa.array(two), pa.array(packed(low - first[own], high - first[own]))],
+                    names=["doc_id", "tag", "name", "one", "two", "place"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, name long, whole long, place long")
+    return docs.mapInArrow(run, "doc_id long, tag long, name long, one long, two long, place long")
 
 
 def windows_of(ranges: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,47 +217,50 @@ def merged(ranges: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "doc_id long, tag long, ranges array<struct<low:long,high:long>>"))
 
 
+def bytes_of_ranges():
+    return F.lit(48) + 16 * F.size("ranges")
+
+
 def window_prints(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
-    """Fingerprints of the single windows in ``ranges`` (doc_id, tag, ranges) of the texts."""
+    """Digests of the single windows in ``ranges`` (doc_id, tag, ranges) of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = batch.column(1).to_numpy()
             for a, b, data, offsets in chunks(batch.column(2)):
                 starts, ends, first = words(data, offsets)
-                hashes = word_hashes(data, starts, ends)
                 at, own = windows_of(batch.column(3)[a:b], first)
-                one, two = spans_hash(hashes, at, at + length), spans_hash(hashes, at, at + length, BASE2)
-                spot = at - first[own]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].take(pa.array(own)), pa.array(one.view(np.int64)), pa.array((two >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(packed(spot, spot, tags[a:b][own]))],
-                    names=["doc_id", "one", "two", "place"],
-                )
+                raw, begin, end = joined(data, starts, ends)
+                one, two = digests(raw, begin[at], end[at + length - 1])
+                spot, rows = at - first[own], pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(rows), batch.column(1)[a:b].take(rows), pa.array(one), pa.array(two), pa.array(packed(spot, spot))], names=["doc_id", "tag", "one", "two", "place"])
 
-    rows = docs.join(if_small(ranges, SMALL), ["doc_id", "tag"])
-    return rows.select("doc_id", "tag", "text", "ranges").mapInArrow(run, "doc_id long, one long, two int, place long")
+    rows = docs.join(if_small(ranges, bytes_of_ranges()), ["doc_id", "tag"])
+    return rows.select("doc_id", "tag", "text", "ranges").mapInArrow(run, "doc_id long, tag long, one long, two long, place long")
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, tag, ranges) of windows, by first word, that also start in a smaller doc_id's text."""
     found = cut(symbols(docs, length))
-    names = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = cut(found.join(names.filter("least < most").select("name"), "name"))
-    classes = shared.groupBy("name", "whole").agg(F.min("doc_id").alias("least"))
-    alone = classes.groupBy("name").agg((F.count("*") == 1).alias("alone"))
-    judged = shared.join(classes.join(alone, "name"), ["name", "whole"])
-    judged = cut(judged.filter((F.col("doc_id") > F.col("least")) | ~F.col("alone")).select("doc_id", *unpacked(), (F.col("doc_id") > F.col("least")).alias("later")))
+    total, least, many = found.count(), F.min("doc_id").alias("least"), F.count("*").alias("rows_of_key")
+    in_two = F.min("doc_id") < F.max("doc_id")
+    names = found.groupBy("name").agg(in_two.alias("in_two"), (F.min("one") == F.max("one")).alias("alone"), many)
+    shared = cut(join_spread(found, cut(names.filter("in_two").drop("in_two")), ["name"], total))
+    classes = cut(shared.groupBy("name", "one", "two").agg(least, many))
+    later = F.col("doc_id") > F.col("least")
+    judged = join_spread(shared, classes, ["name", "one", "two"], total)
+    judged = cut(judged.filter(later | ~F.col("alone")).select("doc_id", "tag", *unpacked(), later.alias("later")))
     prints = cut(window_prints(docs, merged(judged.filter("NOT later")), length))
-    firsts = prints.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    single = prints.join(firsts, ["one", "two"]).filter("doc_id > least").select("doc_id", *unpacked())
+    firsts = cut(prints.groupBy("one", "two").agg(in_two.alias("in_two"), least, many).filter("in_two").drop("in_two"))
+    single = join_spread(prints, firsts, ["one", "two"], prints.count()).filter(later).select("doc_id", "tag", *unpacked())
     return merged(judged.filter("later").drop("later").unionByName(single))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space; null unless ``texts``)."""
-    tag = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    tagged = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), "text")
-    rows = tagged.join(if_small(repeated_ranges(tagged, length), SMALL), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
+    if not 1 <= length <= 1 << SPAN_BITS:
+        raise ValueError(f"windows have 1 to {1 << SPAN_BITS} words")
+    tagged = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    rows = tagged.join(if_small(repeated_ranges(tagged, length), bytes_of_ranges()), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

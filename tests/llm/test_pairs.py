@@ -52,7 +52,7 @@ def test_repeats(spark, seed):
 
 
 def test_repeats_when_texts_are_shuffled(spark, monkeypatch):
-    monkeypatch.setattr(substring, "SMALL", 0)
+    monkeypatch.setattr(common, "SMALL_BYTES", 0)
     rows = corpus(3, 60)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, rows)).collect()}
     assert got == brute.repeats(rows)
@@ -95,7 +95,7 @@ def test_near_copies(spark, seed, monkeypatch):
 
 
 def test_near_copies_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 0)
+    monkeypatch.setattr(common, "SMALL_BYTES", 0)
     rows = corpus(4, 60)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(frame(spark, rows)).collect()}
     assert got == brute.near_components(rows)
@@ -115,15 +115,20 @@ def test_fixture_tables(spark, sf):
     assert got == brute.repeats(rows)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("abc"), min_size=0, max_size=30), min_size=2, max_size=8))
-def test_prefixes_meet(texts):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=0, max_size=30), min_size=2, max_size=8), st.integers(0, 2**32))
+def test_prefixes_meet(texts, seed):
     """Any two sets of similarity 0.8 share an index key, whichever tokens count as frequent."""
+    rng = random.Random(seed)  # and near copies of longer texts, around a size where groups double
+    base = [str(rng.randrange(10**9)) for _ in range(rng.choice([36, 68, 132, 260]))]
+    for _ in range(4):
+        spots = rng.sample(range(len(base)), rng.randint(0, 1 + len(base) // 40))
+        texts = [*texts, [f"x{rng.random()}" if i in spots else w for i, w in enumerate(base[: len(base) - rng.randint(0, 4)])]]
     column = pa.array([" ".join(t) for t in texts])
     data, offsets = common.texts(column)
     token, first = jaccard.shingles(data, offsets)
     for frequent in (np.zeros(0, np.uint64), np.unique(token)[::2], np.unique(token)):
-        key, text = jaccard.keys_of(token, first, frequent, 80, 6)
+        key, text = jaccard.keys_of(token, first, frequent, 80)
         keys = [set(key[text == i].tolist()) for i in range(len(texts))]
         sets = [set(token[first[i] : first[i + 1]].tolist()) for i in range(len(texts))]
         for i in range(len(texts)):
@@ -138,23 +143,77 @@ def test_connected(spark):
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and got[101] == 100
 
 
-def test_stretches_of_one_name_are_told_apart_by_more_than_32_bits(spark):
-    from fathomline.llm.common import BASE2, U64, spans_hash, word_hashes, words as split
-
-    shared = " ".join(f"p{i}" for i in range(49))
-    n = 300_000
-    data = " ".join([shared, *(f"e{i}" for i in range(n))]).encode()
-    raw = np.frombuffer(data, np.uint8)
-    starts, ends, _ = split(raw, np.array([0, len(raw)]))
-    hashes = word_hashes(raw, starts, ends)
-    rows = np.concatenate([np.repeat(hashes[None, :49], n, 0), hashes[49:, None]], axis=1).ravel()
-    at = np.arange(10_000) * 50
-    short = np.concatenate([spans_hash(rows[50 * a : 50 * (a + 10_000)], at, at + 50, BASE2) for a in range(0, n, 10_000)]) >> U64(32)
-    order = np.argsort(short, kind="stable")
-    twins = np.flatnonzero(short[order][1:] == short[order][:-1])
-    assert len(twins)
-    docs = []
-    for k in twins.tolist():
-        docs += [(len(docs) + j, f"{shared} e{order[k + j]}") for j in (0, 1)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r["n_removed"] for r in substring.remove_repeats(df).collect()} == {0}
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(spark):
+    """A 1024-letter Thue-Morse word and its complement have equal polynomials modulo 2**64, whatever the base."""
+    one = thue_morse(1024)
+    two = one.translate({97: 98, 98: 97})
+    rest = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, " ".join([one] * 60)), (4, " ".join([two] * 60)), (5, f"{one[:32]} {one[:33]} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.components(df).collect()} == brute.near_components(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
+    assert got == brute.repeats(rows) and got[4][1] == 0
+
+
+def test_word_hashes_and_spans():
+    rng = random.Random(3)
+    plain = ["".join(rng.choices("ab", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(4000)]
+    raw = np.frombuffer(" ".join(plain).encode(), np.uint8)
+    starts, ends, _ = common.words(raw, np.array([0, len(raw)]))
+    hashes = common.word_hashes(raw, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(plain))
+    assert len({(w, h) for w, h in zip(plain, hashes.tolist(), strict=True)}) == len(set(plain))
+    values = np.array([1, 2, 1, 2, 1, 2, 0, 0, 0], np.uint64)
+    h = common.spans_hash(values, np.array([0, 2, 0, 6, 6, 6]), np.array([2, 4, 4, 7, 8, 6]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 5
+    text, begin, end = common.joined(raw, starts, ends)
+    assert text.decode() == " ".join(plain) and [text[a:b].decode() for a, b in zip(begin, end, strict=True)] == plain
+
+
+def test_planted_collisions_of_names_are_told_apart(spark, monkeypatch):
+    """Names of stretches and short names of sets fall together; results stay those of brute force."""
+    standing, signatures = substring.standing, jaccard.signatures
+    monkeypatch.setattr(substring, "standing", lambda *x: (standing(*x)[0] % np.uint64(3), *standing(*x)[1:]))
+    monkeypatch.setattr(jaccard, "signatures", lambda *x: (signatures(*x)[0] % np.uint64(5) << np.uint64(8) | np.uint64(256), signatures(*x)[1]))
+    from pyspark import cloudpickle
+
+    from fathomline.llm import common as shared
+
+    for module in (substring, jaccard, shared):
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        rows = corpus(6, 60)
+        df = frame(spark, rows)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
+        assert got == brute.repeats(rows)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(df).collect()}
+        assert got == brute.near_components(rows)
+    finally:
+        for module in (substring, jaccard, shared):
+            cloudpickle.unregister_pickle_by_value(module)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    long = " ".join(f"{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 400_000), (4, "x" * 400_000 + " y"), (5, None)]
+    names = "doc_id long, text string, tag string, one int, two int, name string, sig string, n int, key string, rows_of_key int, place int"
+    df = spark.createDataFrame([(d, t, "t", 1, 2, "n", "s", 3, "k", 4, 5) for d, t in rows], names)
+    assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.components(df).collect()} == brute.near_components(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
+    assert got == brute.repeats(rows)
+    with pytest.raises(ValueError):
+        substring.remove_repeats(df, 300)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 0.01)
+    rows = corpus(9, 60) + [(1000 + i, corpus(9, 60)[-1][1]) for i in range(40)]
+    df = frame(spark, rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.components(df).collect()} == brute.near_components(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
+    assert got == brute.repeats(rows)
