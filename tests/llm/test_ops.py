@@ -339,15 +339,15 @@ def test_windows_score_each_place_once_as_whole_texts_would():
     size = np.array([0, 5, 33, 1, 17])
     flat = rng.integers(0, 50, size.sum())
     got = attention.log_probabilities(w, flat, size, class_of, context=40, stride=8)
+    assert len(got) == len(flat)
     at = 0
-    for n, g in zip(size, got, strict=True):
-        text, total = flat[at : at + n], 0.0
+    for n in size.tolist():
+        text = flat[at : at + n]
         for i in range(n):
             lo = i - i % 8 + 8 - 40
             row = np.array([[text[j - 1] if j > 0 and j - 1 < n else 50 for j in range(lo, lo + 40)]])
             logits = attention.forward(w, row, 8)[0][0, i % 8].astype(float)
-            total += logits[class_of[text[i]]] - np.log(np.exp(logits).sum())
-        assert g == pytest.approx(total, abs=1e-3)
+            assert got[at + i] == pytest.approx(logits[class_of[text[i]]] - np.log(np.exp(logits).sum()), abs=1e-3)
         at += n
 
 
@@ -362,10 +362,91 @@ def test_attention_gradient_and_learning():
         up[name][at] += 1e-5
         down[name][at] -= 1e-5
         assert grad[name][at] == pytest.approx((attention.step(up, x, y)[0] - attention.step(down, x, y)[0]) / 2e-5, rel=1e-2, abs=1e-6)
-    cycle = [np.arange(300) % 6]
-    learned = attention.train(cycle, np.arange(6), steps=200, context=8)
-    windows, target = attention.cut_windows(cycle, 8, 8, 6)
-    assert attention.step(learned, windows[1:-1], target[1:-1])[0] < 0.5 < math.log(6)
+    windows, target = attention.windows_of(np.arange(300) % 6, np.array([300]), 8, 8, 6)
+    learned, n = attention.train(attention.initial(classes=6, context=8, kinds=6), [(windows, target)], 0.02, steps=200)
+    assert n == len(windows) and attention.step(learned, windows[1:-1], target[1:-1])[0] < 0.5 < math.log(6)
+    x, y = windows[1:2], np.full((1, 8), -1)
+    assert attention.step(learned, x, y)[0] == 0  # places without a target teach nothing
+    assert all(np.allclose(attention.unpacked(attention.packed(w), w)[k], w[k], atol=1e-6) for k in w)
+
+
+def prepared(docs, held):
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held.alias("held_out"))
+
+
+def fitted(docs):
+    from fathomline.llm.common import cut
+
+    path = subwords.default_tokenizer()
+    counts = cut(lm.tokenised(lm.count_words(docs).groupBy("key").agg(F.first("word").alias("word"), F.sum("n").alias("n")), path))
+    return lm.learn(docs.filter(~F.col("held_out")), counts, path)
+
+
+def test_scores_against_a_plain_version(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(lm, "STEPS", 30)
+    rng = random.Random(2)
+    vocabulary = ["the", "of", "Über", "don't", "quixotic", "42", "\x85", "a1b2", "naïveté", "\u2003", "x" * 90]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(40)] + [(40, None), (41, "unseen wordforms only"), (42, "the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    m = fitted(prepared(docs, held))
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, held, model=m).collect()}
+
+    whole, size = Tokenizer.from_file(subwords.default_tokenizer()), m["size"]
+
+    def symbols(word):
+        if word is None:
+            return [2 * size + 1]
+        ids = whole.encode(word, add_special_tokens=False).ids or [size + 1]
+        return [2 * i for i in ids[:-1]] + [2 * ids[-1] + 1]
+
+    split = {d: [*((w.translate(brute.UP)) for w in brute.words(t)), None] for d, t in rows}
+    count = Counter(w for d, t in split.items() if d % 5 != 1 for w in t)
+    total = np.ones(2 * size + 4)
+    for w, n in count.items():
+        for x in symbols(w):
+            total[x] += n
+    kind = m["kind"].astype(int)
+    share = total / np.bincount(kind, total, attention.CLASSES)[kind]
+    words, once = Counter(), Counter()
+    for w, n in count.items():
+        words[kind[symbols(w)[0]]] += n
+        once[kind[symbols(w)[0]]] += n == 1
+    for d, text in split.items():
+        kinds = [int(m["fine"][x]) for w in text for x in symbols(w)]
+        start, at, want = len(m["class_of"]), 0, 0.0
+        for w in text:
+            parts = []
+            for x in symbols(w):
+                lo = at - at % attention.STRIDE + attention.STRIDE - attention.CONTEXT
+                row = [[kinds[j - 1] if 0 < j <= len(kinds) else start for j in range(lo, lo + attention.CONTEXT)]]
+                logits = attention.forward(m["weights"], np.array(row), attention.STRIDE)[0][0, at % attention.STRIDE].astype(float)
+                p = np.exp(logits - logits.max())
+                parts.append((p / p.sum())[kind[x]])
+                at += 1
+            c = kind[symbols(w)[0]]
+            recall = (words[c] - once[c] + 0.5) / (words[c] + 1) if words[c] else 0.0
+            spelled = math.prod(parts[1:]) * math.prod(share[x] for x in symbols(w))
+            want += math.log10(parts[0] * (recall * count[w] / max(words[c], 1) + (1 - recall) * spelled))
+        assert got[d] == pytest.approx(want, rel=1e-4), d
+    sums = np.bincount(kind, np.exp(m["inner"]), attention.CLASSES)
+    assert np.allclose(sums[np.unique(kind)], 1) and (m["recall"] < 1).all()
+
+
+def test_training_windows_grow_with_the_corpus_and_reach_the_ends_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 1)
+    early, late = (" ".join(f"{p}{i % 50}" for i in range(30000)) for p in ("m", "zq"))
+    docs = spark.createDataFrame([(i, f"{early} {late}") for i in range(3)], "doc_id long, text string")
+    m = fitted(prepared(docs, F.lit(False)))
+    shared = spark.sparkContext.broadcast(m)
+    drawn = [lm.draw_windows(df, shared, subwords.default_tokenizer()) for df in (docs.limit(1), docs)]
+    one, three = (df.count() for df in drawn)
+    assert three == 3 * one > 60000 / lm.DRAW / lm.RUN
+    kinds = set(np.frombuffer(b"".join(r["inputs"] for r in drawn[0].collect()), "<u2").tolist())
+    ids = subwords.Subwords.of(subwords.default_tokenizer()).ids(b"zq")
+    assert int(m["fine"][2 * int(np.frombuffer(ids, "<u4")[0])]) in kinds
 
 
 def test_rows_without_an_id(spark):
