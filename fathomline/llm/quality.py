@@ -4,12 +4,16 @@ The classifier is a logistic regression over hashed words and hashed 4-byte char
 rows, its scores turned into probabilities on rows that it was not trained on. It scores Arrow batches; a text's
 features are summed over its whole length.
 
-Scale: one pass over the texts, no shuffle of them. Training takes a bounded sample of labelled rows (``sample``), the
-same rows on every run, and its weights, whose number is fixed, go to the executors.
-
-Cases: a null or empty text has no words and fails the rules; texts of any length are read whole; repeated labels of a
-document count once (the highest); without labelled rows of both kinds the rules alone decide; an empty table gives an
-empty result; columns other than doc_id and text are not looked at.
+Scale: one pass over the texts, no shuffle of them. Training takes a bounded sample of labelled rows (``SAMPLE``), the
+same rows on every run; executors turn their whole texts into slots (``2 << BITS`` at most a row), and only these reach
+the driver. The weights, whose number is fixed, go to the executors.
+
+Cases: a null or empty text has no words and fails the rules; very long texts are read whole, in arrays of some 60 bytes
+a word; repeated labels of a document count once (the highest), of rows that share a sampled doc_id the first by text
+counts; with labels of two kinds the classifier is always fitted, however few they are, and every fifth row of each kind
+calibrates it (fewer than five of both kinds leave every probability at one half); without labelled rows of both kinds
+the rules alone decide; ties at the threshold are kept; repeated rows are judged each; an empty table gives an empty
+result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from fathomline.llm.common import LOWER, U64, WS, chunks, mix, owner, spans_hash
 
 BITS = 16
 #: Labelled rows that the classifier is trained on at most.
-SAMPLE = 2000
+SAMPLE = 3000
 #: A text is kept if it is good with at least this probability.
 KEEP_FROM = 0.25
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -105,33 +109,41 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """Texts of at most ``size`` labelled rows, those of the smallest hash of their doc_id, with their label."""
-    marked = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """(doc_id, quality, slots, shares) of at most ``size`` labelled rows, those of the smallest hash of their doc_id."""
+    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(size)
     # at most ``size`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(2)):
+                slots, first, grams, (begin, end) = features(data, offsets)
+                at, share = [], []
+                for i in range(b - a):
+                    both = [np.unique(part, return_counts=True) for part in (slots[first[i] : first[i + 1]], grams[begin[i] : end[i]])]
+                    at.append(np.concatenate([both[0][0], both[1][0] + (1 << BITS)]).astype(np.int32))
+                    share.append(np.concatenate([n / max(1, n.sum()) for _, n in both]).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], names=["doc_id", "quality", "slots", "shares"])
+
+    types = [labels.schema["quality"].dataType, T.ArrayType(T.IntegerType()), T.ArrayType(T.FloatType())]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in zip(("quality", "slots", "shares"), types, strict=True))])
+    return rows.select("doc_id", "quality", "text").mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, steps: int = 150) -> tuple[np.ndarray, float] | None:
     """Weights of words and n-grams and the bias, calibrated; None if the labels are not of two kinds."""
-    rows = sorted(sample(docs, labels, size).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    y = np.array([float(r["quality"] > 0) for r in rows])
-    if len(rows) < 20 or y.min() == y.max():
+    rows = sample(docs, labels, size).toArrow().sort_by("doc_id").combine_chunks()
+    y = (rows["quality"].to_numpy() > 0).astype(float)
+    if not len(y) or y.min() == y.max():
         return None
-    x = [pa.array([r["text"] for r in rows], pa.string())]
-    columns, values, index = [], [], []
-    for a, _, data, offsets in chunks(x[0]):
-        slots, first, grams, (begin, end) = features(data, offsets)
-        for i in range(len(offsets) - 1):
-            for part, base in ((slots[first[i] : first[i + 1]], 0), (grams[begin[i] : end[i]], 1 << BITS)):
-                at, n = np.unique(part, return_counts=True)
-                columns.append((at + base).astype(np.int32))
-                values.append((n / max(1, len(part))).astype(np.float32))
-                index.append(np.full(len(at), a + i, np.int32))
-    columns, values, index = map(np.concatenate, (columns, values, index))
-    held = np.arange(len(rows)) % 5 == 0
+    slots, shares = (rows[c].chunk(0) for c in ("slots", "shares"))
+    columns, values = (x.flatten().to_numpy(zero_copy_only=False) for x in (slots, shares))
+    index = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+    # every fifth row of each kind calibrates
+    held = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0)) % 5 == 0
     weights, bias = fit(columns, values, index, y, ~held, steps)
-    margin = np.bincount(index, values * weights[columns], len(rows)) + bias
+    margin = np.bincount(index, values * weights[columns], len(y)) + bias
     slope, shift = platt(margin[held], y[held])
     return (weights * slope).reshape(2, -1), float(bias * slope + shift)
 
