@@ -1,16 +1,20 @@
 """Secret scans: candidates by their characters, false positives removed by a random forest.
 
-A candidate is a run of ``A-Z a-z 0-9 + / _ - .``: any of at least 12, any of at least 6 with both letters and digits,
-and any of at least 4 within 40 bytes of a word that speaks for a secret. The forest looks at its length, at transitions
-between kinds of characters, at how much of it dictionary words cover, at traits of paths and at the words on both
-sides of it. It is trained on labelled findings: pieces of text with one finding each, and whether that is
-a secret. Callers pass their own; by default findings are made from forms that secrets and look-alikes take.
+A candidate is what stands after a word that speaks for a secret and ``=`` or ``:``, of any length and any characters up
+to white space or the closing quote; and, besides those, every run of ``A-Z a-z 0-9 + / _ - .``: any of at least 12, any
+of at least 6 with both letters and digits, and any of at least 4 within 40 bytes of a word that speaks for a secret. The
+forest looks at its length, at transitions between kinds of characters, at how much of it dictionary words cover, at
+traits of paths and at the words on both sides of it. It is trained on labelled findings: pieces of text with one finding
+each, and whether that is a secret. Callers pass their own; by default findings are made from forms that secrets and
+look-alikes take, as no table holds labelled ones.
 
-Scale: one pass over the texts without a shuffle; candidates are found in numpy over the bytes of a batch, and only
-they are looked at one by one. The forest has a bounded size.
+Scale: one pass over the texts without a shuffle; candidates are found in numpy and by one pattern over the bytes of a
+batch, and only they are looked at one by one. The forest has a bounded size.
 
-Cases: a null text is like an empty one (no candidates, redacted to an empty text when scanned, kept null in ``redact``);
-texts are read whole; overlapping findings cannot occur; an empty table gives an empty result.
+Cases: a null text is like an empty one (no candidates, redacted to an empty text when scanned, kept null with
+``carry``); very long texts are read whole, in arrays of some 40 bytes a character; overlapping findings cannot occur;
+ties at the threshold count as secrets; repeated rows are scanned each; an empty table gives an empty result; columns
+other than doc_id and text are not looked at, and come along with ``carry``.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import DataFrame
 from fathomline.llm import forest
 from fathomline.llm.common import chunks
 
-#: Least length of any candidate, of one with both letters and digits, and of one near a word that speaks for a secret.
+#: Least length of a run by itself, of one with both letters and digits, and of one near a word that speaks for a secret.
 MIN_LENGTH, MIN_MIXED, MIN_NEAR = 12, 6, 4
-SECRET_FROM = 0.5
+SECRET_FROM = 0.6
 MARK = b"[SECRET]"
 RUN = np.zeros(256, bool)
 RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.")] = True
@@ -40,10 +44,14 @@ KIND[list(b"0123456789")] = 0
 KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
 KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 2
 #: Words that speak for a secret, or for a look-alike, beside a candidate; and words found in readable names.
-FOR = re.compile(rb"(?i)secret|passw|passwd|pwd|token|api.?key|access.?key|private.?key|auth|bearer|credential|\bkey\b")
+FOR = re.compile(rb"(?i)secret|passw|passphrase|pwd|\bpin\b|token|api.?key|access.?key|private.?key|auth|bearer|credential|\bkey\b")
 AGAINST = re.compile(rb"(?i)sha\d*|md5|crc|checksum|digest|commit|revision|uuid|guid|hash|version|order|phone|isbn|build|example|sample|invoice|serial|file|path|host|mail")
+#: What is given as a secret's value: up to a quote or white space, or up to the quote it began with.
+GIVEN = re.compile(rb"""(?i)(?:secret|passw(?:or)?d|passw|passphrase|pwd|token|api.?key|access.?key|private.?key|credential|\bkey\b|\bpin\b)[\w.\-]{0,30}["']?[ \t]{0,3}(?:=>|:=|==?|:)[ \t]{0,3}(?:"([^"\s]+)"|'([^'\s]+)'|["']?([^\s"']+))""")
+CHOSEN = re.compile(rb"(?i)secret|passw|passphrase|pwd")
+PUNCTUATION = b".,;:!?)]}>"
 DICTIONARY = tuple(b"about access admin agent alpha api app archive asset auto base beta bin build cache change client cloud code common config content core create data date default demo device disk docs document download driver dummy error event example export file filter final format frame free global group guide header home host html http image import index info input install item java json kernel label language lib library license linux list load local logs mail main manager map master media menu message meta model module month name network node note number object office online order output package page panel part patch path photo place plain plugin print private product profile project public python query readme record release remote report request resource response result sample script search section secure server service session setting share simple site size source stable stage start state static status storage store stream string style support system table target task template test text theme thread time tmp token tool train tree type update upload user usr util value version video view volume web week window word work year".split())
-FEATURES = 22
+FEATURES = 26
 #: How keys of known services begin.
 ISSUED = re.compile(rb"AKIA[A-Z0-9]{8}|gh[pousr]_|sk-|xox[abpr]-|glpat-")
 TAIL = re.compile(rb"\.[a-z]{1,5}[0-9]?$")
@@ -61,20 +69,46 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     some = ends - starts >= MIN_NEAR
     starts, ends = starts[some], ends[some]
+    named, values = spoken(data, offsets)
     digits, letters = (np.concatenate([[0], np.cumsum(x[data])]) for x in (DIGIT, LETTER))
     mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
     length = ends - starts
-    use = (length >= MIN_LENGTH) | (mixed & (length >= MIN_MIXED)) | near_words(data, offsets, starts, ends)
+    use = (length >= MIN_LENGTH) | (mixed & (length >= MIN_MIXED)) | near_words(named, offsets, starts, ends)
     starts, ends = starts[use], ends[use]
+    at, until = values
+    if len(at):  # what is given as a value is one candidate, runs within it are none
+        place = np.minimum(np.searchsorted(until, starts, side="right"), len(at) - 1)
+        free = ~((at[place] < ends) & (until[place] > starts))
+        starts, ends = np.concatenate([starts[free], at]), np.concatenate([ends[free], until])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def near_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a word that speaks for a secret lies in the same text within NEAR bytes before or after each run."""
-    spans = [m.span() for m in FOR.finditer(data.tobytes())]
-    if not spans or not len(starts):
+def spoken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words that speak for a secret, and of the values given for them (unquoted ones without
+    final punctuation)."""
+    words, values, raw = [], [], data.tobytes()
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        text = raw[lo:hi]
+        found = [(lo + m.start(), lo + m.end()) for m in FOR.finditer(text)]
+        words += found
+        last = 0
+        for m in GIVEN.finditer(text) if found else ():
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 3:
+                b = a + len(text[a:b].rstrip(PUNCTUATION))
+            if last <= a < b:
+                values.append((lo + a, lo + b))
+                last = b
+    return np.array(words, np.int64).reshape(-1, 2).T, np.array(values, np.int64).reshape(-1, 2).T
+
+
+def near_words(words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether one of the words lies in the same text within NEAR bytes before or after each run."""
+    at, end = words
+    if not len(at) or not len(starts):
         return np.zeros(len(starts), bool)
-    at, end = np.array(spans).T
     text = np.searchsorted(offsets, starts, side="right") - 1
     before = np.searchsorted(end, starts, side="right") > np.searchsorted(at, np.maximum(starts - NEAR, offsets[text]))
     after = np.searchsorted(end, np.minimum(ends + NEAR, offsets[text + 1]), side="right") > np.searchsorted(at, ends)
@@ -100,18 +134,21 @@ def traits(value: bytes, left: bytes, right: bytes) -> list[float]:
     shares = np.bincount(kinds, minlength=4) / n
     _, counts = np.unique(raw, return_counts=True)
     p = counts / n
-    changes = float((kinds[1:] != kinds[:-1]).mean())
+    changes = float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0
     hexes = bool(re.fullmatch(rb"[0-9a-fA-F]+", value))
     near = left[-NEAR:]
     word = re.findall(rb"[A-Za-z][A-Za-z_.-]*", near)
     last = b" ".join(word[-2:])
     following = b" ".join(re.findall(rb"[A-Za-z][A-Za-z_.-]*", right[:NEAR])[:3])
-    alike = float((raw[1:] == raw[:-1]).mean())
+    alike = float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0
+    odd = sum(c not in b"+/_-." for c in value if not chr(c).isalnum()) / n
+    tight = re.search(rb"[=:][\"']?$", near)
     return [
         float(n), float(-(p * np.log2(p)).sum()), *map(float, shares), changes, float(hexes), covered(value),
         float(value.count(b"/")), float(value.count(b".")), float(bool(TAIL.search(value))), float(value[:1] in b"/."),
         float(bool(FOR.search(last))), float(bool(AGAINST.search(last))), float(bool(re.search(rb"[=:]\s*[\"']?$", near))), alike, float(value.count(b"-")),
         float(bool(FOR.search(following))), float(bool(AGAINST.search(following))), float(right[:1] in (b'"', b"'")), float(bool(ISSUED.match(value))),
+        odd, float(bool(CHOSEN.search(last))), float(bool(tight)), float(left[-1:] in (b'"', b"'")),
     ]
 
 
@@ -125,15 +162,23 @@ def labelled_findings(n: int = 1500, seed: int = 7) -> list[tuple[bytes, int, in
     words = [w.decode() for w in DICTIONARY if len(w) > 3]
     word = lambda: pick(*words)
     syllables = lambda k: "".join(pick(*"bcdfghklmnprstvwz", "st", "sch", "tr", "") + pick(*"aeiou", "ei", "ou") + pick("", "", "n", "r", "s", "ng") for _ in range(k))
+    signs = "!#$%&*@^~?"
+    phrase = lambda: "".join(pick(word(), syllables(2)) for _ in range(rng.integers(2, 5)))
     names = ("token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private key", "passwd", "Bearer", "credential", "TOKEN", "KEY")
     out = []
     while len(out) < n:
         before, after = f"{word()} {word()} ", f" {word()} {word()}"
         secret = bool(rng.random() < 0.5)
         if secret:
-            value = pick(lambda: chars(pick(24, 32, 40, 64), hexes), lambda: chars(pick(24, 32, 40, 64), hexes).upper(), lambda: chars(int(rng.integers(16, 48)), alnum), lambda: chars(int(rng.integers(8, 16)), alnum), lambda: chars(int(rng.integers(20, 64)), b64), lambda: "AKIA" + chars(16, pick(alnum[:26], alnum[:26] + alnum[52:])), lambda: chars(int(rng.integers(12, 24)), alnum[:52]), lambda: pick("ghp_", "sk-", "xoxb-", "glpat-") + chars(32, alnum))()
+            value = pick(lambda: chars(pick(24, 32, 40, 64), hexes), lambda: chars(pick(24, 32, 40, 64), hexes).upper(), lambda: chars(int(rng.integers(16, 48)), alnum), lambda: chars(int(rng.integers(8, 16)), alnum), lambda: chars(int(rng.integers(20, 64)), b64), lambda: "AKIA" + chars(16, pick(alnum[:26], alnum[:26] + alnum[52:])), lambda: chars(int(rng.integers(12, 24)), alnum[:52]), lambda: pick("ghp_", "sk-", "xoxb-", "glpat-") + chars(32, alnum), lambda: chars(int(rng.integers(8, 24)), alnum + signs), lambda: chars(int(rng.integers(6, 20)), alnum + signs), phrase, lambda: pick(syllables(2), word()) + chars(int(rng.integers(1, 5)), "0123456789") + pick("", "", "!", "#"))()
             name = pick(*names)
-            form = pick('{} = "', "{}=", "{}: ", "{} = '", "{} ", '{}:"')
+            weak = value.isalpha() and value.islower() or len(value) < 12 and value[:1].isalpha() and not any(c.isdigit() for c in value[1:-3])
+            weak = weak or not any(c in alnum[:26] for c in value) and value.rstrip("!#0123456789").isalpha()
+            form = pick('{} = "', "{}=", '{}="', "{} = '", '{}: "') if weak else pick('{} = "', "{}=", "{}: ", "{} = '", "{} ", '{}:"')
+            if weak:  # only what is given as a value can be told from prose
+                name = pick("password", "passwd", "secret", "pwd", "passphrase", "db_password", "client_secret", "PASSWORD")
+            if not value.isalnum() and any(c in signs for c in value) and form == "{} ":
+                form = "{}: "
             if rng.random() < 0.1 and value[:4] in ("AKIA", "ghp_", "xoxb", "glpa"):
                 name = word()
             lead = before + form.format(name)
@@ -161,7 +206,7 @@ def labelled_findings(n: int = 1500, seed: int = 7) -> list[tuple[bytes, int, in
             if kind < 2:
                 lead = before + pick("sha1: ", "sha256=", "commit ", "md5: ", "checksum ", "uuid ", "digest = ", "revision ", "build id: ", "hash: ", 'uuid="', "serial ")
             elif kind >= 10:
-                lead = before + pick("", "", "the ", "a ", pick(*names) + " ", pick(*names) + " is ", pick(*names) + ": ", pick(*names) + "=")
+                lead = before + pick("", "", "the ", "a ", pick(*names) + " ", pick(*names) + " is ", pick(*names) + ": ", pick(*names) + ": ", pick("token", "key", "auth") + "=")
                 after = pick("", "", " " + pick(*names)) + after
             elif kind in (7, 8):
                 lead = before + pick("token = ", "password=", 'api_key: "', "file ", "")
@@ -207,13 +252,13 @@ def scan(docs: DataFrame, findings=None, secret_from: float = SECRET_FROM, carry
             for a, b, data, offsets in chunks(batch.column(column)):
                 starts, ends, score, first = find(shared.value, data, offsets)
                 raw, texts, found = data.tobytes(), [], []
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     at, parts, here = lo, [], []
                     for k in range(first[i], first[i + 1]):
                         if score[k] >= secret_from:
                             s, e = int(starts[k]), int(ends[k])
-                            begin = len(raw[lo:s].decode())
-                            here.append({"start": begin, "end": begin + e - s, "score": float(score[k])})
+                            here.append({"start": int(point[s] - point[lo]), "end": int(point[e] - point[lo]), "score": float(score[k])})
                             parts += [raw[at:s], MARK]
                             at = e
                     texts.append(b"".join([*parts, raw[at:hi]]).decode())
