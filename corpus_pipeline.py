@@ -1,4 +1,10 @@
-"""The corpus pipeline: from raw documents to packed training sequences, each stage written as Parquet and read again."""
+"""The corpus pipeline: from raw documents to packed training sequences, each stage written as Parquet and read again.
+
+Each stage works on all rows that the one before it kept and judges rows, not doc_ids: rows without a doc_id, or that
+share one, are documents of their own. A null text is an empty document, which the quality rules reject; an empty table
+goes through as one; other columns than those of documents are dropped, whatever their names. What the stages do about
+very long texts, ties and repeated rows, their operators say.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.llm import jaccard, mixing, packing, quality, secrets
-from fathomline.llm.common import ensure_checkpoint_dir
+from fathomline.llm.common import cut, ensure_checkpoint_dir, if_small, remove_at_exit
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,13 +24,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of 80 % similarity hold together, the one of smallest doc_id.
+    """Of each group of documents that links of 80 % similarity hold together, the one of smallest doc_id (null last).
 
-    Documents without a doc_id stay.
+    Rows are numbered and written first, so copies are told apart also where their doc_id is null or the same. Documents
+    without words are in no group and stay.
     """
-    docs = docs.select(*COLUMNS)
-    firsts = jaccard.components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    rows = cut(docs.select(F.struct(*COLUMNS).alias("record"), F.monotonically_increasing_id().alias("row")))
+    found = jaccard.components(rows.select(F.col("row").alias("doc_id"), "record.text"))
+    ids = rows.select("row", F.col("record.doc_id").alias("id"))
+    first = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    return rows.join(if_small(cut(first.select("row"))), "row", "left_semi").select("record.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +44,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's weight asks for."""
-    docs = docs.select(*COLUMNS)
-    return mixing.stream(docs, mixing.mix(docs, boundary="round"))
+    return mixing.stream(docs.select(*COLUMNS), boundary="round")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +60,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the trained stages; the tests hold each stage against a brute-force version.
+#: SQL cannot express the trained stages; tests/llm/test_pipeline.py holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
@@ -60,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what lies between them goes to the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")

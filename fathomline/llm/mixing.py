@@ -5,23 +5,28 @@ weights over time gives the share of the token budget it shall have, and the cum
 Its documents, in a seeded order, cover its stream of words again and again; a copy of a document that begins at word
 c of the stream gets the training position t with D(t) = c. Sorting by position gives the training order.
 
+By default the curriculum moves from the sources that come first to those that come last, while each source's integral
+stays its constant weight, so the shares of the whole training are those of the weights 5, 2, 1, repeating.
+
 Scale: cumulative sizes come from buckets of the seeded order, first within each bucket, then over the few sums of the
 buckets, so a source that holds a third of all rows is spread over all tasks. Only per-source totals reach the driver
 (one row a source).
 
 Cases: a null text has no words (size 0); a null source is a source of its own, last in order; documents of size 0
-take nothing but keep a row; repeated rows count each by itself, and so do rows without a doc_id; an empty table gives
-an empty result.
+take nothing but keep a row; ties of the seeded order go by doc_id and size; repeated rows count each by itself, and so
+do rows without a doc_id; very long texts only count by their size; an empty table gives an empty result; other columns
+come along, also ones named like the results', which these replace.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fathomline.llm.common import partitions
+from fathomline.llm.common import cut, partitions
 
 #: Seeded buckets of each source's order.
 BUCKETS_PER_PARTITION = 4
@@ -29,6 +34,8 @@ CYCLE = (5.0, 2.0, 1.0)
 CAP = 3.0
 SEED = 17
 GRID = 64
+#: How much the default curriculum moves: 0 leaves weights constant, at 1 a source's weight may begin or end at none.
+TILT = 0.8
 #: Sources whose plan (some GRID numbers each) may be broadcast.
 MOST_BROADCAST = 4096
 
@@ -40,26 +47,33 @@ def n_words(text="text"):
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
     """Shares of the total by weight; what is above ``cap`` times a size is shared anew among the rest, by weight."""
-    total = float(sum(sizes))
-    out = [0.0] * len(sizes)
-    free = list(range(len(sizes)))
-    left = total
-    while free:
-        mass = sum(weights[i] for i in free)
-        if mass <= 0:
-            break
-        over = [i for i in free if left * weights[i] / mass > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / mass
+    out, left = [0.0] * len(sizes), float(sum(sizes))
+    # those with the least room for their weight are the first to be above it
+    order = sorted((i for i in range(len(sizes)) if weights[i] > 0), key=lambda i: sizes[i] / weights[i])
+    masses = list(accumulate(weights[i] for i in reversed(order)))[::-1]
+    for k, (i, mass) in enumerate(zip(order, masses, strict=True)):
+        if left * weights[i] / mass <= cap * sizes[i]:
+            for j in order[k:]:
+                out[j] = left * weights[j] / mass
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-            left -= out[i]
-            free.remove(i)
+        out[i] = cap * sizes[i]
+        left -= out[i]
     return out
 
 
+def curriculum(n: int) -> list[list[tuple[float, float]]]:
+    """Schedules of n sources with integrals in the proportions of CYCLE: the later half rises, the earlier one falls.
+
+    The weights' sum is the same at all times, so a source's share of the time is its weight's share of the sum.
+    """
+    whole = [CYCLE[i % len(CYCLE)] for i in range(n)]
+    early, late = sum(whole[: n - n // 2]), sum(whole[n - n // 2 :])
+    rise = TILT * min(1.0, early / late) if late else 0.0
+    fall = rise * late / early if early else 0.0
+    tilt = [-fall] * (n - n // 2) + [rise] * (n // 2)
+    return [[(0.0, c * (1 - a)), (1.0, c * (1 + a))] for c, a in zip(whole, tilt, strict=True)]
+
+
 def demand(schedules: list[list[tuple[float, float]]], grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Times, and for each source the integral of its share of all weights up to each time, as a part of its whole."""
     t = np.linspace(0.0, 1.0, grid + 1)
@@ -69,32 +83,32 @@ def demand(schedules: list[list[tuple[float, float]]], grid: int = GRID) -> tupl
     return t, area
 
 
-def mix(docs: DataFrame, schedule: Callable[[int, str | None], list[tuple[float, float]]] | None = None, *, cap: float = CAP, seed: int = SEED, size=None, boundary: str = "cut") -> DataFrame:
+def mix(docs: DataFrame, schedule: Callable[[int, str | None], list[tuple[float, float]]] | None = None, *, cap: float = CAP, seed: int = SEED, size=None, boundary: str = "cut", carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, source, and a text or ``size`` column) with size, source_size, target, taken, copies and positions.
 
     ``schedule(i, source)`` gives the (time, weight) points of the i-th source in code-point order, null last; by
-    default constant weights 5, 2, 1, repeating. ``copies`` counts whole or begun copies, ``taken`` their words.
+    default ``curriculum``. ``copies`` counts whole or begun copies, ``taken`` their words.
     ``boundary``: "cut" ends the last document of a source at the target's word, "round" takes it whole if more than
-    half of it lies before the target. ``positions`` are the training times of the copies.
+    half of it lies before the target. ``positions`` are the training times of the copies. Of other columns those in
+    ``carry`` come along.
     """
     spark = docs.sparkSession
-    schedule = schedule or (lambda i, _: [(0.0, CYCLE[i % len(CYCLE)]), (1.0, CYCLE[i % len(CYCLE)])])
     sized = docs.withColumn("size", n_words() if size is None else size)
     n = BUCKETS_PER_PARTITION * max(8, partitions(spark))
     key = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed))
-    narrow = sized.select("doc_id", "source", "size").withColumn("__key", key)
+    narrow = sized.select("doc_id", "source", "size", *carry).withColumn("__key", key)
     narrow = narrow.withColumn("__bucket", F.floor((F.col("__key").cast("double") / F.lit(2.0**64) + 0.5) * n).cast("int"))
     sums = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
     rows = sums.groupBy("source").agg(F.sum("__sum").alias("s")).collect()
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    points = [schedule(i, r["source"]) for i, r in enumerate(rows)]
+    points = [schedule(i, r["source"]) for i, r in enumerate(rows)] if schedule else curriculum(len(rows))
     times, area = demand(points) if rows else (np.zeros(1), np.zeros((0, 1)))
     goal = targets([r["s"] for r in rows], [float(a[-1]) for a in area], cap)
     curve = [[float(x) for x in (a / a[-1] * g if a[-1] else a)] for a, g in zip(area, goal, strict=True)]
     plan = spark.createDataFrame([(r["source"], int(r["s"]), float(g), c) for r, g, c in zip(rows, goal, curve, strict=True)], "source string, source_size long, target double, __curve array<double>")
     whole = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(whole), F.lit(0))).drop("__sum")
-    inner = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("__own", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     joined = placed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.__bucket") == F.col("o.__bucket"))).select("d.*", (F.col("__before") + F.col("__own")).alias("__at"))
     # one row a source; beyond a few thousand of them the join is left to the planner
@@ -118,12 +132,16 @@ def position(c, curve, grid: int):
     return F.least(F.lit(1.0), (i - 1 + F.when(high > low, (c - low) / (high - low)).otherwise(0.0)) / grid)
 
 
-def stream(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as often as the mix takes them, range-sorted by training position.
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix, written and range-sorted by their first training position; rows without one come last."""
+    at = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    return cut(mixed.withColumn("__at", at)).repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").drop("__at")
 
-    Rows of ``docs`` that share a doc_id are taken as often as the first of them in the mix.
-    """
-    times = mixed.filter(F.col("copies") > 0).groupBy("doc_id").agg(F.min_by("positions", "starts_at").alias("__at"))
-    times = times.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__at", F.explode("__at"))
-    return rows.repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*docs.columns)
+
+def stream(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, as often as the mix takes them, range-sorted by training position."""
+    rows = cut(docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("row")))
+    narrow = rows.select("record.doc_id", "record.source", n_words("record.text").alias("size"), "row")
+    taken = mix(narrow, size=F.col("size"), carry=("row",), **options).filter(F.col("copies") > 0)
+    out = rows.join(taken.select("row", F.col("doc_id").alias("id"), "positions"), "row").withColumn("at", F.explode("positions"))
+    return out.repartitionByRange("at", "id", "row").sortWithinPartitions("at", "id", "row").select("record.*")
