@@ -65,10 +65,56 @@ def test_curriculum(spark):
     mixed = mixing.mix(docs, lambda i, s: plan[s], boundary="round")
     at = {s: np.mean([p for r in mixed.filter(F.col("source") == s).collect() for p in r["positions"]]) for s in "ab"}
     assert at["a"] < 0.4 < 0.6 < at["b"]  # means of the shares 1 - t and t are 1/3 and 2/3
-    out = mixing.stream(docs, mixed)
+    out = mixing.stream(docs, schedule=lambda i, s: plan[s], boundary="round")
+    first = {s: i for i, s in reversed(list(enumerate(r["source"] for r in out.collect())))}
+    assert first["a"] == 0
     assert out.count() == mixed.agg(F.sum("copies")).first()[0] and out.columns == docs.columns
 
 
+def plain_targets(sizes, weights, cap=3.0):
+    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while free:
+        mass = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / mass > cap * sizes[i]]
+        for i in over or free:
+            out[i] = cap * sizes[i] if over else left * weights[i] / mass
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1000), max_size=12))
+def test_targets_and_curriculum(sizes):
+    weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+    assert mixing.targets(sizes, weights) == pytest.approx(plain_targets(sizes, weights))
+    if sizes:
+        times, area = mixing.demand(mixing.curriculum(len(sizes)))
+        assert area[:, -1] == pytest.approx(np.array(weights) / sum(weights))
+        assert (np.diff(area, axis=1) > 0).all() and (len(sizes) < 2 or area[0, 32] > 0.5 * area[0, 64] and area[-1, 32] < 0.5 * area[-1, 64])
+
+
+def test_mix_is_sorted_by_training_position(spark, sf):
+    rows = queries.op2_mixing(spark, sf).collect()
+    first = [r["positions"][0] if r["positions"] else 2.0 for r in rows]
+    assert first == sorted(first) and min(first) < 0.01 and all(len(r["positions"]) == r["copies"] for r in rows)
+    source = {r["doc_id"]: r["source"] for r in table(spark, sf, "documents").collect()}
+    names = sorted(set(source.values()))
+    words = defaultdict(lambda: [0, 0])
+    for r in rows:
+        for p in r["positions"]:
+            words[source[r["doc_id"]] in names[: len(names) - len(names) // 2]][p > 0.5] += r["size"]
+    assert words[True][0] > words[True][1] and words[False][0] < words[False][1]  # the curriculum moves on
+
+
+def test_stream_keeps_rows_apart_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 0.5), (1, "c d", "x", 0.5), (None, "e f", "x", 0.5), (None, "e f", "x", 0.5)], "doc_id long, text string, source string, at double")
+    out = mixing.stream(docs, boundary="round")
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, docs.collect())) and out.columns == docs.columns
+
+
 # sharding
 
 
@@ -89,7 +135,7 @@ def test_shards(spark, sf, odd, tmp_path):
     docs = table(spark, sf, "documents")
     shards.write(docs, str(tmp_path / "s"), bucket_rows=50)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == 16
+    assert back.count() == docs.count() and back.select(shards.SHARD).distinct().count() == 16
 
 
 def test_fisher_yates_is_uniform():
@@ -459,7 +505,7 @@ def test_rows_without_an_id(spark):
     rows = jaccard.components(df).collect()
     assert len(rows) == 4 and {r["component_id"] for r in rows if r["doc_id"]} == {1}
     mixed = mixing.mix(df, boundary="round")
-    assert mixed.count() == 4 and mixing.stream(df, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    assert mixed.count() == 4 and mixing.stream(df, boundary="round").count() == mixed.agg(F.sum("copies")).first()[0]
     for count in (packing.pack(df).filter("start = 0").count(), shards.assign(df).count(), quality.judge(df).count(), secrets.scan(df).count(), lm.score(df, F.col("doc_id") == 2).count(), urls.judge(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count()):
         assert count == 4
     vectors = spark.createDataFrame([(None, [1.0]), (0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
@@ -476,6 +522,9 @@ def test_secrets_with_few_digits_or_characters_are_judged(spark):
     plain = ["the password policy changed yesterday", "their secret recommendation was straightforward", "internationalisation of the token economy"]
     df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
     got = {r["doc_id"]: len(r["findings"]) for r in secrets.scan(df).collect()}
+    judged = ['password = "correcthorsebattery"', "password=hunter2", "api_key: Zq8!xkP0$vR2#mN7"]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(judged)), "doc_id long, text string")).collect()
+    assert all(r["n_candidates"] == 1 and len(r["findings"]) == 1 for r in found)
     for k in range(0, 80, 20):
         assert sum(got[i] > 0 for i in range(k, k + 20)) >= 18, (k, got)
     assert all(got[80 + i] == 0 for i in range(len(plain)))
@@ -489,3 +538,20 @@ def test_shards_hold_every_row_once_without_ids(spark, tmp_path):
     shards.write(docs, str(tmp_path / "s"), shards=2)
     back = spark.read.parquet(str(tmp_path / "s")).select(*docs.columns)
     assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_alike_records_spread_over_buckets(spark):
+    docs = spark.createDataFrame([(None, "same", 1)] * 900 + [(i, f"t{i}", 2) for i in range(100)], "doc_id long, text string, bucket int").repartition(4)
+    rows = shards.shuffled(docs, bucket_rows=100).collect()
+    assert max(Counter(r["bucket"] for r in rows).values()) < 200
+    placed = shards.assign(docs, bucket_rows=100).collect()
+    per = defaultdict(list)
+    for r in placed:
+        per[r["shard"]].append(r["slot"])
+    assert {len(v) for v in per.values()} <= {62, 63} and all(sorted(v) == list(range(len(v))) for v in per.values())
+
+
+def test_long_texts_make_smaller_buckets(spark):
+    docs = spark.createDataFrame([(i, "x " * 100_000, "c", 1) for i in range(12)], "doc_id long, text string, shard string, slot int")
+    rows = shards.shuffled(docs, bucket_bytes=400_000).collect()
+    assert len({r["bucket"] for r in rows}) > 2 and shards.assign(docs, bucket_bytes=400_000).count() == 12
