@@ -314,6 +314,24 @@ def test_topk(spark):
     assert set(got) == {i for i in sound if i % 50 == 0}
 
 
+def test_topk_over_many_buckets(spark, monkeypatch):
+    """Global buckets by length, equal lengths dealt apart, queries sent only where their scores may be beaten."""
+    monkeypatch.setattr(topk, "VECTORS_A_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(round(x)) for x in rng.normal(size=4) * 20 * 1.02**-i]) for i in range(300)]
+    rows += [(300 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(150)] + [(500 + i, [float(i % 3), 2.0]) for i in range(60)] + [(600, [0.0] * 4), (602, [-90.0, 0.0, 0.0, 0.0]), (604, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumn("size", F.lit("x")).withColumn("bucket", F.lit(3))
+    got = defaultdict(list)
+    for r in topk.search(df.filter("vec_id % 7 = 0 OR vec_id > 599"), df, k=4).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q, x in rows:
+        if q % 7 == 0 or q > 599:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(x) == len(y))[:4]
+            assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)], q
+    assert topk.search(df.limit(0), df).count() == 0 and topk.search(df, df.limit(0)).count() == 0
+
+
 def test_topk_large_values(spark):
     df = spark.createDataFrame([(0, [1e15, -3.0]), (1, [1e15, 1.0]), (2, [1e15, 2.0])], "vec_id long, vector array<double>")
     got = [(r["vec_id"], r["rank"]) for r in topk.search(df.filter("vec_id = 0"), df).collect()]
