@@ -128,15 +128,35 @@ def scaled(value, scale) -> Column:
     return F.regexp_replace(text(value), r"[,\s]", "").try_cast("double") * F.pow(F.lit(10.0), power)
 
 
-# Words a question's entities are compared without.
-STOPWORDS = ("the", "a", "an", "of", "for", "in", "on", "and", "or", "to", "is", "are", "was", "what", "which", "who", "how", "show", "me", "give", "tell", "about", "fund", "funds", "etf", "company", "stock", "index", "return", "list", "all", "by", "with", "from", "does", "do", "has", "have", "its", "it")
+# Words that names and questions are compared without; fund, etf, index and trust tell funds apart and stay.
+STOPWORDS = (
+    "what", "does", "show", "tell", "give", "list", "find", "which", "have", "that", "this", "from", "with", "about", "annual", "report",
+    "filing", "the", "are", "for", "and", "how", "who", "when", "say", "its", "any", "all", "also", "into", "some", "been", "were", "their",
+    "will", "would", "could", "should", "more", "most", "than", "your", "make", "where", "there", "they", "them", "these", "those", "such",
+    "each", "very", "just", "over", "like", "only", "here", "both", "between", "through", "during", "before", "after", "above", "below",
+    "since", "while", "says", "said", "using", "used", "inc", "corp", "company", "llc", "limited", "plc", "group",
+)
 
 
-def entity_tokens(c, stop: tuple[str, ...] = STOPWORDS, least: int = 3) -> Column:
-    """Words of a question that may name something: possessives and hyphens undone, stop words left out."""
-    v = F.lower(F.regexp_replace(F.regexp_replace(text(c), r"['’]s\b", ""), "-", " "))
-    words = F.regexp_extract_all(v, F.lit(r"([a-z0-9&]+)"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*stop) & (F.length(w) >= least))
+def plain_words(c) -> Column:
+    """Lower-cased words between spaces and hyphens."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text(c), F.lit(""))), "-", " "), r"\s+"), lambda w: w != "")
+
+
+def matching_text(c) -> Column:
+    """A question or name without stop words, as one string."""
+    return F.array_join(F.filter(plain_words(c), lambda w: ~w.isin(*STOPWORDS)), " ")
+
+
+def question_words(c, least: int = 3) -> Column:
+    """Words of a question that may name something: possessives and signs undone, stop words left out."""
+    v = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text(c), F.lit(""))), r"'s\b", ""), r"[^\w\s]", " ")
+    return F.filter(F.split(F.trim(v), r"\s+"), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) >= least))
+
+
+def name_words(c) -> Column:
+    """Words of a name that may tell it from others: more than three letters, no stop words."""
+    return F.filter(plain_words(c), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > 3))
 
 
 def intent(c, funds: str = r"[A-Z][A-Za-z&]+(?: [A-Z0-9][A-Za-z0-9&]*)* (?:Fund|ETF|Index)", companies: str = r"[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)* (?:Inc|Corp|Corporation|Company|Co)\b\.?") -> Column:
@@ -178,3 +198,22 @@ def compatible_form(c) -> Column:
         return _compatible(v)
 
     return F.pandas_udf(f, "string")(c)
+
+
+# Categories of asset codes that are bonds and equities.
+BOND_CATEGORY, EQUITY_CATEGORY = "Bonds", "Equities"
+
+
+def is_bond(category) -> Column:
+    """Whether a holding's category, null for codes that are not known, is that of bonds."""
+    return F.coalesce(F.col(category) == BOND_CATEGORY, F.lit(False))
+
+
+def is_equity(category) -> Column:
+    return F.coalesce(F.col(category) == EQUITY_CATEGORY, F.lit(False))
+
+
+def similarity_percent(distance) -> Column:
+    """Percent of cosine similarity of two unit vectors from their Euclidean distance, 0 at least."""
+    d = text(distance)
+    return F.greatest(F.lit(0.0), 1 - d * d / 2) * 100

@@ -28,7 +28,10 @@ def first_section(c, header: str) -> Column:
 
 
 # Capital words that are no tickers.
-NOT_TICKERS = ("THE", "AND", "FOR", "ETF", "FUND", "SEC", "USA", "NYSE", "INC", "LLC", "CEO", "CFO", "USD", "NAV", "IRA", "CUSIP", "ISIN", "PDF", "FORM", "ACT", "TRUST", "CLASS", "INDEX", "BOND", "STOCK", "NONE")
+NOT_TICKERS = (
+    "SEC", "CFA", "USA", "BID", "LLC", "INC", "IRA", "NAV", "ETF", "NYSE", "ARCA", "CBOE", "BZX", "NASDAQ", "USD", "EUR", "GBP",
+    "SUM", "PRO", "S&P", "MSCI", "FTSE", "RUSSELL", "ICE", "FAX", "TEL",
+)
 TICKER_PATTERNS = (r"(?i:ticker(?: symbol)?)\s*:?\s*\(?([A-Z]{2,6})\b", r"\(([A-Z]{3,5})\)", r"(?i:exchange)\s*:\s*([A-Z]{3,5})\b", r"\b([A-Z]{4,5}X)\b", r"\b([A-Z]{3,5})\b")
 
 

@@ -82,7 +82,16 @@ def sequence_ratio_of(a: str, b: str) -> float:
 
 def _udf(score):
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        known: dict[tuple, float] = {}
+        out = []
+        for pair in zip(a, b, strict=True):
+            if None in pair:
+                out.append(None)
+                continue
+            if pair not in known:
+                known[pair] = score(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(f, "double")
 
@@ -111,14 +120,16 @@ def sequence_ratio(a, b):
     return _udf(sequence_ratio_of)(a, b)
 
 
-def secondary(score, query_tokens, name_tokens, query_length, name_length):
-    """A score weighed by how many words are shared, and how densely, capped at 100."""
-    shared = F.size(F.array_intersect(query_tokens, name_tokens))
-    overlap = shared / F.greatest(F.size(query_tokens), F.lit(1))
-    density = shared / F.greatest(F.size(name_tokens), F.lit(1))
-    longer = F.greatest(query_length, name_length) / F.greatest(F.least(query_length, name_length), F.lit(1))
+def secondary(score, query, name):
+    """A score weighed by the part of the query's words that the name has, by how much of the name these are, and by how
+    much longer the name is; capped at 100. ``query`` and ``name`` are texts of words."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    q, n = F.array_distinct(words(query)), words(name)
+    shared = F.size(F.array_intersect(q, n))
+    longer = F.size(n) / F.greatest(F.size(q), F.lit(1))
     penalty = F.least(F.lit(0.10), 0.05 * F.greatest(F.lit(0.0), longer - 1.2))
-    return F.least(F.lit(100.0), score * (0.8 + 0.2 * overlap) * (1 + 0.1 * density - penalty))
+    weighed = score * (0.8 + 0.2 * shared / F.size(q)) * (1 + 0.1 * shared / F.greatest(F.size(n), F.lit(1)) - penalty)
+    return F.when((F.size(q) == 0) | (F.size(n) == 0), score).otherwise(F.least(F.lit(100.0), weighed))
 
 
 def register(spark) -> None:

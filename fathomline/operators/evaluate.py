@@ -112,3 +112,54 @@ def contained(small: DataFrame, large: DataFrame) -> bool:
         return reduce(lambda p, q: p.union(q), [df.select(F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns]).filter("v IS NOT NULL").distinct()
 
     return values(small).join(values(large), "v", "left_anti").isEmpty()
+
+
+# Texts that stand for no value, and how much of an expected row's values must be there.
+NULL_LIKE = ("N/A", "None", "null", "n/a", "")
+FEW_ROWS, OVERLAP = 10, 0.6
+
+
+def within(small, large):
+    """Whether each element of an array column is in another."""
+    return F.size(F.array_except(small, large)) == 0
+
+
+def comparison(generated: str, expected: str):
+    """``exact``, ``partial`` or ``mismatch`` of two results, each an array of rows, a row an array of its values as text.
+
+    Only values count. Equal sets of values are exact; one within the other is partial, and so it is if that holds for
+    the values that are no numbers, those that stand for no value left aside on the generated side.
+    """
+    g, e = (F.array_distinct(F.flatten(c)) for c in (generated, expected))
+    words = lambda c: F.filter(c, lambda v: ~v.rlike(r"^[0-9]*\.?[0-9]*$") | (v == ""))
+    gw, ew = words(g), words(e)
+    real = F.filter(gw, lambda v: ~v.isin(*NULL_LIKE))
+    some = (F.size(gw) > 0) & (F.size(ew) > 0)
+    part = within(e, g) | within(g, e) | (some & (within(gw, ew) | within(ew, gw) | ((F.size(real) > 0) & within(real, ew))))
+    empty = (F.size(generated) == 0) & (F.size(expected) > 0)
+    return F.when(empty, "mismatch").when(within(g, e) & within(e, g), "exact").when(part, "partial").otherwise("mismatch")
+
+
+def few_contained(generated: str, expected: str, most: int = FEW_ROWS, overlap: float = OVERLAP):
+    """Whether a result of few rows has only rows that an expected row holds, or is held by, or shares most values with."""
+    values = lambda row: F.array_distinct(F.filter(F.transform(row, lambda v: F.trim(v)), lambda v: v != ""))
+
+    def fits(row):
+        r = values(row)
+        like = lambda e: within(r, values(e)) | within(values(e), r) | ((F.size(values(e)) > 0) & (F.size(F.array_intersect(r, values(e))) >= overlap * F.size(values(e))))
+        return F.exists(expected, like)
+
+    return (F.size(generated) > 0) & (F.size(generated) <= most) & F.forall(generated, fits)
+
+
+def verdict(generated: str, expected: str):
+    """YES for results of equal rows whatever their order, NO for an empty one where rows are expected, else null: these
+    a judge must see. Results with nothing expected are null too."""
+    rows = lambda c: F.array_sort(F.transform(c, lambda r: F.array_sort(r)))
+    some = (F.size(generated) > 0) & (F.size(expected) > 0)
+    return F.when(some & (rows(generated) == rows(expected)), "YES").when((F.size(generated) == 0) & (F.size(expected) > 0), "NO")
+
+
+def rate_by(rows: DataFrame, category: str, flag: str, where: str = "true") -> DataFrame:
+    """The share of rows with ``flag`` in each category, among those that fit ``where``."""
+    return rows.filter(where).groupBy(category).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("rate"))

@@ -106,3 +106,37 @@ def counters(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def backfill_categories(holdings: DataFrame, categories: DataFrame, code: str = "asset_category", column: str = "category") -> DataFrame:
+    """Holdings without a category take that of their code (categories: code, and ``column``); others keep theirs, so
+    doing it again changes nothing. The join is left to the planner: the table of codes is small as a rule."""
+    known = categories.select(F.col("code").alias("__code"), F.col(column).alias("__new"))
+    joined = holdings.join(known, F.col(code) == F.col("__code"), "left")
+    return joined.withColumn(column, F.coalesce(F.col(column), F.col("__new"))).drop("__code", "__new")
+
+
+def add_charts(charts: DataFrame, new: DataFrame) -> DataFrame:
+    """Charts (ticker, title, svg) with new ones; one of the same ticker and title is replaced."""
+    return upsert.merge(charts, new, ["ticker", "title"])
+
+
+def charts_of(charts: DataFrame, ticker: str, title: str | None = None) -> DataFrame:
+    rows = charts.filter(F.upper("ticker") == ticker.upper())
+    return rows if title is None else rows.filter(F.contains(F.lower("title"), F.lit(title.lower())))
+
+
+FUND_TABLES = ("Fund", "HAS_SHARE_CLASS", "Profile", "Objective", "Strategy", "Risk", "MANAGED_BY", "FinancialHighlight", "AverageReturns", "EXTRACTED_FROM")
+
+
+def emptied(tables: dict[str, DataFrame], only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The tables without their rows: all of them, or ``only`` those named, such as FUND_TABLES."""
+    return {name: df.limit(0) if only is None or name in only else df for name, df in tables.items()}
+
+
+def with_prospectus(funds: DataFrame, prospectuses: DataFrame, key: str = "ticker") -> DataFrame:
+    """Funds with what their prospectus says where they have one; what both have, the fund's own row tells."""
+    more = [c for c in prospectuses.columns if c != key]
+    one = prospectuses.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(f"__{c}") for c in more])
+    joined = funds.join(one, key, "left")
+    return joined.select(*funds.columns, *[F.col(f"__{c}").alias(c) for c in more if c not in funds.columns])

@@ -1,56 +1,84 @@
-"""Fuzzy joins: blocked, in stages, so that costly scores are taken of few pairs."""
+"""Fuzzy joins: an index of three-letter pieces finds the pairs, so that costly scores are taken of few."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomline.functions import clean, fuzzy
 
+#: Part of the shorter text's pieces that two texts must share to be compared.
+SHARE = 0.4
+
+
+def pieces(c, n: int = 3) -> Column:
+    """The distinct runs of ``n`` letters of a text that begins and ends with a space."""
+    v = F.concat(F.lit(" "), c, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - n + 1)), lambda i: F.substring(v, i, n)))
 
-def top_matches(queries: DataFrame, names: DataFrame, threshold: float, keep: int, band: float = 5.0, scorer=fuzzy.weighted_ratio, blocked: bool = True) -> DataFrame:
-    """For each query (query_id, query) the names (name_id, name) within ``band`` of its best score, if that reaches
-    ``threshold``; ``keep`` at most.
 
-    Pairs come from an equi-join on the first three letters of words (``blocked``), or, for name lists that are small,
-    from all pairs.
+def candidates(left: DataFrame, right: DataFrame, share: float = SHARE) -> DataFrame:
+    """Pairs (x, y) of the distinct texts x of ``left`` and y of ``right`` that share at least ``share`` of the pieces of
+    the one with fewer; all such pairs, whatever the order of their words and wherever they differ.
+
+    A text with fewer pieces meets the other by one of its rarest pieces, as many as make sure of it, so pieces that most
+    texts have bring no pairs together unless a text has no others.
     """
-    if blocked:
-        keys = lambda c: F.array_distinct(F.transform(clean.entity_tokens(c), lambda w: F.substring(w, 1, 3)))
-        left = queries.withColumn("block", F.explode(keys("query")))
-        right = names.withColumn("block", F.explode(keys("name")))
-        pairs = left.join(right, "block").drop("block").dropDuplicates(["query_id", "name_id"])
-    else:
-        pairs = queries.crossJoin(names)
-    scored = pairs.withColumn("score", scorer(F.lower("query"), F.lower("name")))
-    by = Window.partitionBy("query_id")
+    a = left.select("x").filter("x <> ''").distinct().withColumn("px", pieces(F.col("x")))
+    b = right.select("y").filter("y <> ''").distinct().withColumn("py", pieces(F.col("y")))
+    both = a.select(F.explode("px").alias("g")).unionByName(b.select(F.explode("py").alias("g")))
+    seen = both.groupBy("g").agg(F.count("*").alias("often"))
+
+    def placed(df: DataFrame, text: str, parts: str) -> DataFrame:
+        rows = df.select(text, F.size(parts).alias(f"n{text}"), F.explode(parts).alias("g")).join(seen, "g")
+        return rows.withColumn(f"at{text}", F.row_number().over(Window.partitionBy(text).orderBy("often", "g"))).drop("often")
+
+    first = lambda text: F.col(f"at{text}") <= F.col(f"n{text}") - F.ceil(F.col(f"n{text}") * share) + 1
+    x, y = placed(a, "x", "px"), placed(b, "y", "py")
+    short = x.filter(first("x")).join(y, "g").filter("nx <= ny")
+    long = y.filter(first("y")).join(x, "g").filter("ny < nx")
+    met = short.select("x", "y").unionByName(long.select("x", "y")).distinct().join(a, "x").join(b, "y")
+    enough = F.size(F.array_intersect("px", "py")) >= F.ceil(F.least(F.size("px"), F.size("py")) * share)
+    return met.filter(enough).select("x", "y")
+
+
+def top_matches(queries: DataFrame, names: DataFrame, threshold: float, keep: int, band: float = 5.0, scorer=fuzzy.weighted_ratio, share: float = SHARE) -> DataFrame:
+    """For each query (query_id, query) the names (name_id, name) within ``band`` of its best score, if that reaches
+    ``threshold``; ``keep`` at most. Texts are compared without case, distinct pairs once."""
+    q, n = queries.withColumn("x", F.lower("query")), names.withColumn("y", F.lower("name"))
+    scored = candidates(q, n, share).withColumn("score", scorer(F.col("x"), F.col("y")))
+    return best_of(q.join(scored, "x").join(n, "y").drop("x", "y"), threshold, keep, band)
+
+
+def best_of(scored: DataFrame, threshold, keep, band: float, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Of each query's scored names those within ``band`` of the best, if that reaches ``threshold``; these and ``keep``
+    may be columns."""
+    by = Window.partitionBy(*by)
     ranked = scored.withColumn("top", F.max("score").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "name_id")))
     return ranked.filter((F.col("top") >= threshold) & (F.col("score") >= F.col("top") - band) & (F.col("rank") <= keep)).drop("top")
 
 
-def cascade(left: DataFrame, right: DataFrame, threshold: float = 0.74, block: int = 6, wide_block: int = 3) -> DataFrame:
-    """Matches (left_id, right_id, score, stage) of names by equality, then within blocks of first letters.
+def cascade(left: DataFrame, right: DataFrame, threshold: float = 0.74, block: int = 6, share: float = SHARE) -> DataFrame:
+    """Matches (left_id, right_id, score, stage) of names, each stage for what those before it left.
 
     Stage ``exact``: equal normalised names. Stage ``prefix``: best sequence ratio among names with the same ``block``
-    first letters. Stage ``wide``: word-set ratio among names with the same ``wide_block`` first letters. What a stage
-    matches does not reach the next one. Names that are empty when normalised match nothing.
+    first letters. Stage ``wide``: best word-set ratio among all names, found by ``candidates``. Ties go to the smaller
+    right_id. Names that are empty when normalised match nothing.
     """
-    a = left.withColumn("norm", clean.company_name("name")).filter("norm <> ''")
-    b = right.withColumn("norm", clean.company_name("name")).filter("norm <> ''")
-    one = b.groupBy("norm").agg(F.min("right_id").alias("right_id"))
-    exact = a.join(one, "norm").select("left_id", "right_id", F.lit(1.0).alias("score"), F.lit("exact").alias("stage"))
-    rest = a.join(exact, "left_id", "left_anti")
-
-    def stage(rest: DataFrame, n: int, scorer, name: str) -> DataFrame:
-        x = rest.select("left_id", F.col("norm").alias("x"), F.substring("norm", 1, n).alias("block"))
-        y = b.select("right_id", F.col("norm").alias("y"), F.substring("norm", 1, n).alias("block"))
-        scored = x.join(y, "block").withColumn("score", scorer)
-        best = scored.filter(F.col("score") >= threshold).groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("m"))
-        return best.select("left_id", (-F.col("m.r")).alias("right_id"), F.col("m.score").alias("score"), F.lit(name).alias("stage"))
-
-    prefix = stage(rest, block, fuzzy.sequence_ratio("x", "y"), "prefix")
-    rest = rest.join(prefix, "left_id", "left_anti")
-    wide = stage(rest, wide_block, fuzzy.token_set_ratio("x", "y") / 100, "wide")
-    return exact.unionByName(prefix).unionByName(wide)
+    a = left.select("left_id", clean.company_name("name").alias("x")).filter("x <> ''")
+    b = right.select("right_id", clean.company_name("name").alias("y")).filter("y <> ''").groupBy("y").agg(F.min("right_id").alias("right_id"))
+    equal = a.join(b, F.col("x") == F.col("y"), "left").select("left_id", "x", F.col("right_id").alias("equal_id"))
+    # lengths bound the ratio: pairs too far apart are not scored
+    near = 2 * F.least(F.length("x"), F.length("y")) >= threshold * (F.length("x") + F.length("y"))
+    begins = (F.substring("x", 1, block) == F.substring("y", 1, block)) & near
+    scored = candidates(equal.filter("equal_id IS NULL"), b, share).join(b, "y")
+    scored = scored.withColumn("prefix", fuzzy.sequence_ratio(F.when(begins, F.col("x")), "y")).withColumn("wide", fuzzy.token_set_ratio("x", "y") / 100)
+    best = lambda c: F.max(F.when(F.col(c) >= threshold, F.struct(F.col(c).alias("score"), (-F.col("right_id")).alias("r")))).alias(c)
+    one = equal.join(scored.groupBy("x").agg(best("prefix"), best("wide")), "x", "left")
+    is_ = lambda c, name: F.when(F.col(c).isNotNull(), F.struct((-F.col(f"{c}.r")).alias("right_id"), F.col(f"{c}.score").alias("score"), F.lit(name).alias("stage")))
+    exact = F.when(F.col("equal_id").isNotNull(), F.struct(F.col("equal_id").alias("right_id"), F.lit(1.0).alias("score"), F.lit("exact").alias("stage")))
+    return one.select("left_id", F.coalesce(exact, is_("prefix", "prefix"), is_("wide", "wide")).alias("m")).filter("m IS NOT NULL").select("left_id", "m.*")
 
 
 def equal_then_contained(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -74,25 +102,140 @@ def first_equal(left: DataFrame, right: DataFrame, on: str, order: str) -> DataF
     return left.withColumn("__k", F.lower(on)).join(first, "__k", "left").drop("__k")
 
 
-def resolve(queries: DataFrame, funds: DataFrame, companies: DataFrame, providers: DataFrame) -> DataFrame:
+def containing(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (name, part) of the distinct texts whose lower-cased, trimmed part lies in the lower-cased name.
+
+    A part meets the names by its rarest piece of three letters, or by itself if it is shorter.
+    """
+    whole, low = names.select("name").distinct(), F.trim(F.lower("part"))
+    small = parts.select("part", low.alias("low")).filter("low <> ''").distinct()
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[runs(F.lower("name"), n) for n in (1, 2, 3)]))
+    index = whole.select("name", F.explode(every).alias("g"))
+    often = index.groupBy("g").agg(F.count("*").alias("often"))
+    keys = small.select("part", "low", F.explode(F.when(F.length("low") < 3, F.array("low")).otherwise(runs(F.col("low"), 3))).alias("g"))
+    rarest = keys.join(often, "g", "left").groupBy("part", "low").agg(F.min_by("g", F.struct(F.coalesce("often", F.lit(0)), "g")).alias("g"))
+    return rarest.join(index, "g").filter(F.contains(F.lower("name"), F.col("low"))).select("name", "part")
+
+
+def with_series(funds: DataFrame, reports: DataFrame) -> DataFrame:
+    """``funds`` (name) with the series_id of a report (fund_name, series_id, row) whose name lies in theirs; of several
+    the last by ``row``. Reports without a name or series take no part."""
+    sound = reports.filter("fund_name <> '' AND series_id <> ''")
+    met = containing(funds.select("name"), sound.select(F.col("fund_name").alias("part"))).join(sound, F.col("part") == F.col("fund_name"))
+    last = met.groupBy("name").agg(F.max_by("series_id", "row").alias("series_id"))
+    return funds.join(last, "name", "left")
+
+
+# Texts that stand for no share class.
+NO_CLASS = ("", "none", "nan", "<na>", "other", "unknown")
+
+
+def share_class_rows(rows: DataFrame, key: str, wanted: str, have: str) -> DataFrame:
+    """Of each key's rows those whose class (``have``) fits the one ``wanted``, with how they were found (``fit``).
+
+    1: one text holds the other, both name none, or both speak of exchange-traded shares; if none does, 2: rows without
+    a class; if there are none, 3: all rows.
+    """
+    norm = lambda c: F.coalesce(clean.finance_name(c), F.lit(""))
+    w, h = norm(wanted), norm(have)
+    none = lambda c: c.isin(*NO_CLASS)
+    etf = F.contains(w, F.lit("etf")) & (F.contains(h, F.lit("etf")) | F.contains(h, F.lit("shares")))
+    fits = F.when(none(w), none(h)).otherwise(F.contains(h, w) | F.contains(w, h) | etf)
+    empty = F.lower(F.trim(F.coalesce(F.col(have), F.lit("")))).isin(*NO_CLASS)
+    ranked = rows.withColumn("fit", F.when(fits, 1).when(empty, 2).otherwise(3))
+    return ranked.withColumn("__b", F.min("fit").over(Window.partitionBy(key))).filter("fit = __b").drop("__b")
+
+
+def name_lookup(names: DataFrame, text: str, most: int = 2) -> DataFrame:
+    """Names (name_id, name) with a word within ``most`` edits of a word of ``text``; ``distance`` is the least.
+
+    One pass over the names; the words of the search are few.
+    """
+    asked = [w for w in text.lower().replace("~", " ").split() if w]
+    words = F.split(F.lower("name"), r"[^\p{L}\p{N}]+")
+    edits = [F.array_min(F.transform(words, lambda x: F.levenshtein(x, F.lit(w)))) for w in asked]  # noqa: B023
+    least = F.least(*edits) if len(edits) > 1 else edits[0] if edits else F.lit(None).cast("int")
+    return names.select("name_id", "name", least.alias("distance")).filter(F.col("distance") <= most)
+
+
+# Words that tell which kinds of names a question may hold.
+KEYWORDS = {
+    "provider": ("provider", "manage", "manages", "managed"),
+    "trust": ("trust", "vanguard index funds"),
+    "fund": ("fund", "etf", "index", "portfolio", "holdings", "strategy", "prospectus", "stock", "market", "ratio", "performance", "return", "allocation", "equity", "bond", "sector", "objective", "risk"),
+    "company": ("company", "10-k", "10k", "annual", "filing", "revenue", "earnings", "ceo", "executive", "insider", "acquisition", "merger", "fiscal", "inc", "corp", "business", "report", "financials", "financial", "highlights", "quarterly", "balance sheet", "income statement", "portfolio"),
+}
+# Words that ask about many funds at once.
+AGGREGATE = ("highest", "lowest", "best", "worst", "most", "least", "greatest", "average", "across all", "among all", "every fund", "all funds", "compare all", "rank all", "top fund", "bottom fund")
+# Scores from which a match holds, and how many are kept.
+CUTOFFS = {"provider": 60.0, "trust": 75.0, "fund": 82.0, "aggregate": 87.0, "company": 70.0}
+KEPT = {"fund": 5, "company": 3}
+BAND, TOKEN_FROM, PARTIAL_GAIN = 5.0, 80.0, 1.1
+
+
+def any_of(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def is_aggregate(c="query") -> Column:
+    """Whether a question is about many funds; one with a word of two to five capitals is not."""
+    return ~F.col(c).rlike(r"\b[A-Z]{2,5}\b") & any_of(F.lower(c), AGGREGATE)
+
+
+def capital_words(c="query") -> Column:
+    """Words of two characters or more, without signs and possessive endings, that are written in capitals."""
+    words = F.transform(F.split(F.trim(F.col(c)), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, "'[Ss]$", ""), "[^A-Za-z0-9]", ""))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & (w == F.upper(w))))
+
+
+def token_scores(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, kind, name_id, s): the best plain ratio of a word of the query with one of the name, from TOKEN_FROM.
+    Words are compared once each."""
+    q = queries.select("query_id", F.explode(F.array_distinct(clean.question_words("query"))).alias("x"))
+    n = names.select("kind", "name_id", F.explode(F.array_distinct(clean.name_words("name"))).alias("y"))
+    scored = candidates(q, n, 0.25).withColumn("s", fuzzy.ratio("x", "y")).filter(F.col("s") >= TOKEN_FROM)
+    return q.join(scored, "x").join(n, "y").groupBy("query_id", "kind", "name_id").agg(F.max("s").alias("s"))
+
+
+def named(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, kind, name_id, name, score) of the names (kind, name_id, name) that a question may mean: the best of
+    word-set ratio, partial ratio with a gain, and single words, weighed by the words in common."""
+    q = queries.select("query_id", clean.matching_text("query").alias("x"))
+    n = names.select("kind", "name_id", "name", clean.matching_text("name").alias("y"))
+    whole = candidates(q, n).withColumn("s", F.greatest(fuzzy.token_set_ratio("x", "y"), F.least(F.lit(100.0), PARTIAL_GAIN * fuzzy.partial_ratio("x", "y"))))
+    text = q.join(whole, "x").join(n, "y").select("query_id", "kind", "name_id", "s")
+    best = text.unionByName(token_scores(queries, names)).groupBy("query_id", "kind", "name_id").agg(F.max("s").alias("s"))
+    rows = best.join(q, "query_id").join(n, ["kind", "name_id"])
+    return rows.select("query_id", "kind", "name_id", "name", fuzzy.secondary(F.col("s"), F.col("x"), F.col("y")).alias("score"))
+
+
+def resolve(queries: DataFrame, funds: DataFrame, companies: DataFrame, providers: DataFrame, trusts: DataFrame | None = None) -> DataFrame:
     """(query_id, kind, name_id, name, score): what a question names.
 
-    A ticker in capitals scores 100 and leaves funds out; providers from 60, funds from 82 (87 for questions about many
-    funds), companies from 70; up to five funds and three companies within 5 of the best.
-    ``funds`` and ``companies`` have name_id, name, ticker; ``providers`` name_id, name.
+    A ticker in capitals scores 100 and leaves funds out. Which kinds of names are looked for, KEYWORDS tell; from which
+    score they hold, CUTOFFS; of providers and trusts the best one is kept, of funds and companies those within BAND of
+    the best. ``funds`` and ``companies`` have name_id, name, ticker; ``providers`` and ``trusts`` name_id, name.
     """
-    tickers = queries.withColumn("ticker", F.explode(F.regexp_extract_all("query", F.lit(r"\b([A-Z]{2,6})\b"), F.lit(1))))
-    named = funds.withColumn("kind", F.lit("fund")).unionByName(companies.withColumn("kind", F.lit("company")))
-    exact = tickers.join(named, "ticker").select("query_id", "kind", "name_id", "name", F.lit(100.0).alias("score")).distinct()
-    many = F.lower("query").rlike(r"\b(all|average|total|how many|which funds|top|compare|highest|lowest|most)\b") & ~F.col("query").rlike(r"\b[A-Z]{2,5}\b")
-    open_queries = queries.join(exact, "query_id", "left_anti").withColumn("many", many)
-    pick = lambda q, n, least, keep, kind: top_matches(q, n.select("name_id", "name"), least, keep).select("query_id", F.lit(kind).alias("kind"), "name_id", "name", "score")
-    few = pick(open_queries.filter("NOT many").select("query_id", "query"), funds, 82, 5, "fund")
-    wide = pick(open_queries.filter("many").select("query_id", "query"), funds, 87, 5, "fund")
-    firms = pick(queries.select("query_id", "query"), companies, 70, 3, "company")
-    held = pick(queries.select("query_id", "query"), providers, 60, 1, "provider")
-    parts = [exact, few, wide, firms, held]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kinds = lambda **tables: functools.reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "name_id", "name", *(["ticker"] if "ticker" in df.columns else [])) for k, df in tables.items()])
+    low = F.lower("query")
+    every, houses = kinds(fund=funds, company=companies), kinds(provider=providers, **({} if trusts is None else {"trust": trusts}))
+    flagged = queries.select("query_id", "query", is_aggregate().alias("many"), *[any_of(low, words).alias(f"asks_{k}") for k, words in KEYWORDS.items()])
+    tickers = queries.withColumn("ticker", F.explode(capital_words()))
+    exact = tickers.join(every, "ticker").select("query_id", "kind", "name_id", "name", F.lit(100.0).alias("score")).distinct()
+    flagged = flagged.join(exact.select("query_id").distinct().withColumn("has_ticker", F.lit(True)), "query_id", "left")
+    asked = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"asks_{k}")) for k in KEYWORDS]) & ((F.col("kind") != "fund") | F.col("has_ticker").isNull())
+    cutoff = F.coalesce(*[F.when(F.col("kind") == k, F.when(F.col("many"), CUTOFFS["aggregate"]).otherwise(CUTOFFS[k]) if k == "fund" else CUTOFFS[k]) for k in KEYWORDS])
+    keep = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in KEPT.items()], F.lit(1))
+
+    pick = lambda scored: best_of(scored.join(flagged.drop("query"), "query_id").filter(asked), cutoff, keep, BAND, ("query_id", "kind")).select(*exact.columns)
+    some = flagged.filter("asks_fund OR asks_company").select("query_id", "query")
+    held = flagged.filter("asks_provider OR asks_trust").select("query_id", low.alias("x"))
+    n = houses.withColumn("y", F.lower("name"))
+    score = F.when(F.col("kind") == "trust", fuzzy.partial_ratio("x", "y")).otherwise(fuzzy.weighted_ratio("x", "y"))
+    scored = held.join(candidates(held, n), "x").join(n, "y").withColumn("score", score)
+    out = exact.unionByName(pick(named(some, every))).unionByName(pick(scored.select(*exact.columns)))
     return out.groupBy("query_id", "kind", "name_id", "name").agg(F.max("score").alias("score"))

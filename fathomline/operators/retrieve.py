@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def dot(a, b) -> Column:
@@ -33,29 +34,37 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", col
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 256) -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 256, rows: int = 8192) -> DataFrame:
     """query_id, rank, key and score of the ``k`` nearest vectors of every query (query_id, query).
 
-    Queries come in blocks of ``block``; a task multiplies a block with a batch of vectors and passes on its best k.
+    Queries are dealt into blocks of ``block`` and vectors into blocks of ``rows``, whose numbers grow with the tables;
+    a task multiplies one block with another and passes on its best k. Null vectors take no part.
     """
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("b"))
-    packed = dealt.groupBy("b").agg(F.collect_list("query_id").alias("qs"), F.collect_list("query").alias("qv"))
-    there = vectors.filter(F.col(column).isNotNull()).select(key, column)
-    there = there.groupBy(F.pmod(F.xxhash64(key), F.lit(16)).alias("p")).agg(F.collect_list(key).alias("ks"), F.collect_list(column).alias("vs"))
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def run(frames):
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        for frame in frames:
-            for row in frame.itertuples():
-                score = unit(np.array([np.asarray(v, float) for v in row.qv])) @ unit(np.array([np.asarray(v, float) for v in row.vs])).T
-                for i, q in enumerate(row.qs):
-                    best = np.lexsort((row.ks, -score[i]))[:k]
-                    yield pd.DataFrame({"query_id": q, key: np.asarray(row.ks)[best], "score": score[i][best]})
-
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double"
-    met = packed.crossJoin(there).mapInPandas(run, schema)  # blocks of a stated query set against all vectors
+    asked = queries.filter(F.col("query").isNotNull())
+    there = vectors.filter(F.col(column).isNotNull()).select(F.col(key).alias("item"), F.transform(column, lambda x: x.cast("double")).alias("vector"))
+    n_queries, n_vectors = max(1, -(-asked.count() // block)), max(1, -(-there.count() // rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query_id", F.transform("query", lambda x: x.cast("double")).alias("vector"), deal("query_id", n_queries).alias("q"), every(n_vectors).alias("v"))
+    right = there.select("item", "vector", every(n_queries).alias("q"), deal("item", n_vectors).alias("v"))
+    types = {"query_id": queries.schema["query_id"].dataType, key: vectors.schema[key].dataType}
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        asked_ids, items, scores = [], [], []
+        if len(one) and len(two):
+            matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            two = two.sort_by("item")  # ties go to the smaller key
+            ids, keys, score = one["query_id"].to_pylist(), two["item"].to_pylist(), unit(matrix(one)) @ unit(matrix(two)).T
+            for i, q in enumerate(ids):
+                best = np.argsort(-score[i], kind="stable")[:k]
+                asked_ids += [q] * len(best)
+                items += [keys[j] for j in best]
+                scores += score[i][best].tolist()
+        return pa.table({"query_id": pa.array(asked_ids, one.schema.field("query_id").type), key: pa.array(items, two.schema.field("item").type), "score": pa.array(scores, pa.float64())})
+
+    schema = T.StructType([*(T.StructField(n, t) for n, t in types.items()), T.StructField("score", T.DoubleType())])
+    met = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(meet, schema)
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked.filter(F.col("rank") <= k)
 
@@ -143,3 +152,16 @@ def rerank(hits: DataFrame, scorer, keep: int = 5, key: str = "vec_id") -> DataF
     by = scorer("query", "text") if scorer else F.col("score")
     ranked = hits.withColumn("rerank_score", by).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), key)))
     return ranked.filter(F.col("rank") <= keep)
+
+
+#: Length of a name from which it is trusted as an exact filter.
+TRUSTED_NAME = 7
+
+
+def answer_chunks(vectors: DataFrame, query: list[float], name: str | None, scorer=None, metadata: str = "name", fetched: int = 15, keep: int = 5, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """The ``keep`` best chunks for a question: those near it of the entity that it names, if that name is long enough
+    to be trusted and has chunks, else near ones of all; reranked by ``scorer`` where there is one."""
+    near = knn(vectors, query, fetched, key, column)
+    if name and len(name) > TRUSTED_NAME:
+        near = with_fallback(knn(vectors.filter(F.col(metadata) == name), query, fetched, key, column), near)
+    return rerank(near.withColumn("query_id", F.lit(0)), scorer, keep, key)

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathomline.functions.chunk import word_windows
+from fathomline.operators.match import name_lookup
 from fathomline.operators.retrieve import bm25, knn
 from fathomline.plans.language.compile import ID, Graph
 from fathomline.sources.tables import table
@@ -83,7 +84,11 @@ class FundGraph:
             "HAS_CHUNK": lambda: self.chunks.select(F.col("sectionId").alias("src"), F.col("id").alias("dst")),
         })
         indexes = {"section_text": lambda g, args: bm25(g.vertex("Section").select(F.col("id").alias(ID), "text"), args[0], int(args[1]) if len(args) > 1 else 10)}
-        return Graph(vertices, edges, indexes=indexes, index_labels={"section_text": "Section"}, keys={"Provider": "id", "Trust": "id"})
+        by_vector = lambda g, args: knn(self.vectors(), args[1], int(args[0])).select(F.col("vec_id").cast("string").alias(ID), "score")
+        by_name = lambda g, args: name_lookup(g.vertex("Holding").select(F.col("nodeId").alias("name_id"), "name"), args[0]).select(F.col("name_id").alias(ID), (1.0 / (1 + F.col("distance"))).alias("score"))
+        indexes |= {"section_vector": by_vector, "holding_name": by_name}
+        labels = {"section_text": "Section", "section_vector": "Section", "holding_name": "Holding"}
+        return Graph(vertices, edges, indexes=indexes, index_labels=labels, keys={"Provider": "id", "Trust": "id"})
 
     def vectors(self) -> DataFrame:
         return self.t("embeddings")

@@ -440,6 +440,8 @@ class Compiler:
             return F.col(f"`{e.args[0].name}$__type`")
         if e.name not in FUNCTIONS:
             raise QueryError(f"no function {e.name}", "UNKNOWN_FUNCTION")
+        if e.name == "size" and frame.df is not None and frame.df.select(a[0]).schema[0].dataType.typeName() in ("array", "map"):
+            return F.size(a[0])
         return FUNCTIONS[e.name](*a)
 
 

@@ -1,6 +1,7 @@
 """Operators that SQL does not cover: matching, upserts, streams, evaluation, what follows a result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.operators import evaluate, match, post, retrieve, upsert
 from fathomline.sources import tables
@@ -44,10 +45,85 @@ def test_resolver(spark):
     funds = spark.createDataFrame([(1, "Vanguard 500 Index Fund", "VFIAX"), (2, "Vanguard Extended Market Index Fund", "VEXAX")], "name_id long, name string, ticker string")
     firms = spark.createDataFrame([(5, "Amazon", "AMZN"), (6, "Apple", "AAPL")], "name_id long, name string, ticker string")
     houses = spark.createDataFrame([(9, "Vanguard")], "name_id long, name string")
-    asked = spark.createDataFrame([(1, "price of VFIAX"), (2, "vanguard 500 index fund"), (3, "who leads amazoon")], "query_id long, query string")
-    got = {(r["query_id"], r["kind"]): r["name"] for r in match.resolve(asked, funds, firms, houses).orderBy("score").collect()}
-    assert got[(1, "fund")] == "Vanguard 500 Index Fund" and got[(2, "fund")] == "Vanguard 500 Index Fund"
-    assert got[(3, "company")] == "Amazon"
+    trusts = spark.createDataFrame([(11, "Vanguard Index Funds Trust")], "name_id long, name string")
+    asked = spark.createDataFrame([(1, "price of VFIAX"), (2, "vanguard 500 index fund"), (3, "annual revenue of amazoon"), (4, "who leads amazoon"), (5, "which provider is vangard"), (6, "what does the vanguard index funds trust hold"), (7, "list the highest fees")], "query_id long, query string")
+    got = {}
+    for r in match.resolve(asked, funds, firms, houses, trusts).collect():
+        got.setdefault((r["query_id"], r["kind"]), {})[r["name"]] = r["score"]
+    assert got[1, "fund"] == {"Vanguard 500 Index Fund": 100.0} and got[2, "fund"]["Vanguard 500 Index Fund"] == 100.0
+    assert list(got[3, "company"]) == ["Amazon"] and (4, "company") not in got  # no word there asks about companies
+    assert list(got[5, "provider"]) == ["Vanguard"] and list(got[6, "trust"]) == ["Vanguard Index Funds Trust"] and (7, "fund") not in got
+    flags = {r["query_id"]: r["m"] for r in asked.select("query_id", match.is_aggregate().alias("m")).collect()}
+    assert [k for k, m in flags.items() if m] == [7]
+
+
+def test_candidates_against_all_pairs(spark):
+    """Every pair that shares the part of its pieces is found, and hot pieces alone bring no others together."""
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 6)))
+    texts = [" ".join(["common", *(word() for _ in range(rng.randint(0, 3)))]) for _ in range(60)]
+    left, right = (spark.createDataFrame([(t,) for t in part], f"{c} string") for part, c in ((texts[:30], "x"), (texts[30:], "y")))
+    cut = lambda t: {f" {t} "[i : i + 3] for i in range(len(t))}
+    for share in (0.3, 0.6, 1.0):
+        want = {(a, b) for a in texts[:30] for b in texts[30:] if len(cut(a) & cut(b)) >= -(-min(len(cut(a)), len(cut(b))) * share // 1)}
+        assert {tuple(r) for r in match.candidates(left, right, share).collect()} == want
+
+
+def test_cascade_finds_words_in_other_orders(spark):
+    left = spark.createDataFrame([(1, "The Acme Trading Corp."), (2, "Trading Acme"), (3, "Xcme Trading"), (4, "Old Acme Trading House"), (5, "unrelated")], "left_id long, name string")
+    right = spark.createDataFrame([(10, "Acme Trading"), (11, "Zenith Mills")], "right_id long, name string")
+    got = {r["left_id"]: (r["right_id"], r["stage"]) for r in match.cascade(left, right).collect()}
+    assert got == {1: (10, "exact"), 2: (10, "wide"), 3: (10, "wide"), 4: (10, "wide")}
+
+
+def test_collections_and_examples(spark, tmp_path):
+    from fathomline.models.embed import embed
+    from fathomline.sources.vectors import Collection, example_index
+
+    kept = Collection(spark, str(tmp_path / "c"))
+    assert not kept.exists()
+    kept.upsert(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "id long, vector array<double>, tag string"))
+    kept.upsert(spark.createDataFrame([(2, [0.5, 0.5], None), (3, [1.0, 1.0], "c")], "id long, vector array<double>, tag string"))
+    assert {r["id"]: (r["vector"], r["tag"]) for r in kept.read().collect()} == {1: ([1.0, 0.0], "a"), 2: ([0.5, 0.5], "b"), 3: ([1.0, 1.0], "c")}
+    kept.delete(F.col("tag") == "a")
+    assert tuple(kept.info().first()) == (2, 2)
+    kept.drop()
+    assert not kept.exists()
+    examples = spark.createDataFrame([("risks of VTI", "q1"), ("holdings of Growth Index Fund", "q2")], "question string, answer string")
+    first, made = example_index(spark, str(tmp_path / "e"), examples, embed)
+    assert made and first.read().count() == 2
+    assert not example_index(spark, str(tmp_path / "e"), examples, embed)[1]
+    assert example_index(spark, str(tmp_path / "e"), examples.limit(1), embed)[1]
+
+
+def test_cached_tables(spark, tmp_path):
+    from fathomline.sources.filings import cached
+
+    path, calls = str(tmp_path / "t"), []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    assert cached(spark, path, make).count() == 3 and cached(spark, path, make).count() == 3 and len(calls) == 1
+    assert cached(spark, path, make, fresh=True).count() == 3 and len(calls) == 2
+    for f in (tmp_path / "t").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    assert cached(spark, path, make).count() == 3 and len(calls) == 3
+
+
+def test_comparisons(spark):
+    from fathomline.operators import evaluate
+
+    cases = [
+        ([["a", "1"]], [["1", "a"]], "exact", "YES", True), ([], [["a"]], "mismatch", "NO", False), ([["a"]], [["a"], ["b"]], "partial", None, True), ([["x", "1"]], [["y", "1"]], "mismatch", None, False),
+        ([["x", "N/A", "7"]], [["x", "q", "8"]], "partial", None, False), ([["p", "q", "r", "z"]], [["p", "q", "r", "s"]], "mismatch", None, True), ([], [], "exact", None, False),
+    ]
+    df = spark.createDataFrame([(i, g, e) for i, (g, e, *_) in enumerate(cases)], "i int, g array<array<string>>, e array<array<string>>")
+    rows = df.select("i", evaluate.comparison("g", "e").alias("c"), evaluate.verdict("g", "e").alias("v"), evaluate.few_contained("g", "e").alias("f")).orderBy("i").collect()
+    assert [(r["c"], r["v"], r["f"]) for r in rows] == [tuple(c[2:]) for c in cases]
 
 
 def test_measures(spark):
