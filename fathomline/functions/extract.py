@@ -106,9 +106,9 @@ def income_statement(facts: DataFrame, noise=("srt:ConsolidationItemsAxis",)) ->
 def mapped_metrics(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     """Concepts to properties, the concept of highest priority winning; gross profit from its parts where it is missing.
 
-    ``facts``: period, concept, value. ``mapping``: concept, property, priority (a small fixed table).
+    ``facts``: period, concept, value. ``mapping``: concept, property, priority (the planner broadcasts it if it is small).
     """
-    best = facts.join(F.broadcast(mapping), "concept").groupBy("period", "property").agg(F.max_by("value", F.struct("priority", "concept")).alias("value"))
+    best = facts.join(mapping, "concept").groupBy("period", "property").agg(F.max_by("value", F.struct("priority", "concept")).alias("value"))
     wide = best.groupBy("period").pivot("property", ["revenue", "cost", "gross_profit", "operating_income", "net_income"]).agg(F.first("value"))
     return wide.withColumn("gross_profit", F.coalesce("gross_profit", F.col("revenue") - F.col("cost")))
 

@@ -174,8 +174,8 @@ def allocations(df: DataFrame, name: str, weight: str, headers: tuple[str, ...]
 
 
 def moved_allocations(df: DataFrame, countries: DataFrame) -> DataFrame:
-    """Sector rows that name a country are region rows: (kind, name, …). ``countries`` (name) is a small fixed table."""
-    known = F.broadcast(countries.select(F.lower("name").alias("__c")).distinct())
+    """Sector rows that name a country are region rows: (kind, name, …). The planner broadcasts ``countries`` (name) if it is small."""
+    known = countries.select(F.lower("name").alias("__c")).distinct()
     joined = df.join(known, F.lower(F.col("name")) == F.col("__c"), "left")
     return joined.withColumn("kind", F.when(F.col("__c").isNotNull(), "region").otherwise(F.col("kind"))).drop("__c")
 
@@ -211,7 +211,7 @@ def chief_executive(rows: DataFrame, key: str) -> DataFrame:
 def holdings_table(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Holdings as the eighteen columns of the portfolio table; codes get their descriptions from a small fixed table."""
     c = F.col
-    joined = rows.join(F.broadcast(categories.withColumnsRenamed({"code": "asset_category", "name": "asset_category_desc"})), "asset_category", "left")
+    joined = rows.join(categories.withColumnsRenamed({"code": "asset_category", "name": "asset_category_desc"}), "asset_category", "left")
     return joined.select(
         "name", *[clean.blank_to_null(x).alias(x) for x in ("ticker",)], F.when(clean.cusip_valid("cusip"), c("cusip")).alias("cusip"), *[clean.blank_to_null(x).alias(x) for x in ("isin", "lei")],
         *[c(x).cast("decimal(38,6)").alias(x) for x in ("shares", "market_value", "weight_pct")], "currency", "asset_category", "asset_category_desc", "issuer_category", "issuer_category_desc", "country", "payoff_profile",

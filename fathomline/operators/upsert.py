@@ -48,7 +48,7 @@ def ingest_holdings(raw: DataFrame, categories: DataFrame) -> dict[str, DataFram
     first = lambda c: F.min_by(c, "row").alias(c)
     edges = rows.groupBy("series_id", "node_id").agg(*[F.sum(c).alias(c) for c in ("shares", "market_value", "weight")])
     holdings = rows.groupBy("node_id").agg(*[first(c) for c in ("name", "ticker", "cusip", "isin", "lei", "asset_category")])
-    holdings = holdings.join(F.broadcast(categories), holdings.asset_category == categories.code, "left").drop("code")
+    holdings = holdings.join(categories, holdings.asset_category == categories.code, "left").drop("code")
     companies = holdings.filter("ticker IS NOT NULL").groupBy("ticker").agg(F.min("name").alias("name"))
     return {
         "Portfolio": edges.groupBy("series_id").agg(F.count("*").alias("count")),
