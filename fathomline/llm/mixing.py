@@ -95,8 +95,10 @@ def mix(docs: DataFrame, schedule: Callable[[int, str | None], list[tuple[float,
     spark = docs.sparkSession
     sized = docs.withColumn("size", n_words() if size is None else size)
     n = BUCKETS_PER_PARTITION * max(8, partitions(spark))
-    key = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed))
-    narrow = sized.select("doc_id", "source", "size", *carry).withColumn("__key", key)
+    # rows that share a doc_id, or have none, are told apart by their text or by what is carried
+    rest = [F.xxhash64("text")] if size is None else [F.col(c) for c in carry]
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed))).otherwise(F.xxhash64(*rest, F.col("size"), F.lit(seed)))
+    narrow = sized.withColumn("__key", key).select("doc_id", "source", "size", *carry, "__key")
     narrow = narrow.withColumn("__bucket", F.floor((F.col("__key").cast("double") / F.lit(2.0**64) + 0.5) * n).cast("int"))
     sums = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
     rows = sums.groupBy("source").agg(F.sum("__sum").alias("s")).collect()

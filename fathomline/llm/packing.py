@@ -12,8 +12,9 @@ documents and the sums of buckets before them, so a length that a third of all d
 tasks. To the driver comes the histogram (one count for each length up to the window), and to the executors goes the
 table of places, whose size the window bounds.
 
-Cases: a null or empty text is its end id alone; long texts give as many windows as they need; repeated rows are packed
-each; an empty table gives no rows.
+Cases: a null or empty text is its end id alone; very long texts are tokenised whole and give as many windows as they
+need; ties of a length's order go by doc_id, start and checksum; repeated rows are packed each, also rows without a
+doc_id; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
     spark = docs.sparkSession
     cuts = cut(pieces(docs, window, tokenizer, end_id, keep_ids))
     buckets = 4 * max(8, partitions(spark))
-    ranked = cuts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    ranked = cuts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = ranked.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     places = patterns(histogram, window)

@@ -17,6 +17,8 @@ import numpy as np
 
 #: Words and pre-tokens kept, at some 200 bytes each.
 CACHE_WORDS, CACHE_PIECES = 400_000, 200_000
+#: Bytes of words and ids kept.
+CACHE_BYTES = 64 << 20
 BATCH = 4096
 # The rules of the tokenizer file that the short way follows.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -49,6 +51,7 @@ class Subwords:
         self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> Subwords:
@@ -61,6 +64,7 @@ class Subwords:
         """Gives the caches' memory back: workers outlive their tasks, and others need it."""
         self.cache.clear()
         self.pieces.clear()
+        self.held = 0
 
     def piece(self, text: str) -> bytes:
         shown = text if text.isascii() else "".join(map(LETTERS.__getitem__, text.encode()))
@@ -69,7 +73,7 @@ class Subwords:
         return code
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > CACHE_PIECES or self.held > CACHE_BYTES:
             self.pieces.clear()
         rest, cache, known = [], self.cache, self.pieces
         for word in words:
@@ -94,12 +98,15 @@ class Subwords:
 
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of many texts; new words of all of them are tokenised together."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         new: set[bytes] = set()
         split = [t.split() for t in texts]
         for words in split:
             new.update(words)
-        self.learn(list(new.difference(self.cache)))
+        fresh = list(new.difference(self.cache))
+        self.learn(fresh)
+        self.held += sum(len(w) + len(self.cache[w]) for w in fresh)
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]

@@ -11,7 +11,9 @@ events of a label are repeated for each of those parts. Windows stream over sort
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no rule; such and all URLs that no rule fits
 get the default verdict. Repeated rules count once; of rules alike in host and path the blocking one holds. Ties in
-length go to the longer host. Rules need a host.
+length go to the longer host. Rules need a host. Very long urls are looked at whole; repeated rows are judged each, also
+rows without a page_id; an empty table gives an empty result, and without rules the default verdict alone holds; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

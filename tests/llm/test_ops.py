@@ -573,3 +573,39 @@ def test_long_texts_make_smaller_buckets(spark):
     docs = spark.createDataFrame([(i, "x " * 100_000, "c", 1) for i in range(12)], "doc_id long, text string, shard string, slot int")
     rows = shards.shuffled(docs, bucket_bytes=400_000).collect()
     assert len({r["bucket"] for r in rows}) > 2 and shards.assign(docs, bucket_bytes=400_000).count() == 12
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = " ".join(f"{rng.randrange(10**5):05d}w" for _ in range(60_000))
+    texts = [long + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "y" * 300_000, None, "short"]
+    names = "doc_id long, text string, source string, target string, taken int, positions int, bucket int, record string, block int, kept int, held_out int, length int, findings int, row int"
+    df = spark.createDataFrame([(i, t, "s", *["x" if k == 3 else "r" if k == 7 else k for k in range(3, 14)]) for i, t in enumerate(texts)], names)
+    scanned = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert len(scanned[0]["findings"]) == 1 and scanned[0]["findings"][0]["start"] == len(long) + 10 and "24be" not in scanned[0]["redacted"]
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {0: 60_004, 1: 1, 2: 0, 3: 1}
+    assert mixing.stream(df, boundary="round").columns == df.columns
+    ids = whole_ids(df.collect())
+    check_packing(packing.pack(df).collect(), ids, 2048)
+    judged = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert tuple(judged[0])[1:6] == plain_counts(texts[0]) and judged[1]["base_failed"]
+    placed = shards.assign(df).collect()
+    assert {(r["doc_id"], r["size"]) for r in placed} == {(i, len((t or "").encode()) + 1) for i, t in enumerate(texts)}
+    scored = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") == 3).collect()}
+    assert scored[0]["n_tokens"] == 60_005 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in scored.values())
+    far = "http://example.com/en/" + "a" * 300_000
+    pages = spark.createDataFrame([(1, far, "h", "p"), (1, far, "h", "p"), (None, None, "h", "p")], "page_id long, url string, host string, part string")
+    assert Counter(tuple(r)[0:1] + tuple(r)[3:] for r in urls.judge(pages).collect()) == Counter([(1, "example.com/en/", "block")] * 2 + [(None, None, "allow")])
+    wide = spark.createDataFrame([(i, [float(i + k) for k in range(5000)], 1) for i in range(4)], "vec_id long, embedding array<double>, rank int")
+    assert topk.search(topk.quantise(wide).filter("vec_id = 0"), topk.quantise(wide)).count() == 3
+
+
+def test_quality_with_few_labels(spark):
+    """No switch by the number of labels: two kinds of labels fit a classifier, one kind leaves the rules alone."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    bad, good = (labels.filter(f"quality = {k}").orderBy("doc_id").limit(9) for k in (0, 1))
+    assert quality.train(docs, bad.unionByName(good)) is not None and quality.train(docs, good) is None
+    one = bad.limit(1).unionByName(good.limit(1))
+    assert quality.train(docs, one) is not None
+    assert quality.train(docs, labels.limit(0)) is None
