@@ -609,3 +609,74 @@ def test_quality_with_few_labels(spark):
     one = bad.limit(1).unionByName(good.limit(1))
     assert quality.train(docs, one) is not None
     assert quality.train(docs, labels.limit(0)) is None
+
+
+def test_secrets_in_documents(spark):
+    """On the documents: every planted token is found, and hardly anything else is."""
+    import re
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    planted = re.compile(r'token = "([0-9a-f]{40})"')
+    others = hits = 0
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in secrets.scan(docs).collect():
+        want = {m.span(1) for m in planted.finditer(texts[r["doc_id"]])}
+        got = {(f["start"], f["end"]) for f in r["findings"]}
+        assert want <= got
+        hits += len(want)
+        others += len(got - want)
+    assert hits > 10 and others <= 0.002 * len(texts)
+
+
+def plain_candidates(text):
+    """Spans, in bytes, that the scan must judge, by patterns alone."""
+    import re
+
+    near = [m.span() for m in secrets.FOR.finditer(text)]
+    given, last = [], 0
+    for m in secrets.GIVEN.finditer(text) if near else ():
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:
+            while b > a and text[b - 1] in b".,;:!?)]}>":
+                b -= 1
+        if last <= a < b:
+            given.append((a, b))
+            last = b
+    out = list(given)
+    for m in re.finditer(rb"[A-Za-z0-9+/_.\-]+", text):
+        a, b = m.span()
+        run, n = m.group(), b - a
+        mixed = re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)
+        close = any(a - secrets.NEAR <= x and y <= a or b <= x and y <= b + secrets.NEAR for x, y in near)
+        if (n >= 12 or mixed and n >= 6 or n >= 4 and close) and not any(x < b and y > a for x, y in given):
+            out.append((a, b))
+    return sorted(out)
+
+
+def walk(tree, row):
+    at = 0
+    while tree["feature"][at] >= 0:
+        at = tree["left"][at] if row[tree["feature"][at]] <= tree["cut"][at] else tree["right"][at]
+    return tree["share"][at]
+
+
+def test_secrets_against_a_plain_version(spark):
+    rng = random.Random(12)
+    texts = [t.decode() for t, *_ in secrets.labelled_findings(120, seed=5)]
+    texts = [" ".join(rng.sample(texts, 3)) + rng.choice(["", " é password: 'ü?x9'.", ' token="', " pwd=(abc)."]) for _ in range(60)] + ["", None, "pass", "word=x1"]
+    model = secrets.train()
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        spans = plain_candidates(raw)
+        assert got[i]["n_candidates"] == len(spans), (i, t)
+        want, redacted, at = [], [], 0
+        for a, b in spans:
+            row = secrets.traits(raw[a:b], raw[max(0, a - 2 * secrets.NEAR) : a], raw[b : b + secrets.NEAR])
+            score = sum(walk(tree, row) for tree in model) / len(model)
+            if score >= secrets.SECRET_FROM - 1e-12:
+                want.append((len(raw[:a].decode()), len(raw[:b].decode())))
+                redacted += [raw[at:a], b"[SECRET]"]
+                at = b
+        assert [(f["start"], f["end"]) for f in got[i]["findings"]] == want
+        assert got[i]["redacted"] == b"".join([*redacted, raw[at:]]).decode()
