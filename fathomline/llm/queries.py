@@ -67,6 +67,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_mixing, op3_substring_dedup, op4_lm_scoring, op5_url_filters, op6_packing, op7_quality_rules, op8_exact_topk, op9_sharding, op10_jaccard_join, pipeline)}
 
 SQL = {
+    "op3_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS k FROM d, unnest(generate_series(1, len(w) - 49)) AS u(i)),
+m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+r AS (SELECT DISTINCT s.doc_id, s.i + j AS p FROM s JOIN m ON s.k = m.k AND s.doc_id > m.least, unnest(generate_series(0, 49)) AS u(j)),
+x AS (SELECT d.doc_id, u.p, d.w[u.p] AS word FROM d, unnest(generate_series(1, len(w))) AS u(p)),
+g AS (SELECT x.doc_id, count(*) FILTER (WHERE r.p IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE r.p IS NULL) AS kept FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.p = x.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "op10_jaccard_join": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM d, unnest(generate_series(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, c.root FROM c JOIN e ON e.x = c.doc_id WHERE c.root < e.y),
+f AS (SELECT doc_id, min(root) AS root FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(f.root, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
+""",
     "op5_url_filters": """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
