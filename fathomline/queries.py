@@ -875,6 +875,129 @@ def rate_by_type(t):
     return evaluate.rate_by(t("events").withColumn("flag", F.col("value") > 50), "event_type", "flag", "user_id % 2 = 0 OR value > 10")
 
 
+# cells, names and texts of filings
+
+
+@frame_query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN -abs(c_acctbal) WHEN 3 THEN 0.0 ELSE abs(c_acctbal) END AS cell, CASE c_custkey % 4 WHEN 0 THEN -abs(c_acctbal) WHEN 3 THEN NULL ELSE abs(c_acctbal) END AS performance FROM customer")
+def cell_numbers(t):
+    k, v = F.col("c_custkey") % 4, F.abs("c_acctbal").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("("), v, F.lit(")"))).when(k == 1, F.concat(F.lit("$ "), v)).when(k == 2, F.concat(v, F.lit("%"))).otherwise("--")
+    return t("customer").select(F.col("c_custkey").alias("id"), clean.table_number(raw).alias("cell"), clean.performance(raw).alias("performance"))
+
+
+@frame_query("SELECT p_partkey AS id, lower(p_name) || ' fund ' || p_size AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Unknown' ELSE p_brand END AS first FROM part")
+def plain_names(t):
+    label = F.concat(F.lit("Vanguard  "), F.initcap("p_name"), F.lit(" (Fund) - "), F.col("p_size").cast("string"))
+    several = F.array(F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")))
+    return t("part").select(F.col("p_partkey").alias("id"), clean.finance_name(label).alias("name"), clean.first_name(several).alias("first"))
+
+
+@frame_query("SELECT p_partkey AS id, p_size / 100.0::DOUBLE AS expense, p_size * CASE p_partkey % 3 WHEN 0 THEN 1e6 WHEN 1 THEN 1e9 ELSE 1.0 END AS least FROM part")
+def fees_and_minimums(t):
+    size = F.col("p_size").cast("string")
+    fee = F.concat(F.lit("Fees. Total Annual Fund Operating Expenses ......... 0."), F.lpad(size, 2, "0"), F.lit(" % of assets. "))
+    unit = F.when(F.col("p_partkey") % 3 == 0, " million").when(F.col("p_partkey") % 3 == 1, " Billion").otherwise("")
+    text = F.concat(fee, F.lit("The minimum initial investment for the class is $"), size, unit, F.lit(". Later purchases: $1."))
+    rows = t("part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return rows.select("id", extract.expense_ratio("text").alias("expense"), extract.minimum_investment("text").alias("least"))
+
+
+@frame_query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'FTSE ' || s_suppkey || ' Index' ELSE 'Unknown Benchmark' END AS benchmark, CASE WHEN s_suppkey % 2 = 0 THEN ['Ann ' || 'Case'] ELSE ['Ann Case', 'Bo de Vries'] END AS managers FROM supplier")
+def benchmarks_and_managers(t):
+    k = F.col("s_suppkey")
+    index = F.when(k % 2 == 0, F.concat(F.lit("against the S&P Total Market "), k.cast("string"), F.lit(" Index and the FTSE "), k.cast("string"), F.lit(" Index")))
+    people = F.when(k % 2 == 0, "Ann Case, Portfolio Manager since 2001\nno one here\nAnn Case, Principal").otherwise("Ann Case, Principal of the adviser\nBo de Vries Managing Director\nX, Head of Bonds")
+    rows = t("supplier").select(k.alias("id"), F.coalesce(index, F.lit("no index")).alias("index"), people.alias("people"))
+    return rows.select("id", extract.benchmark_index("index").alias("benchmark"), extract.managers("people").alias("managers"))
+
+
+@frame_query("SELECT p_partkey AS id, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END AS item, 'Notes on ' || p_name AS title, 'Item ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END || '. Notes on ' || p_name AS head FROM part")
+def section_headers(t):
+    mark = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise(""))
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("S-12Item "), mark, F.lit(". Notes on "), F.col("p_name"), F.lit("\nmore text")).alias("raw"))
+    rows = rows.select("id", F.regexp_replace("raw", "^S-12", "S-12 ").alias("chunk"), F.regexp_replace("raw", "^S-12", "").alias("text"))
+    found = rows.withColumn("h", extract.section_header("text"))
+    return found.select("id", "h.item", "h.title", filings.chunk_title("chunk").alias("head"))
+
+
+@frame_query("SELECT p_partkey AS id, p_size * pow(10, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 2 ELSE 0 END) AS value, CASE WHEN p_partkey % 2 = 0 THEN 'C' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS class FROM part")
+def scaled_facts(t):
+    k = F.col("p_partkey")
+    scale = F.when(k % 4 == 0, "3").when(k % 4 == 1, "Millions").when(k % 4 == 2, "hundreds").otherwise("")
+    context = F.when(k % 2 == 0, F.concat(F.lit("ctx_C"), F.lpad(k.cast("string"), 9, "0"), F.lit("Member"))).otherwise("ctx")
+    rows = t("part").select(k.alias("id"), F.concat(F.col("p_size").cast("string"), F.lit(" ")).alias("v"), scale.alias("s"), context.alias("c"))
+    return rows.select("id", clean.scaled("v", "s").alias("value"), filings.class_id("c").alias("class"))
+
+
+@frame_query("SELECT c_custkey AS id, s_suppkey AS other FROM customer LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
+def first_of_name(t):
+    left = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("name"))
+    right = t("supplier").select(F.concat(F.lit("NATION "), F.col("s_nationkey").cast("string")).alias("name"), F.col("s_suppkey").alias("other"))
+    return match.first_equal(left, right, "name", "other").select("id", "other")
+
+
+@frame_query("SELECT doc_id AS id, md5(CASE WHEN contains(text, source) THEN text ELSE 'Fund: ' || source || chr(10) || text END) AS digest FROM documents")
+def named_chunks(t):
+    return t("documents").select(F.col("doc_id").alias("id"), F.md5(filings.named_chunk("source", "text")).alias("digest"))
+
+
+@frame_query("SELECT o_orderkey AS id, upper(o_orderpriority) AS name, o_totalprice / 5000 AS weight FROM orders WHERE o_totalprice / 5000 BETWEEN -100 AND 150 AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE false")
+def allocation_rows(t):
+    name = F.when(F.col("o_orderstatus") == "P", "Total").otherwise(F.concat(F.lit("​ "), F.upper("o_orderpriority"), F.lit(" ")))
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), name.alias("name"), F.concat((F.col("o_totalprice") / 5000).cast("string"), F.lit(" %")).alias("weight"))
+    return filings.allocations(rows, "name", "weight").select("id", "name", "weight")
+
+
+@frame_query("SELECT c_custkey AS id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'region' ELSE 'sector' END AS kind FROM customer")
+def moved_allocations(t):
+    places = t("customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.initcap("c_mktsegment").alias("name")).distinct()
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.lit("sector").alias("kind"))
+    return filings.moved_allocations(rows, places).select("id", "kind")
+
+
+# measures and upserts
+
+
+@frame_query("WITH c AS (SELECT count_if(quality = 1 AND n_chars > 500)::BIGINT AS tp, count_if(quality = 0 AND n_chars <= 500)::BIGINT AS tn, count_if(quality = 0 AND n_chars > 500)::BIGINT AS fp, count_if(quality = 1 AND n_chars <= 500)::BIGINT AS fn FROM labels JOIN documents USING (doc_id)) SELECT tp, tn, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS fp_rate FROM c")
+def binary_report(t):
+    rows = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("good"), (F.col("n_chars") > 500).alias("long"))
+    return evaluate.binary_report(rows, "good", "long")
+
+
+@frame_query("WITH l AS (SELECT l_orderkey AS q, list_distinct(list(l_partkey ORDER BY l_linenumber, l_partkey)) AS r0, list(l_partkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem GROUP BY 1), e AS (SELECT q, r, list_sort(list_distinct(list_filter(r, lambda x: x % 2 = 0))) AS e FROM l), m AS (SELECT q, e, r, list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN list_contains(e, r[i]) THEN i END), lambda x: x IS NOT NULL) AS hits, least(10, len(e)) AS n FROM e) SELECT q AS query_id, CASE WHEN len(hits) > 0 THEN 1.0 / hits[1] ELSE 0.0 END AS mrr FROM m")
+def chunk_ranks(t):
+    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("returned"))
+    rows = rows.withColumn("expected", F.array_sort(F.array_distinct(F.filter("returned", lambda x: x % 2 == 0))))
+    return evaluate.chunk_measures(rows).select("query_id", "mrr")
+
+
+@frame_query("SELECT 'Portfolio' AS name, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'HAS_HOLDING', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'Holding', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'Company', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey % 2 = 0 UNION ALL SELECT 'REPRESENTS', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey % 2 = 0")
+def holdings_ingest(t):
+    k = F.col("l_partkey").cast("string")
+    raw = t("lineitem").select(F.col("l_orderkey").alias("series_id"), F.expr("l_orderkey * 100 + l_linenumber").alias("row"), F.concat(F.lit("N"), k).alias("name"), F.when(F.col("l_partkey") % 2 == 0, k).otherwise("nan").alias("ticker"), F.lit(" ").alias("cusip"), F.concat(F.lit("IS"), k).alias("isin"), F.lit("None").alias("lei"), F.col("l_returnflag").alias("asset_category"), F.col("l_quantity").alias("shares"), F.col("l_extendedprice").alias("market_value"), F.col("l_tax").alias("weight"))
+    codes = t.spark.createDataFrame([("A", "Equities"), ("N", "Bonds")], "code string, category string")
+    return ingest.counters(upsert.ingest_holdings(raw, codes))
+
+
+@frame_query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN embedding[1] ELSE 2 * embedding[1] END AS first FROM embeddings")
+def kept_embeddings(t):
+    old = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    new = old.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.array().cast("array<double>")).otherwise(F.transform("embedding", lambda x: 2 * x)).alias("embedding"))
+    return upsert.keep_old_if_empty(old, new, "vec_id", "embedding").select("vec_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@frame_query("WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS near FROM q JOIN embeddings e ON true), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, near) AS rank FROM s WHERE near <= 15) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def reranked(t):
+    v = t("embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = retrieve.knn_join(q, v, 15).drop("rank").join(v.select("vec_id", "label"), "vec_id")
+    near = near.withColumn("query", F.lit("")).withColumn("text", F.col("label").cast("string"))
+    return retrieve.rerank(near, lambda query, text: F.col(text).cast("double")).select("query_id", "vec_id", "rank")
+
+
+graph_query("element_ids", "MATCH (f:Fund) RETURN elementId(f) AS id, head(labels(f)) AS label", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'Fund' AS label FROM customer")
+
+
 # extensions: not part of the compared engine, offered because Spark has them
 
 
