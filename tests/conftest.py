@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from fathomline.session import get_spark
 
-    session = get_spark("tests", 4, partitions=8)
+    session = get_spark("tests", 4, partitions=4)
     yield session
     session.stop()
 
