@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,23 @@ def hashing_embedder(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+class QueryCache:
+    """Embeds questions one by one, the same question once; the one longest unused goes when there are ``most``."""
+
+    def __init__(self, model: Callable[[list[str]], list[np.ndarray]] = hashing_embedder, most: int = 1000):
+        self.model, self.most, self.kept, self.asked = model, most, OrderedDict(), 0
+
+    def __call__(self, question: str) -> list[float]:
+        key = " ".join(question.split())
+        if key not in self.kept:
+            self.asked += 1
+            self.kept[key] = [float(x) for x in self.model([key])[0]]
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)
+        self.kept.move_to_end(key)
+        return self.kept[key]
+
+
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], list[np.ndarray]] = hashing_embedder, prefix: str | None = None, batch: int = BATCH) -> DataFrame:
     """``df`` with an ``embedding``; texts go to the model in batches, and a batch that fails gives nulls."""
     source = df.withColumn("__t", F.concat_ws(" ", F.lit(prefix), F.col(text)) if prefix else F.coalesce(F.col(text), F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -77,3 +78,25 @@ ENRICHMENT = (
 def enrichments(category: str, have: set[str]) -> list[str]:
     """Names of the follow-up queries for a category whose parameters are there, the most important first."""
     return [name for name, kinds, need, _ in sorted(ENRICHMENT, key=lambda r: -r[3]) if category in kinds and need in have]
+
+
+def enriched(category: str, params: dict[str, str], plans: dict[str, Callable[[dict[str, str]], DataFrame]], most: int = MOST_ROWS) -> DataFrame:
+    """(name, place, line) of the follow-up queries of a category: each named plan is run with the parameters, and every
+    row, without payload and up to ``most`` a plan, comes as a line of JSON. Plans that are not there are passed over."""
+    names = [n for n in enrichments(category, {k for k, v in params.items() if v}) if n in plans]
+    parts = []
+    for place, name in enumerate(names, 1):
+        rows = without_payload(plans[name](params)).limit(most)
+        parts.append(rows.select(F.lit(name).alias("name"), F.lit(place).alias("place"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("line")))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def context(rows: DataFrame) -> str:
+    """The lines of ``enriched`` as text, a heading for each plan; they are few."""
+    out, last = [], None
+    for r in rows.orderBy("place", "line").collect():
+        if r["name"] != last:
+            last = r["name"]
+            out.append(f"## {last}")
+        out.append(f"- {r['line']}")
+    return "\n".join(out)

@@ -182,3 +182,21 @@ def test_similarity_counts_terms_of_many_texts(spark):
     rare = spark.createDataFrame([(1, "rare", 0.8), (2, "rare", 0.8)], "k long, term string, weight double")
     got = {(r["a"], r["b"]): r["similarity"] for r in embed.alike(common.unionByName(rare), "k").filter("b <= 4 AND a > 0").collect()}
     assert len(got) == 6 and abs(got[1, 2] - 1.0) < 1e-9 and abs(got[3, 4] - 0.36) < 1e-9
+
+
+def test_query_cache_embeds_once():
+    from fathomline.models.embed import QueryCache
+
+    cache = QueryCache(most=2)
+    assert cache("a  b") == cache("a b") and cache.asked == 1
+    cache("c"), cache("a b"), cache("d")  # c is the one longest unused
+    assert cache.asked == 3 and cache("a b") and cache.asked == 3
+    cache("c")
+    assert cache.asked == 4
+
+
+def test_enrichment_runs_what_the_parameters_allow(spark):
+    plans = {"fund_overview": lambda p: spark.createDataFrame([(p["fund"], 1, "x")], "ticker string, n int, svg string"), "company_overview": lambda p: 1 / 0}
+    rows = post.enriched("fund_basic", {"fund": "VTI", "company": ""}, plans)
+    assert post.context(rows) == '## fund_overview\n- {"ticker":"VTI","n":1}'
+    assert post.enriched("fund_basic", {"fund": None}, plans) is None
