@@ -20,14 +20,17 @@ other than doc_id and text are not looked at, and come along with ``carry``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
+from operator import eq, ne
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathomline.llm import forest
-from fathomline.llm.common import chunks
+from fathomline.llm.common import LOWER, chunks
 
 #: Least length of a run by itself, of one with both letters and digits, and of one near a word that speaks for a secret.
 MIN_LENGTH, MIN_MIXED, MIN_NEAR = 12, 6, 4
@@ -39,15 +42,17 @@ DIGIT = np.zeros(256, bool)
 DIGIT[list(b"0123456789")] = True
 LETTER = np.zeros(256, bool)
 LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
-KIND = np.full(256, 3, np.int8)
-KIND[list(b"0123456789")] = 0
-KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
-KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 2
+#: Kinds of characters: digits, small letters, capitals, all others; and those that are no odd signs in a value.
+KIND_TABLE = bytes(0 if c in b"0123456789" else 1 if c in b"abcdefghijklmnopqrstuvwxyz" else 2 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 3 for c in range(256))
+PLAIN_SIGNS = bytes(c for c in range(256) if c in b"+/_-." or chr(c).isalnum())
+HEX = re.compile(rb"[0-9a-fA-F]+")
 #: Words that speak for a secret, or for a look-alike, beside a candidate; and words found in readable names.
 FOR = re.compile(rb"(?i)secret|passw|passphrase|pwd|\bpin\b|token|api.?key|access.?key|private.?key|auth|bearer|credential|\bkey\b")
 AGAINST = re.compile(rb"(?i)sha\d*|md5|crc|checksum|digest|commit|revision|uuid|guid|hash|version|order|phone|isbn|build|example|sample|invoice|serial|file|path|host|mail")
 #: What is given as a secret's value: up to a quote or white space, or up to the quote it began with.
 GIVEN = re.compile(rb"""(?i)(?:secret|passw(?:or)?d|passw|passphrase|pwd|token|api.?key|access.?key|private.?key|credential|\bkey\b|\bpin\b)[\w.\-]{0,30}["']?[ \t]{0,3}(?:=>|:=|==?|:)[ \t]{0,3}(?:"([^"\s]+)"|'([^'\s]+)'|["']?([^\s"']+))""")
+#: The first three letters of all that FOR and GIVEN begin with.
+STARTS = np.array([int.from_bytes(x, "big") for x in b"sec pas pwd pin tok api acc pri aut bea cre key".split()])
 CHOSEN = re.compile(rb"(?i)secret|passw|passphrase|pwd")
 PUNCTUATION = b".,;:!?)]}>"
 DICTIONARY = tuple(b"about access admin agent alpha api app archive asset auto base beta bin build cache change client cloud code common config content core create data date default demo device disk docs document download driver dummy error event example export file filter final format frame free global group guide header home host html http image import index info input install item java json kernel label language lib library license linux list load local logs mail main manager map master media menu message meta model module month name network node note number object office online order output package page panel part patch path photo place plain plugin print private product profile project public python query readme record release remote report request resource response result sample script search section secure server service session setting share simple site size source stable stage start state static status storage store stream string style support system table target task template test text theme thread time tmp token tool train tree type update upload user usr util value version video view volume web week window word work year".split())
@@ -88,19 +93,26 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def spoken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words that speak for a secret, and of the values given for them (unquoted ones without
     final punctuation)."""
-    words, values, raw = [], [], data.tobytes()
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        text = raw[lo:hi]
-        found = [(lo + m.start(), lo + m.end()) for m in FOR.finditer(text)]
-        words += found
-        last = 0
-        for m in GIVEN.finditer(text) if found else ():
-            a, b = m.span(m.lastindex)
-            if m.lastindex == 3:
-                b = a + len(text[a:b].rstrip(PUNCTUATION))
-            if last <= a < b:
-                values.append((lo + a, lo + b))
-                last = b
+    words, values = [], []
+    low = LOWER[data].astype(np.int32)
+    three = low[:-2] << 16 | low[1:-1] << 8 | low[2:] if len(low) > 2 else np.zeros(0, np.int32)
+    spots = np.flatnonzero(np.isin(three, STARTS))  # no pattern begins elsewhere
+    first = np.searchsorted(spots, offsets).tolist()
+    for i in np.flatnonzero(np.diff(first)).tolist():
+        lo, text = int(offsets[i]), data[offsets[i] : offsets[i + 1]].tobytes()
+        end = done = last = 0
+        for at in (spots[first[i] : first[i + 1]] - lo).tolist():
+            if at >= end and (m := FOR.match(text, at)):
+                words.append((lo + at, lo + m.end()))
+                end = m.end()
+            if at >= done and (m := GIVEN.match(text, at)):
+                done = m.end()
+                a, b = m.span(m.lastindex)
+                if m.lastindex == 3:
+                    b = a + len(text[a:b].rstrip(PUNCTUATION))
+                if last <= a < b:
+                    values.append((lo + a, lo + b))
+                    last = b
     return np.array(words, np.int64).reshape(-1, 2).T, np.array(values, np.int64).reshape(-1, 2).T
 
 
@@ -115,40 +127,39 @@ def near_words(words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     return before | after
 
 
+#: Dictionary words by their first three letters, the longest first: it covers what shorter ones at its place do.
+BY_START: dict[bytes, list[bytes]] = {}
+for _word in sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True):
+    BY_START.setdefault(_word[:3], []).append(_word)
+
+
 def covered(value: bytes) -> float:
     """The part of a value's characters that dictionary words cover."""
-    low, mark = value.lower(), bytearray(len(value))
-    for word in DICTIONARY:
-        if len(word) > 2:
-            at = low.find(word)
-            while at >= 0:
-                mark[at : at + len(word)] = b"\x01" * len(word)
-                at = low.find(word, at + 1)
-    return sum(mark) / len(value)
+    low, total, done = value.lower(), 0, 0
+    for at in range(len(low) - 2):
+        for word in BY_START.get(low[at : at + 3], ()):
+            if low.startswith(word, at):
+                end = at + len(word)
+                total += max(0, end - max(at, done))
+                done = max(done, end)
+                break
+    return total / len(value)
 
 
 def traits(value: bytes, left: bytes, right: bytes) -> list[float]:
     """FEATURES numbers of a candidate and what stands beside it."""
-    raw = np.frombuffer(value, np.uint8)
-    kinds, n = KIND[raw], len(raw)
-    shares = np.bincount(kinds, minlength=4) / n
-    _, counts = np.unique(raw, return_counts=True)
-    p = counts / n
-    changes = float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0
-    hexes = bool(re.fullmatch(rb"[0-9a-fA-F]+", value))
+    n, kinds = len(value), value.translate(KIND_TABLE)
+    p = [c / n for c in Counter(value).values()]
+    pairs = max(1, n - 1)
     near = left[-NEAR:]
-    word = re.findall(rb"[A-Za-z][A-Za-z_.-]*", near)
-    last = b" ".join(word[-2:])
+    last = b" ".join(re.findall(rb"[A-Za-z][A-Za-z_.-]*", near)[-2:])
     following = b" ".join(re.findall(rb"[A-Za-z][A-Za-z_.-]*", right[:NEAR])[:3])
-    alike = float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0
-    odd = sum(c not in b"+/_-." for c in value if not chr(c).isalnum()) / n
-    tight = re.search(rb"[=:][\"']?$", near)
     return [
-        float(n), float(-(p * np.log2(p)).sum()), *map(float, shares), changes, float(hexes), covered(value),
+        float(n), -sum(x * log2(x) for x in p), *(kinds.count(k) / n for k in range(4)), sum(map(ne, kinds, kinds[1:])) / pairs, float(bool(HEX.fullmatch(value))), covered(value),
         float(value.count(b"/")), float(value.count(b".")), float(bool(TAIL.search(value))), float(value[:1] in b"/."),
-        float(bool(FOR.search(last))), float(bool(AGAINST.search(last))), float(bool(re.search(rb"[=:]\s*[\"']?$", near))), alike, float(value.count(b"-")),
+        float(bool(FOR.search(last))), float(bool(AGAINST.search(last))), float(bool(re.search(rb"[=:]\s*[\"']?$", near))), sum(map(eq, value, value[1:])) / pairs, float(value.count(b"-")),
         float(bool(FOR.search(following))), float(bool(AGAINST.search(following))), float(right[:1] in (b'"', b"'")), float(bool(ISSUED.match(value))),
-        odd, float(bool(CHOSEN.search(last))), float(bool(tight)), float(left[-1:] in (b'"', b"'")),
+        len(value.translate(None, PLAIN_SIGNS)) / n, float(bool(CHOSEN.search(last))), float(bool(re.search(rb"[=:][\"']?$", near))), float(left[-1:] in (b'"', b"'")),
     ]
 
 
