@@ -57,6 +57,8 @@ GROUP = 16
 BITMAP = 16
 #: Classes of an index entry up to which it is joined with itself; beyond, blocks of so many classes meet.
 SMALL_GROUP, BLOCK = 16, 4096
+#: Pairs of one class that are verified together.
+SPOKES = 64
 #: Bits of index keys; what falls together by chance is told apart when verified.
 KEY_BITS = 48
 #: Short names of classes that fall together by chance: n * n / 2 ** 57 of n classes are expected.
@@ -221,24 +223,29 @@ def bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def sets_of(docs: DataFrame, twins: np.ndarray) -> DataFrame:
-    """(at, sig, tokens) of the documents (at, sig, text)."""
+    """(at, part, sig, tokens) of the documents (at, part, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(2)):
+            for a, b, data, offsets in chunks(batch.column(3)):
                 token, first = shingles(data, offsets)
-                at, given = batch.column(0)[a:b], batch.column(1)[a:b]
+                at, part, given = (batch.column(c)[a:b] for c in range(3))
                 # rows that share the doc_id but hold another text are not meant
                 same = names_of(token, first, twins).view(np.int64) == given.to_numpy()
-                token, at, given = token[same[owner(first)]], at.filter(pa.array(same)), given.filter(pa.array(same))
+                token, (at, part, given) = token[same[owner(first)]], (x.filter(pa.array(same)) for x in (at, part, given))
                 first = np.concatenate([[0], np.cumsum(np.diff(first)[same])])
-                yield pa.RecordBatch.from_arrays([at, given, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(token.view(np.int64)))], names=["at", "sig", "tokens"])
+                yield pa.RecordBatch.from_arrays([at, part, given, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(token.view(np.int64)))], names=["at", "part", "sig", "tokens"])
 
-    return docs.select("at", "sig", "text").mapInArrow(run, "at long, sig long, tokens array<long>")
+    return docs.select("at", "part", "sig", "text").mapInArrow(run, "at long, part int, sig long, tokens array<long>")
 
 
 def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, twins: np.ndarray, percent: int) -> DataFrame:
-    """Of the pairs (u, v) those whose sets are similar; ``classes`` has sig, doc_id, n and bits."""
+    """Of the pairs (u, v), as ``cut`` wrote them, those whose sets are similar; ``classes`` has sig, doc_id, n and bits.
+
+    A class that is the second of many pairs meets them in parts of about SPOKES pairs.
+    """
+    hubs = cut(pairs.groupBy("v").agg(F.count("*").alias("rows_of_key"), F.ceil(F.count("*") / SPOKES).cast("int").alias("parts")))
+    pairs = join_spread(pairs, hubs, ["v"], pairs.count()).select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
     side = lambda key: classes.select(F.col("sig").alias(key), F.col("n").alias(f"n_{key}"), F.col("bits").alias(f"bits_{key}"))
     least = F.least(F.size("bits_u"), F.size("bits_v"))
     both = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
@@ -247,17 +254,19 @@ def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, twins: np.ndarr
     differ = F.aggregate(both(folded("bits_u"), folded("bits_v")), F.lit(0), lambda a, x: a + F.bit_count(x))
     # shared tokens are at most half of what the sizes leave besides the difference
     most = F.floor((F.col("n_u") + F.col("n_v") - differ) / 2)
-    near = pairs.join(side("u"), "u").join(side("v"), "v")
-    near = cut(near.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (100 * most >= percent * (F.col("n_u") + F.col("n_v") - most))).select("u", "v"))
+    parts = hubs.join(side("v"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("rows_of_key", "parts")
+    near = pairs.join(side("u"), "u").join(parts, ["v", "part"])
+    near = cut(near.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (100 * most >= percent * (F.col("n_u") + F.col("n_v") - most))).select("u", "v", "part"))
     # whole sets go to where the second class of their pair is
-    wanted = near.select(F.col("v").alias("at"), F.col("u").alias("sig")).unionByName(near.select(F.col("v").alias("at"), F.col("v").alias("sig")).distinct())
+    place = lambda sig: near.select(F.col("v").alias("at"), "part", F.col(sig).alias("sig"))
+    wanted = place("u").unionByName(place("v").distinct())
     wanted = cut(wanted.join(classes.select("sig", "doc_id"), "sig"))
     sets = sets_of(docs.join(if_small(wanted), "doc_id"), twins)
-    left = sets.filter("sig <> at").select(F.col("at").alias("v"), F.col("sig").alias("u"), F.col("tokens").alias("x"))
-    right = sets.filter("sig = at").select(F.col("at").alias("v"), F.col("tokens").alias("y"))
+    left = sets.filter("sig <> at").select(F.col("at").alias("v"), "part", F.col("sig").alias("u"), F.col("tokens").alias("x"))
+    right = sets.filter("sig = at").select(F.col("at").alias("v"), "part", F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
-    return cut(left.join(right, "v").filter(100 * shared >= percent * (sizes - shared)).select("u", "v").distinct())
+    return cut(left.join(right, ["v", "part"]).filter(100 * shared >= percent * (sizes - shared)).select("u", "v").distinct())
 
 
 def small_groups(rows: DataFrame, percent: int) -> DataFrame:
@@ -357,7 +366,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_rows = cut(labelled.join(apart, "key"))
     pairs = small_groups(open_rows.filter(F.col("m") <= SMALL_GROUP), percent).unionByName(large_groups(open_rows.filter(F.col("m") > SMALL_GROUP), classes, percent)).distinct()
     tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    late = links(pairs.join(tried, ["u", "v"], "left_anti"), docs, classes, twins, percent)
+    late = links(cut(pairs.join(tried, ["u", "v"], "left_anti")), docs, classes, twins, percent)
     every = cut(connected(first.unionByName(late)))
 
     named = every.join(classes.select(F.col("sig").alias("node"), "doc_id"), "node")

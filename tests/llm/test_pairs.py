@@ -45,7 +45,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats(spark, seed):
-    rows = corpus(seed)
+    rows = corpus(seed, 120 // seed)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, rows)).collect()}
     want = brute.repeats(rows)
     assert got == want and sum(w[1] for w in want.values()) > 0
@@ -88,7 +88,8 @@ def test_near_copies(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 4)
     monkeypatch.setattr(jaccard, "SMALL_GROUP", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    rows = corpus(seed)
+    monkeypatch.setattr(jaccard, "SPOKES", 2)
+    rows = corpus(seed, 120 // seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(frame(spark, rows)).collect()}
     want = brute.near_components(rows)
     assert got == want and len({c for _, c in want.values()}) < len(want)
