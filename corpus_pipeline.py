@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline.llm import jaccard, mixing, packing, quality, secrets
-from fathomline.llm.common import cut, ensure_checkpoint_dir, if_small, remove_at_exit
+from fathomline.llm.common import cut, ensure_checkpoint_dir, if_small, numbered, remove_at_exit
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,10 +26,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of 80 % similarity hold together, the one of smallest doc_id (null last).
 
-    Rows are numbered and written first, so copies are told apart also where their doc_id is null or the same. Documents
-    without words are in no group and stay.
+    Rows are numbered first, so copies are told apart also where their doc_id is null or the same. Documents without
+    words are in no group and stay.
     """
-    rows = cut(docs.select(F.struct(*COLUMNS).alias("record"), F.monotonically_increasing_id().alias("row")))
+    rows = numbered(docs, COLUMNS)
     found = jaccard.components(rows.select(F.col("row").alias("doc_id"), "record.text"))
     ids = rows.select("row", F.col("record.doc_id").alias("id"))
     first = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether ``df`` is no more than columns and rows of files, so that its rows have the same order in every pass."""
+
+    def plain(node) -> bool:
+        below = node.children()
+        if not below.size():
+            return node.nodeName().startswith("LogicalRelation")
+        return node.nodeName() in ("Project", "Filter") and all(plain(below.apply(i)) for i in range(below.size()))
+
+    return plain(df._jdf.queryExecution().optimizedPlan())
+
+
+def numbered(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(record, row): ``columns`` of each row as a struct, and a number of its own that is the same in every pass.
+
+    Rows that come straight from files are numbered as they are read, others are written first.
+    """
+    rows = df.select(F.struct(*columns).alias("record"), F.monotonically_increasing_id().alias("row"))
+    return rows if from_files(df) else cut(rows)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Takes the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named in a local session."""
     sc = spark.sparkContext

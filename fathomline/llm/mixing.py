@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fathomline.llm.common import cut, partitions
+from fathomline.llm.common import cut, numbered, partitions
 
 #: Seeded buckets of each source's order.
 BUCKETS_PER_PARTITION = 4
@@ -142,7 +142,7 @@ def in_order(mixed: DataFrame) -> DataFrame:
 
 def stream(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, as often as the mix takes them, range-sorted by training position."""
-    rows = cut(docs.select(F.struct(*docs.columns).alias("record"), F.monotonically_increasing_id().alias("row")))
+    rows = numbered(docs, docs.columns)
     narrow = rows.select("record.doc_id", "record.source", n_words("record.text").alias("size"), "row")
     taken = mix(narrow, size=F.col("size"), carry=("row",), **options).filter(F.col("copies") > 0)
     out = rows.join(taken.select("row", F.col("doc_id").alias("id"), "positions"), "row").withColumn("at", F.explode("positions"))

@@ -154,3 +154,13 @@ def test_intermediate_folders_have_an_end(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "remove_at_exit", lambda s, path: gone.append(path))
     monkeypatch.setattr(pipeline, "STAGES", [("all", lambda s, d, f: d)])
     assert pipeline.run(spark, FOLDER).count() == table(spark, FOLDER, "documents").count() and len(gone) == 1
+
+
+def test_rows_keep_their_numbers(spark):
+    docs = table(spark, FOLDER, "documents")
+    assert common.from_files(docs.select("doc_id", "text").filter("doc_id > 3")) and not common.from_files(docs.repartition(3)) and not common.from_files(docs.distinct())
+    for df in (docs, docs.repartition(3)):
+        rows = common.numbered(df, ("doc_id", "text"))
+        wide, narrow = (dict(x.collect()) for x in (rows.select("row", "record.text"), rows.select("row", "record.doc_id")))
+        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert len(wide) == len(texts) and all(wide[k] == texts[d] for k, d in narrow.items())
