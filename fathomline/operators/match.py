@@ -182,8 +182,12 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def is_aggregate(c="query") -> Column:
-    """Whether a question is about many funds; one with a word of two to five capitals is not."""
-    return ~F.col(c).rlike(r"\b[A-Z]{2,5}\b") & any_of(F.lower(c), AGGREGATE)
+    """Whether a question is about many funds; one with a word of two to five capitals is not, nor is a null.
+
+    Words end at what is not an ASCII letter, digit or underscore, whatever ``\\b`` means to the Java version.
+    """
+    ticker = F.col(c).rlike(r"(?<![0-9A-Za-z_])[A-Z]{2,5}(?![0-9A-Za-z_])")
+    return F.coalesce(~ticker & any_of(F.lower(c), AGGREGATE), F.lit(False))
 
 
 def capital_words(c="query") -> Column:

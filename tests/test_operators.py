@@ -57,6 +57,21 @@ def test_resolver(spark):
     assert [k for k, m in flags.items() if m] == [7]
 
 
+def test_many_beside_other_letters(spark):
+    """Capitals end before a letter that is not ASCII, as in the SQL of aggregate_questions; a null asks nothing."""
+    import duckdb
+
+    from fathomline import queries
+
+    asked = ["bestlich SSäich", "best äSS", "best SSä", "best Straße SS", "best SS_", "best SS1", "best ABCDEF", "best ÄÖ", "best É", "BEST", "Best of all", "rest", "", None]
+    rows = [(1, i, text) for i, text in enumerate(asked)]
+    got = spark.createDataFrame(rows, "conv_id long, turn long, text string").select("conv_id", "turn", match.is_aggregate("text").alias("many")).collect()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(c.sql(queries.SQL["aggregate_questions"]).fetchall())
+
+
 def test_candidates_against_all_pairs(spark):
     """Every pair that shares the part of its pieces is found, and hot pieces alone bring no others together."""
     import random
