@@ -34,10 +34,15 @@ def delete(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
-def collapse_holdings(rows: DataFrame, key: str, sums: list[str], order: str) -> DataFrame:
-    """One row a holding: sums of its amounts, and of everything else the first row's value."""
-    rest = [c for c in rows.columns if c not in (key, order, *sums)]
-    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], *[F.min_by(c, order).alias(c) for c in rest])
+def collapse_holdings(rows: DataFrame, key: str, sums: list[str], *order: str) -> DataFrame:
+    """One row a holding: sums of its amounts, and of everything else the first value that is not null.
+
+    Rows come by the columns of ``order``, later ones for those alike in all before; rows without the first count in
+    the sums alone.
+    """
+    rest = [c for c in rows.columns if c not in (key, *order, *sums)]
+    by = F.when(F.col(order[0]).isNotNull(), F.struct(*order))
+    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], *[F.min_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in rest])
 
 
 def ingest_holdings(raw: DataFrame, categories: DataFrame) -> dict[str, DataFrame]:

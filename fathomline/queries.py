@@ -284,8 +284,10 @@ def merge_upsert(t):
 
 @frame_query("SELECT l_partkey, sum(l_quantity) AS l_quantity, sum(l_extendedprice) AS l_extendedprice, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) AS l_returnflag FROM lineitem GROUP BY 1")
 def holdings_dedup(t):
-    rows = t("lineitem").withColumn("row", F.expr("l_orderkey * 100 + l_linenumber")).select("l_partkey", "row", "l_quantity", "l_extendedprice", "l_returnflag")
-    return upsert.collapse_holdings(rows, "l_partkey", ["l_quantity", "l_extendedprice"], "row")
+    # lines with the same numbers come as they lie in the files
+    at = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")
+    rows = t("lineitem").select("l_partkey", F.expr("l_orderkey * 100 + l_linenumber").alias("row"), at, "l_quantity", "l_extendedprice", "l_returnflag")
+    return upsert.collapse_holdings(rows, "l_partkey", ["l_quantity", "l_extendedprice"], "row", "at")
 
 
 @frame_query("SELECT l_orderkey, l_linenumber, round_even(100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 4) AS weight FROM lineitem")

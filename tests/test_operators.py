@@ -34,6 +34,25 @@ def test_holdings(spark):
     assert out["Company"].count() == 1
 
 
+def test_first_of_tied_lines(spark, tmp_path):
+    """Of lines with the same numbers the first in the files that has a value counts, as in the SQL on one thread."""
+    import duckdb
+
+    from fathomline import queries
+
+    c = duckdb.connect()
+    c.execute("SET threads = 1")
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for n in range(2):
+        flag = "CASE WHEN i % 5 < 2 THEN NULL ELSE ['R', 'N', 'A'][1 + (i * 7 + i // 40) % 3] END"
+        c.execute(f"COPY (SELECT i % 40 AS l_partkey, CASE WHEN i % 11 > 0 THEN i // 160 END AS l_orderkey, CAST(1 AS INTEGER) AS l_linenumber, 1.0::DOUBLE AS l_quantity, 2.0::DOUBLE AS l_extendedprice, {flag} AS l_returnflag FROM (SELECT range + {n} * 300 AS i FROM range(300))) TO '{folder}/part-{n}.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    got = queries.QUERIES["holdings_dedup"](spark, str(tmp_path))
+    want = c.sql(queries.SQL["holdings_dedup"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_cascade(spark):
     left = spark.createDataFrame([(1, "Apple Inc"), (2, "Microsoft Corprtion"), (3, "Zzz")], "left_id long, name string")
     right = spark.createDataFrame([(10, "Apple"), (11, "Microsoft Corporatio"), (12, "Amazon")], "right_id long, name string")
