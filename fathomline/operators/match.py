@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomline.functions import clean, fuzzy
+from fathomline.operators import near
 
 #: Part of the shorter text's pieces that two texts must share to be compared.
 SHARE = 0.4
@@ -59,21 +60,36 @@ def best_of(scored: DataFrame, threshold, keep, band: float, by: tuple[str, ...]
     return ranked.filter((F.col("top") >= threshold) & (F.col("score") >= F.col("top") - band) & (F.col("rank") <= keep)).drop("top")
 
 
-def cascade(left: DataFrame, right: DataFrame, threshold: float = 0.74, block: int = 6, share: float = SHARE) -> DataFrame:
+def sharing_words(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of texts of words (x, wx) and (y, wy) with a word in common whose word-set ratio (0 to 1) may reach
+    ``threshold``, judged by lengths: of the shorter text, or of what they share."""
+    size = lambda c: F.length(F.array_join(c, " "))
+    both, n, m = size(F.array_intersect("wx", "wy")), size("wx"), size("wy")
+    reach = lambda part, whole: 2 * part >= threshold * (part + whole)
+    met = left.withColumn("w", F.explode("wx")).join(right.withColumn("w", F.explode("wy")), "w")
+    return met.filter(reach(F.least(n, m), F.greatest(n, m)) | reach(both, n) | reach(both, m)).select("x", "y").distinct()
+
+
+def cascade(left: DataFrame, right: DataFrame, threshold: float = 0.74, block: int = 6) -> DataFrame:
     """Matches (left_id, right_id, score, stage) of names, each stage for what those before it left.
 
     Stage ``exact``: equal normalised names. Stage ``prefix``: best sequence ratio among names with the same ``block``
-    first letters. Stage ``wide``: best word-set ratio among all names, found by ``candidates``. Ties go to the smaller
-    right_id. Names that are empty when normalised match nothing.
+    first letters. Stage ``wide``: best word-set ratio among all names. Ties go to the smaller right_id. Names that are
+    empty when normalised match nothing. A pair is scored if the ratio of its longest common subsequence, which bounds
+    that of its blocks, reaches the threshold (``near.pairs``), for the wide stage with words in order, or if it has a
+    word in common and lengths that allow the threshold; no other pair can reach it.
     """
     a = left.select("left_id", clean.company_name("name").alias("x")).filter("x <> ''")
     b = right.select("right_id", clean.company_name("name").alias("y")).filter("y <> ''").groupBy("y").agg(F.min("right_id").alias("right_id"))
     equal = a.join(b, F.col("x") == F.col("y"), "left").select("left_id", "x", F.col("right_id").alias("equal_id"))
-    # lengths bound the ratio: pairs too far apart are not scored
-    near = 2 * F.least(F.length("x"), F.length("y")) >= threshold * (F.length("x") + F.length("y"))
-    begins = (F.substring("x", 1, block) == F.substring("y", 1, block)) & near
-    scored = candidates(equal.filter("equal_id IS NULL"), b, share).join(b, "y")
-    scored = scored.withColumn("prefix", fuzzy.sequence_ratio(F.when(begins, F.col("x")), "y")).withColumn("wide", fuzzy.token_set_ratio("x", "y") / 100)
+    sets = lambda df, c: df.select(c, F.array_sort(F.array_distinct(F.split(c, " "))).alias(f"w{c}"))
+    rest, names = sets(equal.filter("equal_id IS NULL").select("x").distinct(), "x"), sets(b, "y")
+    begun = near.pairs(rest, names, threshold, same=block).withColumn("prefix", fuzzy.sequence_ratio("x", "y"))
+    ordered = lambda df, c: df.select(F.col(c).alias(f"of{c}"), F.array_join(f"w{c}", " ").alias(c))
+    p, q = ordered(rest, "x"), ordered(names, "y")
+    apart = near.pairs(p, q, threshold).join(p, "x").join(q, "y").select(F.col("ofx").alias("x"), F.col("ofy").alias("y"))
+    wide = apart.unionByName(sharing_words(rest, names, threshold)).distinct().withColumn("wide", fuzzy.token_set_ratio("x", "y") / 100)
+    scored = begun.unionByName(wide, allowMissingColumns=True).join(b, "y")
     best = lambda c: F.max(F.when(F.col(c) >= threshold, F.struct(F.col(c).alias("score"), (-F.col("right_id")).alias("r")))).alias(c)
     one = equal.join(scored.groupBy("x").agg(best("prefix"), best("wide")), "x", "left")
     is_ = lambda c, name: F.when(F.col(c).isNotNull(), F.struct((-F.col(f"{c}.r")).alias("right_id"), F.col(f"{c}.score").alias("score"), F.lit(name).alias("stage")))

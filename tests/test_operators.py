@@ -105,6 +105,62 @@ def test_candidates_against_all_pairs(spark):
         assert {tuple(r) for r in match.candidates(left, right, share).collect()} == want
 
 
+def test_near_pairs_against_all_pairs(spark):
+    """Every pair with the ratio is found, whatever the lengths (also beyond a machine word), letters and parts."""
+    import random
+
+    from fathomline.functions import fuzzy
+    from fathomline.operators import near
+
+    rng = random.Random(3)
+    for letters, most, threshold, same in (("ab", 6, 0.7, 0), ("abcd\u00e9 ", 14, 0.5, 0), ("0123", 12, 0.8, 2), ("abc", 90, 0.7, 0), ("ab", 5, 1.0, 0)):
+        left, right = (["".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(50)] for _ in range(2))
+        right += left[:5]
+        got = sorted((int(i), int(j)) for x, y in near.alike(left, right, threshold, same) for i, j in zip(x, y, strict=True))
+        fits = lambda a, b: a and b and fuzzy.ratio_of(a, b) >= 100 * threshold - 1e-7 and (not same or len(a) >= same and a[:same] == b[:same])  # noqa: B023, E731
+        assert got == [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if fits(a, b)]
+    x, y = (spark.createDataFrame([(t,) for t in part], f"{c} string") for c, part in (("x", left), ("y", right)))
+    want = {(left[i], right[j]) for i, j in got}
+    assert {tuple(r) for r in near.pairs(x, y, 1.0, searched=7, held=9).collect()} == want
+
+
+def test_near_pairs_leave_far_branches():
+    """Numbered names that share most of their letters meet those with their own number, not all the others."""
+    import time
+
+    from fathomline.operators import near
+
+    left, right = ([f"{name} {i:09d}" if first else f"{i:09d} {name}" for i in range(0, 20_000, step) for first in (True, False)] for name, step in (("customer", 7), ("supplier", 1)))
+    began = time.process_time()
+    # a number after a word is not near one before it
+    assert sorted((left[i], right[j][-4:] if right[j][0] == "s" else right[j][:9]) for x, y in near.alike(left, right, 0.7) for i, j in zip(x, y, strict=True)) == sorted((t, t[-4:] if t[0] == "c" else t[:9]) for t in left)
+    assert time.process_time() - began < 30
+
+
+def test_cascade_against_all_pairs(spark):
+    import random
+
+    from fathomline.functions import fuzzy
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(2, 7)))
+    stock = [word() for _ in range(12)]
+    name = lambda: " ".join(rng.choice(stock) if rng.random() < 0.6 else word() for _ in range(rng.randint(1, 4)))
+    left, right = ([name() for _ in range(n)] for n in (80, 70))
+    left += ["qxrsty one", "qxrsty", "zb yd xf"]
+    right += ["qxrsty two", "qxrst", "bz dy fx"]
+    want = {}
+    for i, x in enumerate(left):
+        tries = [("exact", max(((1.0, -j) for j, y in enumerate(right) if x == y), default=None))]
+        tries.append(("prefix", max(((fuzzy.sequence_ratio_of(x, y), -j) for j, y in enumerate(right) if x[:6] == y[:6] and len(x) >= 6), default=None)))
+        tries.append(("wide", max((fuzzy.token_set_ratio_of(x, y) / 100, -j) for j, y in enumerate(right))))
+        found = [(-j[1], round(j[0], 9), stage) for stage, j in tries if j and j[0] >= 0.6]
+        if found:
+            want[i] = found[0]
+    a, b = (spark.createDataFrame(list(enumerate(part)), f"{c}_id long, name string") for c, part in (("left", left), ("right", right)))
+    assert {r["left_id"]: (r["right_id"], round(r["score"], 9), r["stage"]) for r in match.cascade(a, b, 0.6).collect()} == want
+
+
 def test_cascade_finds_words_in_other_orders(spark):
     left = spark.createDataFrame([(1, "The Acme Trading Corp."), (2, "Trading Acme"), (3, "Xcme Trading"), (4, "Old Acme Trading House"), (5, "unrelated")], "left_id long, name string")
     right = spark.createDataFrame([(10, "Acme Trading"), (11, "Zenith Mills")], "right_id long, name string")
