@@ -70,11 +70,16 @@ def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]
     known = target >= 0
     target, places = np.maximum(target, 0), max(1, int(known.sum()))
     logits, x, q, k, v, a, h = forward(w, windows, size)
-    p = np.exp(logits - logits.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    loss = -(np.log(np.maximum(np.take_along_axis(p, target[..., None], 2)[..., 0], 1e-12)) * known).sum() / places
-    np.put_along_axis(p, target[..., None], np.take_along_axis(p, target[..., None], 2) - 1, 2)
-    p *= known[..., None] / np.float32(places)
+    target, known = target.ravel(), known.ravel()
+    p = logits.reshape(len(target), -1)
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    own = np.arange(len(target))
+    chosen = p[own, target]
+    loss = -(np.log(np.maximum(chosen, 1e-12)) * known).sum() / places
+    p[own, target] = chosen - 1
+    p *= (known / np.float32(places)).astype(np.float32)[:, None]
     width = x.shape[2]
     two = lambda m: m.reshape(-1, m.shape[-1])
     grad = {"out": two(h).T @ two(p), "bias": two(p).sum(axis=0)}

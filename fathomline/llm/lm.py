@@ -9,8 +9,8 @@ class from the attention and its share of the class from counts. How often words
 the class that training texts have once (Good and Turing), so all words together have probability one at most.
 
 All of it is learned from all training texts: words and symbols are counted over whole texts, and the attention weights
-are trained on windows drawn over the whole length of every training text, one word in ``DRAW``, so their number grows
-with the corpus. Training goes by rounds: each task trains a copy on its windows, and the copies are averaged.
+are trained on windows that cover every training text from its first symbol to its end. Training goes by rounds, each on
+a part of the windows: each task trains a copy on its own, and the copies are averaged.
 
 Scale: words are counted in each task and then over all tasks, by fingerprint, and each distinct word is tokenised
 once. A score needs the counts and symbols of a text's words, and their table grows with the corpus; so texts are dealt
@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm import attention
-from fathomline.llm.common import LOWER, STEP, U64, chunks, cut, mix, texts, word_hashes, words
+from fathomline.llm.common import LOWER, chunks, cut, texts, word_hashes, words
 from fathomline.llm.subwords import Subwords, default_tokenizer
 
 #: Bytes of text in a block, and of text whose words are counted together in a task.
 BLOCK_BYTES, STRETCH_BYTES = 20 << 20, 24 << 20
-#: Training windows cover one word in DRAW, in runs of RUN words.
-DRAW, RUN = 16, 24
+#: Training windows cover one word in DRAW, that is every word, and RUN symbols each; bytes of text made into windows together.
+DRAW, RUN, WINDOW_BYTES = 1, attention.CONTEXT, 1 << 21
 #: Rounds of training, steps of a task in a round at least, and groups of tasks whose weights are averaged apart.
 ROUNDS, STEPS, SLOTS, RATE = 4, 200, 64, 0.02
 #: The end of a text among the words.
@@ -165,51 +165,40 @@ def fine_kinds(counts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def draw_windows(docs: DataFrame, model, path: str) -> DataFrame:
-    """(inputs, targets) of windows drawn from all texts: kinds that the model reads and classes that follow (255: none)."""
+    """Windows (inputs) over all symbols of all texts, ends included: the kinds that the model reads and, last, the one
+    that follows them. Every symbol follows once; places before a text and after its end have the kind of a start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, subwords, width = model.value, Subwords.of(path), attention.CONTEXT
-        start, end = len(m["class_of"]), 2 * subwords.size + 1
+        m, subwords = model.value, Subwords.of(path)
+        start, end = len(m["class_of"]), np.array([subwords.size], m["ids"]).tobytes()
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0), WINDOW_BYTES):
                 low, starts, ends, first, key = words_in(data, offsets)
-                raw, spans, inputs, targets = low.tobytes(), [], [], []
-                for i in np.flatnonzero(np.diff(offsets)).tolist():
-                    a, b = int(first[i]), int(first[i + 1])
-                    runs = np.arange(a, b + 1, RUN)
-                    drawn = runs[mix(np.arange(len(runs), dtype=U64) * STEP + key[a : a + 1].view(U64).sum() + U64(b - a)) % U64(DRAW) == 0]
-                    spans += [(a, b, at, min(b, at + RUN)) for at in drawn.tolist()]
-                chosen = np.concatenate([np.arange(at, last) for _, _, at, last in spans] or [np.zeros(0, np.int64)])
-                codes = codes_of(subwords, [raw[x:y] for x, y in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
-                done = 0
-                for a, b, at, last in spans:
-                    ids = codes[done : done + last - at]
-                    done += last - at
-                    into = np.concatenate([[0], np.cumsum([len(c) for c in ids])]).astype(np.int64) // np.dtype(m["ids"]).itemsize
-                    symbol = symbols_of(np.frombuffer(b"".join(ids), m["ids"]), into) if ids else np.zeros(0, np.int64)
-                    if last == b:
-                        symbol = np.append(symbol, end)
-                    kinds = m["fine"][symbol]
-                    if at == a:
-                        kinds = np.concatenate([[start], kinds])
-                    n = max(0, -(-(len(kinds) - 1) // width))
-                    x = np.full(n * width + 1, start)
-                    x[: len(kinds)] = kinds
-                    y = np.full(n * width, 255)
-                    y[: len(kinds) - 1] = m["class_of"][kinds[1:]]
-                    inputs.append(x[:-1].reshape(n, width))
-                    targets.append(y.reshape(n, width))
-                if inputs:
-                    x, y = np.concatenate(inputs).astype("<u2"), np.concatenate(targets).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())], names=["inputs", "targets"])
+                raw = low.tobytes()
+                fresh, at, which = np.unique(key, return_index=True, return_inverse=True)
+                codes = [*codes_of(subwords, [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]), end]
+                flat, into = ragged(pa.array(codes, pa.binary()), m["ids"])
+                kinds = m["fine"][symbols_of(flat, into)]
+                # a text's end follows its words, also where there are none
+                word = np.insert(which, first[1:], len(fresh))
+                size = np.diff(into)[word]
+                spot = np.arange(size.sum()) + np.repeat(into[word] - np.cumsum(size) + size, size)
+                total = np.concatenate([[0], np.cumsum(size)])[first + np.arange(len(first))]
+                x, y = attention.windows_of(kinds[spot], np.diff(total), attention.CONTEXT, attention.CONTEXT, start)
+                rows = np.concatenate([x, np.where(y[:, -1:] < 0, start, y[:, -1:])], axis=1).astype("<u2")
+                if len(rows):
+                    where = np.arange(len(rows) + 1, dtype=np.int32) * rows[0].nbytes
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(where), pa.py_buffer(rows)])], names=["inputs"])
         subwords.forget()
 
-    return docs.select("text").mapInArrow(run, "inputs binary, targets binary")
+    return docs.select("text").mapInArrow(run, "inputs binary")
 
 
-def trained(windows: DataFrame, weights: dict) -> dict:
+def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
     """Weights after ROUNDS rounds: each task trains a copy on a part of its windows, and the copies are averaged."""
     spark = windows.sparkSession
+    # a start follows nothing
+    goal = np.append(class_of, -1)
 
     def average(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
@@ -229,8 +218,8 @@ def trained(windows: DataFrame, weights: dict) -> dict:
                     rows = np.flatnonzero((np.arange(batch.num_rows) + seen) % ROUNDS == k)
                     seen += batch.num_rows
                     if len(rows):
-                        x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), t).reshape(len(rows), -1).astype(np.int64) for c, t in ((0, "<u2"), (1, np.uint8)))
-                        yield x, np.where(y == 255, -1, y)
+                        kinds = ragged(batch.column(0).take(pa.array(rows)), "<u2")[0].reshape(len(rows), -1).astype(np.int64)
+                        yield kinds[:, :-1], goal[kinds[:, 1:]]
 
             w, n = attention.train(attention.unpacked(sent.value, weights), parts(), rate, STEPS)
             if n:
@@ -261,7 +250,7 @@ def learn(docs: DataFrame, counts: DataFrame, path: str) -> dict:
     model = {"kind": kind.astype(np.int16), "fine": fine.astype(np.int16), "class_of": class_of, "inner": inner, "words": words, "recall": np.where(words > 0, (words - once + 0.5) / (words + 1), 0.0), "size": size, "ids": id_type(size)}
     windows = cut(draw_windows(docs, spark.sparkContext.broadcast(model), path))
     weights = attention.initial(classes=attention.CLASSES, kinds=len(class_of))
-    return model | {"weights": trained(windows, weights)}
+    return model | {"weights": trained(windows, weights, class_of)}
 
 
 def predicted(words_and_ids: DataFrame, model) -> DataFrame:

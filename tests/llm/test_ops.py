@@ -680,3 +680,30 @@ def test_secrets_against_a_plain_version(spark):
                 at = b
         assert [(f["start"], f["end"]) for f in got[i]["findings"]] == want
         assert got[i]["redacted"] == b"".join([*redacted, raw[at:]]).decode()
+
+
+def test_training_windows_hold_every_symbol_once(spark):
+    """What the windows' places are followed by is each training text as a whole, in order, with its end."""
+    path = subwords.default_tokenizer()
+    rows = ["b a", "one", " \n", "", "x y " * 40 + "unseen-wörter 12345", " ".join(f"w{i % 9}" for i in range(997))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    cutter = subwords.Subwords.of(path)
+    end, start = 2 * cutter.size + 1, 2 * cutter.size + 4
+    # kinds are symbols, so that nothing is told apart less
+    model = {"class_of": np.arange(start), "fine": np.arange(start), "ids": lm.id_type(cutter.size)}
+    if start >= 1 << 16:
+        model["fine"] = np.arange(start) % 60000
+        model["class_of"] = np.arange(60000)
+    start = len(model["class_of"])
+    got = [np.frombuffer(r["inputs"], "<u2").tolist() for r in lm.draw_windows(docs, spark.sparkContext.broadcast(model), path).collect()]
+    want = []
+    for text in rows:
+        flat = []
+        for word in text.lower().encode().split():
+            ids = np.frombuffer(cutter.ids(word), "<u4")
+            flat += [2 * int(i) for i in ids[:-1]] + [2 * int(ids[-1]) + 1]
+        flat = [start, *(int(model["fine"][k]) for k in [*flat, end])]
+        for i in range(0, len(flat) - 1, lm.RUN):
+            part = flat[i : i + lm.RUN + 1]
+            want.append(part + [start] * (lm.RUN + 1 - len(part)))
+    assert sorted(got) == sorted(want)
