@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fathomline.functions import clean, fuzzy
-from fathomline.operators import near
+from fathomline.operators import naming, near
 
 #: Part of the shorter text's pieces that two texts must share to be compared.
 SHARE = 0.4
@@ -188,6 +190,8 @@ AGGREGATE = ("highest", "lowest", "best", "worst", "most", "least", "greatest",
 CUTOFFS = {"provider": 60.0, "trust": 75.0, "fund": 82.0, "aggregate": 87.0, "company": 70.0}
 KEPT = {"fund": 5, "company": 3}
 BAND, TOKEN_FROM, PARTIAL_GAIN = 5.0, 80.0, 1.1
+#: Questions and names that meet in one task.
+ASKED, NAMES = 2000, 100_000
 
 
 def any_of(c: Column, words: tuple[str, ...]) -> Column:
@@ -212,25 +216,27 @@ def capital_words(c="query") -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & (w == F.upper(w))))
 
 
-def token_scores(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, kind, name_id, s): the best plain ratio of a word of the query with one of the name, from TOKEN_FROM.
-    Words are compared once each."""
-    q = queries.select("query_id", F.explode(F.array_distinct(clean.question_words("query"))).alias("x"))
-    n = names.select("kind", "name_id", F.explode(F.array_distinct(clean.name_words("name"))).alias("y"))
-    scored = candidates(q, n, 0.25).withColumn("s", fuzzy.ratio("x", "y")).filter(F.col("s") >= TOKEN_FROM)
-    return q.join(scored, "x").join(n, "y").groupBy("query_id", "kind", "name_id").agg(F.max("s").alias("s"))
+def named(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, kind, name_id, name, score) of the names (kind, name_id, name) that a question (query_id, query, kind,
+    cutoff, keep) may mean, its ``keep`` best within BAND of the best one; more where names are many.
+
+    The score is the best of word-set ratio, partial ratio with a gain, and the ratio of a word of the query with one of
+    the name, from TOKEN_FROM, weighed by the words in common. Whole texts are compared where they share SHARE of their
+    pieces, words all. Parts of both sides meet, each in one task, which need not score every name (``naming``).
+    """
+    n, m = max(1, -(-queries.count() // ASKED)), max(1, -(-names.count() // NAMES))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    text = lambda c: clean.matching_text(c).alias("text")
+    q = queries.filter("query_id IS NOT NULL").select("query_id", "kind", text("query"), F.array_distinct(clean.question_words("query")).alias("tokens"), F.col("cutoff").cast("double").alias("cutoff"), F.col("keep").cast("int").alias("keep"), part("query_id", n).alias("i"), every(m).alias("j"))
+    k = names.filter("name_id IS NOT NULL").select("kind", "name_id", "name", text("name"), F.array_distinct(clean.name_words("name")).alias("tokens"), every(n).alias("i"), part("name_id", m).alias("j"))
 
+    def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
+        return naming.best_names(asked, there, TOKEN_FROM, BAND, PARTIAL_GAIN, SHARE)
 
-def named(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, kind, name_id, name, score) of the names (kind, name_id, name) that a question may mean: the best of
-    word-set ratio, partial ratio with a gain, and single words, weighed by the words in common."""
-    q = queries.select("query_id", clean.matching_text("query").alias("x"))
-    n = names.select("kind", "name_id", "name", clean.matching_text("name").alias("y"))
-    whole = candidates(q, n).withColumn("s", F.greatest(fuzzy.token_set_ratio("x", "y"), F.least(F.lit(100.0), PARTIAL_GAIN * fuzzy.partial_ratio("x", "y"))))
-    text = q.join(whole, "x").join(n, "y").select("query_id", "kind", "name_id", "s")
-    best = text.unionByName(token_scores(queries, names)).groupBy("query_id", "kind", "name_id").agg(F.max("s").alias("s"))
-    rows = best.join(q, "query_id").join(n, ["kind", "name_id"])
-    return rows.select("query_id", "kind", "name_id", "name", fuzzy.secondary(F.col("s"), F.col("x"), F.col("y")).alias("score"))
+    kind = StructType([q.schema["query_id"], q.schema["kind"], k.schema["name_id"], k.schema["name"], StructField("score", DoubleType())])
+    sides = (df.repartition(2 * n * m, "kind", "i", "j").groupBy("kind", "i", "j") for df in (q, k))
+    return next(sides).cogroup(next(sides)).applyInArrow(meet, kind)
 
 
 def resolve(queries: DataFrame, funds: DataFrame, companies: DataFrame, providers: DataFrame, trusts: DataFrame | None = None) -> DataFrame:
@@ -252,7 +258,8 @@ def resolve(queries: DataFrame, funds: DataFrame, companies: DataFrame, provider
     keep = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in KEPT.items()], F.lit(1))
 
     pick = lambda scored: best_of(scored.join(flagged.drop("query"), "query_id").filter(asked), cutoff, keep, BAND, ("query_id", "kind")).select(*exact.columns)
-    some = flagged.filter("asks_fund OR asks_company").select("query_id", "query")
+    wanted = flagged.withColumn("kind", F.explode(F.array(F.lit("fund"), F.lit("company")))).filter(asked)
+    some = wanted.select("query_id", "query", "kind", cutoff.alias("cutoff"), keep.alias("keep"))
     held = flagged.filter("asks_provider OR asks_trust").select("query_id", low.alias("x"))
     n = houses.withColumn("y", F.lower("name"))
     score = F.when(F.col("kind") == "trust", fuzzy.partial_ratio("x", "y")).otherwise(fuzzy.weighted_ratio("x", "y"))

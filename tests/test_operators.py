@@ -91,6 +91,63 @@ def test_many_beside_other_letters(spark):
     assert sorted(map(tuple, got)) == sorted(c.sql(queries.SQL["aggregate_questions"]).fetchall())
 
 
+def test_best_names_against_all_names(monkeypatch):
+    """The names within the band of the best are those of scoring every name, whichever words count as frequent."""
+    import random
+
+    from fathomline.functions import fuzzy
+    from fathomline.operators import naming
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 7)))
+    stock = ["global", "vanguard", "trust", "apple", "widgets", *(word() for _ in range(12))]
+    text = lambda: " ".join(rng.choice(stock) if rng.random() < 0.7 else word() for _ in range(rng.randint(0, 5)))
+    texts, asked = [text() for _ in range(200)], [text() for _ in range(60)]
+    tokens = [[w for w in dict.fromkeys(t.split()) if len(w) > 3] for t in texts]
+    for often in (2, 20, 1000):
+        monkeypatch.setattr(naming, "OFTEN", often)
+        names = naming.Names(list(range(200)), texts, texts, tokens)
+        for q in asked:
+            words = set(q.split())
+            like = {}
+            for t in names.spoken:
+                s = max((fuzzy.ratio_of(w, t) for w in words if len(w) >= 3), default=0)
+                if s >= 80:
+                    like[t] = s
+            scores = {}
+            for i, t in enumerate(texts):
+                s = max((like.get(w, 0) for w in tokens[i]), default=0)
+                a, b = naming.pieces_of(q), naming.pieces_of(t)
+                if q and t and len(a & b) >= 0.4 * min(len(a), len(b)):
+                    s = max(s, fuzzy.token_set_ratio_of(q, t), min(100, 1.1 * fuzzy.partial_ratio_of(q, t)))
+                elif not s:
+                    continue
+                scores[i] = min(100, s * naming.weight(len(words & set(t.split())), len(words), len(t.split()))) if words and t else s
+            for cutoff, keep in ((70, 3), (82, 5)):
+                top = max(scores.values(), default=0)
+                want = sorted(((-s, i) for i, s in scores.items() if top >= cutoff and s >= top - 5))[:keep]
+                got = [(-s, i) for i, s in names.best(q, like, cutoff, keep, 5, 1.1, 0.4) if top >= cutoff]
+                assert [i for _, i in got] == [i for _, i in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
+
+
+def test_names_of_the_same_words_are_not_all_scored(spark, monkeypatch):
+    """Names that differ by a number only: each question finds its own, and few texts are compared."""
+    from fathomline.operators import naming
+
+    texts = [f"acme {i} widgets" for i in range(1, 3001)]
+    calls = []
+    monkeypatch.setattr(naming, "partial_ratio_of", lambda a, b: calls.append(1) or 0.0)
+    names = naming.Names(list(range(1, 3001)), texts, texts, [t.split()[::2] for t in texts])
+    for i in (1, 17, 2999):
+        assert names.best(f"revenue of acme {i} wigets", {"acme": 100.0, "widgets": 92.3}, 70, 3, 5, 1.1, 0.4)[0][0] == i - 1
+    assert not calls
+    firms = spark.createDataFrame([(i, f"Acme {i} Widgets Inc", "NONE") for i in range(1, 3001)], "name_id long, name string, ticker string")
+    asked = spark.createDataFrame([(i, f"annual revenue of Acme {i} Wigets") for i in range(1, 3001)], "query_id long, query string")
+    none = firms.limit(0)
+    got = match.resolve(asked, none, firms, none.select("name_id", "name")).select("query_id", "kind", "name_id").collect()
+    assert {tuple(r) for r in got} == {(i, "company", i) for i in range(1, 3001)}
+
+
 def test_candidates_against_all_pairs(spark):
     """Every pair that shares the part of its pieces is found, and hot pieces alone bring no others together."""
     import random
