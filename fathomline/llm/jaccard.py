@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import LOWER, STEP, U64, chunks, cut, if_small, join_spread, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import LOWER, STEP, U64, chunks, cut, frugal, if_small, join_spread, mix, owner, spans_hash, word_hashes, words
 from fathomline.llm.graph import connected
 
 N = 5
@@ -108,6 +108,7 @@ def survey(docs: DataFrame) -> DataFrame:
         columns += [np.zeros(n, np.int64)] * (4 - len(columns))
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), bits], names=["kind", "a", "b", "c", "n", "bits"])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -190,6 +191,7 @@ def index(docs: DataFrame, frequent, twins: np.ndarray, percent: int) -> DataFra
     of the set most like all others in it.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
@@ -225,6 +227,7 @@ def bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
 def sets_of(docs: DataFrame, twins: np.ndarray) -> DataFrame:
     """(at, part, sig, tokens) of the documents (at, part, sig, text)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(3)):

@@ -218,3 +218,14 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.components(df).collect()} == brute.near_components(rows)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
     assert got == brute.repeats(rows)
+
+
+def test_free_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    steps = common.frugal(lambda batches: (2 * x for x in batches))
+    assert list(steps(iter([1, 2]))) == [2, 4] and len(given) == 1
+    early = steps(iter([1, 2]))
+    next(early)
+    early.close()
+    assert len(given) == 2
