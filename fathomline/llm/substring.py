@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomline.llm.common import U64, chunks, cut, digests, if_small, join_spread, joined, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import U64, chunks, cut, digests, frugal, if_small, join_spread, joined, mix, owner, spans_hash, word_hashes, words
 
 LENGTH = 50
 ROUNDS = (*("pair",) * 3, "run", "triple")
@@ -162,6 +162,7 @@ def unpacked():
 def symbols(docs: DataFrame, length: int) -> DataFrame:
     """A row for each standing symbol: its name, a digest of its stretch of windows, and where that lies."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(2)):
@@ -195,6 +196,7 @@ def merged(ranges: DataFrame) -> DataFrame:
     """(doc_id, tag, ranges) of ranges (doc_id, tag, low, high); those that touch become one. Written, so as to be counted."""
     rows = ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
@@ -224,6 +226,7 @@ def bytes_of_ranges():
 def window_prints(docs: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     """Digests of the single windows in ``ranges`` (doc_id, tag, ranges) of the texts."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(2)):
@@ -262,6 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     tagged = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
     rows = tagged.join(if_small(repeated_ranges(tagged, length), bytes_of_ranges()), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, digest, left = [], [], [], []
