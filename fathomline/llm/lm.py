@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm import attention
-from fathomline.llm.common import LOWER, chunks, cut, texts, word_hashes, words
+from fathomline.llm.common import LOWER, chunks, cut, frugal, give_back, texts, word_hashes, words
 from fathomline.llm.subwords import Subwords, default_tokenizer
 
 #: Bytes of text in a block, and of text whose words are counted together in a task.
@@ -58,6 +58,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     Words of held-out texts are listed but not counted.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, ended, any_text = [], 0, 0, False
 
@@ -110,6 +111,7 @@ def codes_of(subwords: Subwords, words: list[bytes]) -> list[bytes]:
 def tokenised(counts: DataFrame, path: str) -> DataFrame:
     """(key, n, ids) of counted words."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(path)
         end = np.array([subwords.size], id_type(subwords.size)).tobytes()
@@ -141,6 +143,7 @@ def count_symbols(words_and_ids: DataFrame, size: int) -> DataFrame:
     """(symbol, n, heads, singles): how often training texts have a symbol, words that begin with it, and how many such
     words they have once."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, first = ragged(batch.column("ids"), id_type(size))
@@ -168,6 +171,7 @@ def draw_windows(docs: DataFrame, model, path: str) -> DataFrame:
     """Windows (inputs) over all symbols of all texts, ends included: the kinds that the model reads and, last, the one
     that follows them. Every symbol follows once; places before a text and after its end have the kind of a start."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, subwords = model.value, Subwords.of(path)
         start, end = len(m["class_of"]), np.array([subwords.size], m["ids"]).tobytes()
@@ -209,6 +213,7 @@ def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
         sent = spark.sparkContext.broadcast(attention.packed(weights))
         rate = RATE * (1 - 0.9 * k / max(1, ROUNDS - 1))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], k=k, sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             seen = 0
 
@@ -257,6 +262,7 @@ def predicted(words_and_ids: DataFrame, model) -> DataFrame:
     """(key, n, inner, kinds): of each word the kinds of its symbols, and the summed log of their shares of their
     classes."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
@@ -299,6 +305,12 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, model: dict |
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
+        try:
+            return ask_all(table)
+        finally:
+            give_back()
+
+    def ask_all(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         keys = [np.array([END])]
         for part in table["text"].chunks:
@@ -312,6 +324,12 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, model: dict |
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def judge(there: pa.Table, known: pa.Table) -> pa.Table:
+        try:
+            return judge_all(there, known)
+        finally:
+            give_back()
+
+    def judge_all(there: pa.Table, known: pa.Table) -> pa.Table:
         m = model.value
         known = known.sort_by("key").combine_chunks()
         key, n = known["key"].to_numpy(), known["n"].to_numpy()
