@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fathomline.llm.common import LOWER, U64, WS, chunks, mix, owner, spans_hash, word_hashes, words
+from fathomline.llm.common import LOWER, U64, WS, chunks, give_back, mix, owner, spans_hash, word_hashes, words
 
 BITS = 16
 #: Labelled rows that the classifier is trained on at most.
@@ -132,8 +132,17 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, steps: int = 150) -> tuple[np.ndarray, float] | None:
-    """Weights of words and n-grams and the bias, calibrated; None if the labels are not of two kinds."""
-    rows = sample(docs, labels, size).toArrow().sort_by("doc_id").combine_chunks()
+    """Weights of words and n-grams and the bias, calibrated; None if the labels are not of two kinds.
+
+    The driver, which outlives this too, gives the memory of the sample back.
+    """
+    try:
+        return fitted(sample(docs, labels, size).toArrow().sort_by("doc_id").combine_chunks(), steps)
+    finally:
+        give_back()
+
+
+def fitted(rows: pa.Table, steps: int) -> tuple[np.ndarray, float] | None:
     y = (rows["quality"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return None

@@ -3,11 +3,14 @@
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
@@ -164,3 +167,15 @@ def test_rows_keep_their_numbers(spark):
         wide, narrow = (dict(x.collect()) for x in (rows.select("row", "record.text"), rows.select("row", "record.doc_id")))
         texts = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert len(wide) == len(texts) and all(wide[k] == texts[d] for k, d in narrow.items())
+
+
+def test_the_driver_gives_back_what_training_took(monkeypatch):
+    """Free memory returns to the system once the classifier's sample is gone, whatever the labels, before other stages."""
+    table_of = lambda kinds: pa.table({"doc_id": range(20), "quality": kinds, "slots": [[i, 40] for i in range(20)], "shares": [[0.5, 0.5]] * 20})
+    for kinds in ([0, 1] * 10, [1] * 20):
+        made, done = [table_of(kinds)], []
+        alive = weakref.ref(made[0])
+        monkeypatch.setattr(quality, "sample", lambda *a, made=made: SimpleNamespace(toArrow=made.pop))
+        monkeypatch.setattr(quality, "give_back", lambda alive=alive, done=done: done.append(alive() is None))
+        found = quality.train(None, None)
+        assert done == [True] and (found is None) == (len(set(kinds)) == 1)
