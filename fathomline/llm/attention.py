@@ -13,6 +13,8 @@ import numpy as np
 CLASSES, OWN = 64, 48
 KINDS, OWN_KINDS = 1024, 960
 WIDTH, CONTEXT, STRIDE = 16, 24, 16
+#: Scores up to this size, either way, have exponentials whose sums 32 bits hold.
+SAFE = 40
 
 
 def classes_of(counts: np.ndarray, classes: int = CLASSES, own: int = OWN) -> tuple[np.ndarray, np.ndarray]:
@@ -34,34 +36,53 @@ def initial(classes: int = CLASSES, width: int = WIDTH, context: int = CONTEXT,
     return {"embed": draw(kinds + 1, width), "place": draw(context, width, k=0.1), "q": draw(width, width), "k": draw(width, width), "v": draw(width, width), "out": draw(width, classes), "bias": np.zeros(classes, np.float32)}
 
 
+def softened(scores: np.ndarray) -> np.ndarray:
+    """Exponentials of the scores, in their place. Only where these are large is a row's largest taken from it first."""
+    if scores.size and max(scores.max(), -scores.min()) > SAFE:
+        scores -= scores.max(axis=-1, keepdims=True)
+    return np.exp(scores, out=scores)
+
+
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums along the last axis; as a product they take a fraction of what ``sum`` takes for short rows."""
+    return (rows.reshape(-1, rows.shape[-1]) @ np.ones(rows.shape[-1], rows.dtype)).reshape(rows.shape[:-1])
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def forward(w: dict, windows: np.ndarray, scored: int) -> tuple:
     """Logits at the last ``scored`` places of each window of input classes."""
     n, size = windows.shape
     width = w["embed"].shape[1]
-    x = w["embed"][windows] + w["place"][:size]
+    x = w["embed"].take(windows, axis=0)
+    x += w["place"][:size]
     flat = x.reshape(-1, width)
     k, v = (flat @ w["k"]).reshape(x.shape), (flat @ w["v"]).reshape(x.shape)
     tail = np.ascontiguousarray(x[:, size - scored :])
-    q = (tail.reshape(-1, width) @ w["q"]).reshape(tail.shape)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(width**-0.5)
+    q = (tail.reshape(-1, width) @ (w["q"] * np.float32(width**-0.5))).reshape(tail.shape)
+    a = np.matmul(q, turned(k))
     # a place sees itself and what comes before it
-    a += np.where(np.arange(size)[None, :] > np.arange(size - scored, size)[:, None], np.float32(-1e9), np.float32(0))
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    seen = np.arange(size)[None, :] <= np.arange(size - scored, size)[:, None]
+    if a.size and max(a.max(), -a.min()) > SAFE:
+        a[:, ~seen] = -np.inf
+    a = softened(a)
+    a *= seen.astype(a.dtype)
+    a *= (1 / row_sums(a))[..., None]
     h = np.matmul(a, v)
     h += tail
-    logits = h.reshape(-1, width) @ w["out"] + w["bias"]
+    logits = h.reshape(-1, width) @ w["out"]
+    logits += w["bias"]
     return logits.reshape(n, scored, -1), x, q, k, v, a, h
 
 
 def log_chosen(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax at each target."""
-    logits -= logits.max(axis=-1, keepdims=True)
+    """Natural log of the softmax at each target; the logits are used up."""
+    if logits.size and max(logits.max(), -logits.min()) > SAFE:
+        logits -= logits.max(axis=-1, keepdims=True)
     chosen = np.take_along_axis(logits, target[..., None], axis=-1)[..., 0]
-    np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=-1))
+    return chosen - np.log(row_sums(np.exp(logits, out=logits)))
 
 
 def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -71,30 +92,34 @@ def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]
     target, places = np.maximum(target, 0), max(1, int(known.sum()))
     logits, x, q, k, v, a, h = forward(w, windows, size)
     target, known = target.ravel(), known.ravel()
-    p = logits.reshape(len(target), -1)
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    own = np.arange(len(target))
-    chosen = p[own, target]
-    loss = -(np.log(np.maximum(chosen, 1e-12)) * known).sum() / places
-    p[own, target] = chosen - 1
-    p *= (known / np.float32(places)).astype(np.float32)[:, None]
-    width = x.shape[2]
+    own, width = np.arange(len(target)), x.shape[2]
+    p = softened(logits.reshape(len(target), -1))
+    total = row_sums(p)
+    loss = -(np.log(np.maximum(p[own, target] / total, 1e-12)) * known).sum() / places
+    weigh = (known / np.float32(places)).astype(p.dtype)
+    p *= (weigh / total)[:, None]
+    p[own, target] -= weigh
     two = lambda m: m.reshape(-1, m.shape[-1])
-    grad = {"out": two(h).T @ two(p), "bias": two(p).sum(axis=0)}
-    dh = (two(p) @ w["out"].T).reshape(h.shape)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(width**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        grad[name] = two(x).T @ two(d)
-    dx = dh + (two(dq) @ w["q"].T + two(dk) @ w["k"].T + two(dv) @ w["v"].T).reshape(x.shape)
+    grad = {"out": two(h).T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+    dh = (p @ np.ascontiguousarray(w["out"].T)).reshape(h.shape)
+    ds = np.matmul(dh, turned(v))
+    ds -= row_sums(ds * a)[..., None]
+    ds *= a
+    # q has the scale of the scores in it
+    scale = np.float32(width**-0.5)
+    every = np.concatenate([np.matmul(ds, k) * scale, np.matmul(turned(ds), q), np.matmul(turned(a), dh)], axis=2)
+    both = two(x).T @ two(every)
+    for i, name in enumerate(("q", "k", "v")):
+        grad[name] = both[:, i * width : (i + 1) * width]
+    dx = dh + (two(every) @ np.concatenate([w["q"].T, w["k"].T, w["v"].T])).reshape(x.shape)
     grad["place"] = np.zeros_like(w["place"])
     grad["place"][:size] = dx.sum(axis=0)
-    flat, many = windows.ravel(), w["embed"].shape[0]
-    grad["embed"] = np.stack([np.bincount(flat, d, many) for d in two(dx).T], axis=1)
+    flat = windows.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    head = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    grad["embed"] = np.zeros_like(w["embed"])
+    if len(head):
+        grad["embed"][flat[order[head]]] = np.add.reduceat(two(dx).take(order, axis=0), head, axis=0)
     return float(loss), grad
 
 
@@ -104,8 +129,12 @@ def train(w: dict, batches, rate: float, steps: int = 0, batch: int = 96, keep:
     If that makes fewer than ``steps`` steps, the first ``keep`` windows go round until it is so many.
     """
     rng = np.random.default_rng(seed)
-    w = {k: x.astype(np.float32) for k, x in w.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    # all weights lie in one array
+    names = sorted(w)
+    flat = np.concatenate([w[k].astype(np.float32).ravel() for k in names])
+    into = np.cumsum([0, *(w[k].size for k in names)])
+    w = {k: flat[a:b].reshape(w[k].shape) for k, a, b in zip(names, into[:-1], into[1:], strict=True)}
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
     t, held, n = 0, [], 0
 
     def run(windows: np.ndarray, target: np.ndarray, most: int | None = None) -> None:
@@ -117,10 +146,14 @@ def train(w: dict, batches, rate: float, steps: int = 0, batch: int = 96, keep:
             rows = order[i : i + batch]
             _, grad = step(w, windows[rows], target[rows])
             t += 1
-            for name, g in grad.items():
-                m[name] = 0.9 * m[name] + 0.1 * g
-                v[name] = 0.98 * v[name] + 0.02 * g * g
-                w[name] = (w[name] - rate * min(1.0, t / 20) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([grad[k].ravel() for k in names])
+            np.multiply(m, np.float32(0.9), out=m)
+            np.add(m, np.float32(0.1) * g, out=m)
+            np.multiply(v, np.float32(0.98), out=v)
+            np.add(v, np.float32(0.02) * g * g, out=v)
+            far = np.sqrt(v * np.float32(1 / (1 - 0.98**t)))
+            far += np.float32(1e-8)
+            np.subtract(flat, np.float32(rate * min(1.0, t / 20) / (1 - 0.9**t)) * m / far, out=flat)
 
     for windows, target in batches:
         if n < keep:

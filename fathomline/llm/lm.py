@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm import attention
-from fathomline.llm.common import LOWER, chunks, cut, frugal, give_back, texts, word_hashes, words
+from fathomline.llm.common import LOWER, chunks, cut, frugal, give_back, keep_at_hand, texts, word_hashes, words
 from fathomline.llm.subwords import Subwords, default_tokenizer
 
 #: Bytes of text in a block, and of text whose words are counted together in a task.
@@ -102,10 +102,13 @@ def id_type(size: int) -> str:
     return "<u2" if size + 2 < 1 << 16 else "<u4"
 
 
-def codes_of(subwords: Subwords, words: list[bytes]) -> list[bytes]:
-    kind = id_type(subwords.size)
-    none = np.array([subwords.size + 1], kind).tobytes()
-    return [np.frombuffer(c, "<u4").astype(kind).tobytes() or none for c in subwords.ids_of(words)]
+def codes_of(subwords: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words laid end to end, and the first one's index of each word and the end of all."""
+    ids, size = subwords.ids_of_words(words)
+    empty = np.flatnonzero(size == 0)
+    if len(empty):
+        ids, size = np.insert(ids, np.cumsum(size)[empty], subwords.size + 1), np.maximum(size, 1)
+    return ids.astype(id_type(subwords.size)), np.concatenate([[0], np.cumsum(size)])
 
 
 def tokenised(counts: DataFrame, path: str) -> DataFrame:
@@ -114,13 +117,13 @@ def tokenised(counts: DataFrame, path: str) -> DataFrame:
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(path)
-        end = np.array([subwords.size], id_type(subwords.size)).tobytes()
         for batch in batches:
-            key = batch.column("key").to_numpy()
             subwords.cache.clear()
-            codes = codes_of(subwords, batch.column("word").to_pylist())
-            ids = [end if k == END else c for k, c in zip(key.tolist(), codes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(ids, pa.binary())], names=["key", "n", "ids"])
+            flat, into = codes_of(subwords, batch.column("word").to_pylist())
+            # the end of texts has no word, so it came as one without ids
+            flat[into[:-1][batch.column("key").to_numpy() == END]] = subwords.size
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((into * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), ids], names=["key", "n", "ids"])
 
     return counts.mapInArrow(run, "key long, n long, ids binary")
 
@@ -173,15 +176,16 @@ def draw_windows(docs: DataFrame, model, path: str) -> DataFrame:
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_at_hand()
         m, subwords = model.value, Subwords.of(path)
-        start, end = len(m["class_of"]), np.array([subwords.size], m["ids"]).tobytes()
+        start = len(m["class_of"])
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), WINDOW_BYTES):
                 low, starts, ends, first, key = words_in(data, offsets)
                 raw = low.tobytes()
                 fresh, at, which = np.unique(key, return_index=True, return_inverse=True)
-                codes = [*codes_of(subwords, [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]), end]
-                flat, into = ragged(pa.array(codes, pa.binary()), m["ids"])
+                flat, into = codes_of(subwords, [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                flat, into = np.append(flat, flat.dtype.type(subwords.size)), np.append(into, into[-1] + 1)  # the end
                 kinds = m["fine"][symbols_of(flat, into)]
                 # a text's end follows its words, also where there are none
                 word = np.insert(which, first[1:], len(fresh))
@@ -215,6 +219,7 @@ def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
 
         @frugal
         def run(batches: Iterator[pa.RecordBatch], k=k, sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            keep_at_hand()
             seen = 0
 
             def parts():
@@ -330,6 +335,7 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, model: dict |
             give_back()
 
     def judge_all(there: pa.Table, known: pa.Table) -> pa.Table:
+        keep_at_hand()
         m = model.value
         known = known.sort_by("key").combine_chunks()
         key, n = known["key"].to_numpy(), known["n"].to_numpy()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -68,7 +69,8 @@ class Subwords:
 
     def piece(self, text: str) -> bytes:
         shown = text if text.isascii() else "".join(map(LETTERS.__getitem__, text.encode()))
-        code = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        code = struct.pack(f"<{len(ids)}I", *ids)
         self.pieces[text] = code
         return code
 
@@ -78,7 +80,9 @@ class Subwords:
         rest, cache, known = [], self.cache, self.pieces
         for word in words:
             text = word.decode("utf-8", "replace")
-            if self.short and PLAIN.fullmatch(text) and "<|" not in text:
+            if self.short and word.islower() and word.isalpha():  # ASCII letters alone are one pre-token
+                cache[word] = known.get(text) or self.piece(text)
+            elif self.short and PLAIN.fullmatch(text) and "<|" not in text:
                 low = text.lower()
                 if low in known:
                     cache[word] = known[low]
@@ -96,11 +100,24 @@ class Subwords:
         """Little-endian unsigned 32-bit ids of a UTF-8 text; splits at ASCII white space."""
         return self.ids_of([text])[0]
 
-    def ids_of(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of many texts; new words of all of them are tokenised together."""
+    def make_room(self) -> None:
         if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
             self.held = 0
+
+    def ids_of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words without white space, laid end to end, and how many each has."""
+        self.make_room()
+        cache = self.cache
+        fresh = [w for w in words if w not in cache]
+        self.learn(fresh)
+        codes = list(map(cache.__getitem__, words))
+        self.held += sum(map(len, fresh)) + sum(map(len, map(cache.__getitem__, fresh)))
+        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of many texts; new words of all of them are tokenised together."""
+        self.make_room()
         new: set[bytes] = set()
         split = [t.split() for t in texts]
         for words in split:

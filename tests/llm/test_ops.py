@@ -707,3 +707,36 @@ def test_training_windows_hold_every_symbol_once(spark):
             part = flat[i : i + lm.RUN + 1]
             want.append(part + [start] * (lm.RUN + 1 - len(part)))
     assert sorted(got) == sorted(want)
+
+
+def test_attention_reuses_memory():
+    """A step of training takes next to no new pages from the system, large scores come out as with the shift of their
+    rows, and words are tokenised as texts are."""
+    import resource
+
+    from fathomline.llm.common import keep_at_hand
+    from fathomline.llm.subwords import Subwords, default_tokenizer
+
+    rng = np.random.default_rng(3)
+    w, x, y = attention.initial(), rng.integers(0, attention.KINDS, (96, 24)), rng.integers(0, attention.CLASSES, (96, 24))
+    keep_at_hand()
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(20):
+        attention.step(w, x, y)
+    before = faults()
+    for _ in range(20):
+        attention.step(w, x, y)
+    assert faults() - before < 20 * 100
+    logits = rng.standard_normal((7, 5, 9)) * np.array([1, 20, 300, 1, 1, 1, 3000])[:, None, None]
+    target = rng.integers(0, 9, (7, 5))
+    want = np.take_along_axis(logits, target[..., None], 2)[..., 0] - np.logaddexp.reduce(logits, axis=2)
+    for part in (slice(0, 1), slice(0, 7)):
+        assert np.allclose(attention.log_chosen(logits[part].copy(), target[part]), want[part])
+    big = {k: v * np.float32(30 if k in "qk" else 1) for k, v in w.items()}
+    a, v = attention.forward(big, x, 16)[5], attention.forward(big, x, 16)[4]
+    assert np.isfinite(v).all() and np.allclose(a.sum(axis=2), 1, atol=1e-5)
+    assert (a[:, np.arange(24)[None, :] > np.arange(8, 24)[:, None]] == 0).all()
+    words = ["", "the", "The", "don't", "naïve", "7up", "x" * 70, "东京", "<|endoftext|>", "the,", "Ǆ", "ſ", "a\u0301"]
+    ids, size = Subwords(default_tokenizer()).ids_of_words([x.encode() for x in words])
+    plain = Subwords(default_tokenizer()).tokenizer
+    assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])] == [plain.encode(x, add_special_tokens=False).ids for x in words]
