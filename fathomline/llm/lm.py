@@ -40,6 +40,8 @@ from fathomline.llm.subwords import Subwords, default_tokenizer
 BLOCK_BYTES, STRETCH_BYTES = 20 << 20, 24 << 20
 #: Training windows cover one word in DRAW, that is every word, and RUN symbols each; bytes of text made into windows together.
 DRAW, RUN, WINDOW_BYTES = 1, attention.CONTEXT, 1 << 21
+#: Windows of a row of the table that training reads, and rows whose windows are permuted together.
+TOGETHER, AT_ONCE = 100, 25
 #: Rounds of training, steps of a task in a round at least, and groups of tasks whose weights are averaged apart.
 ROUNDS, STEPS, SLOTS, RATE = 4, 200, 64, 0.02
 #: The end of a text among the words.
@@ -52,6 +54,15 @@ def words_in(data: np.ndarray, offsets: np.ndarray):
     return low, starts, ends, first, word_hashes(low, starts, ends).view(np.int64)
 
 
+def distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in the order that they come in, a place of each, and which of them stands at every place."""
+    found = pa.array(key).dictionary_encode()
+    which = found.indices.to_numpy()
+    fresh, at = found.dictionary.to_numpy(), np.empty(len(found.dictionary), np.int64)
+    at[which] = np.arange(len(key))
+    return fresh, at, which
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(key, word, n) of distinct words of the stretches of each task; the end of texts has the key END and no word.
 
@@ -64,10 +75,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             key, word = np.concatenate([h for h, _ in held]), pa.concat_arrays([w for _, w in held])
-            n = np.concatenate([c for *_, c in counts])
-            order = np.argsort(key, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(key[order][head]), word.take(pa.array(order[head])), pa.array(np.add.reduceat(n[order], head))], names=["key", "word", "n"])
+            fresh, at, which = distinct_keys(key)
+            n = np.bincount(which, np.concatenate([c for *_, c in counts]), len(fresh)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(fresh), word.take(pa.array(at)), pa.array(n)], names=["key", "word", "n"])
 
         counts: list[tuple] = []
         for batch in batches:
@@ -77,8 +87,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 any_text = True
                 ended += int((~held_out[a:b]).sum())
                 if len(key):
-                    fresh, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-                    n = np.bincount(inverse, np.repeat(~held_out[a:b], np.diff(first)), len(fresh))
+                    fresh, at, which = distinct_keys(key)
+                    n = np.bincount(which, np.repeat(~held_out[a:b], np.diff(first)), len(fresh))
                     length = (ends - starts)[at]
                     into = np.concatenate([[0], np.cumsum(length)])
                     spot = np.arange(into[-1]) + np.repeat(starts[at] - into[:-1], length)
@@ -102,9 +112,9 @@ def id_type(size: int) -> str:
     return "<u2" if size + 2 < 1 << 16 else "<u4"
 
 
-def codes_of(subwords: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def codes_of(subwords: Subwords, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words laid end to end, and the first one's index of each word and the end of all."""
-    ids, size = subwords.ids_of_words(words)
+    ids, size = subwords.ids_of_spans(data, starts, ends)
     empty = np.flatnonzero(size == 0)
     if len(empty):
         ids, size = np.insert(ids, np.cumsum(size)[empty], subwords.size + 1), np.maximum(size, 1)
@@ -119,7 +129,8 @@ def tokenised(counts: DataFrame, path: str) -> DataFrame:
         subwords = Subwords(path)
         for batch in batches:
             subwords.cache.clear()
-            flat, into = codes_of(subwords, batch.column("word").to_pylist())
+            data, offsets = texts(batch.column("word"))
+            flat, into = codes_of(subwords, data, offsets[:-1], offsets[1:])
             # the end of texts has no word, so it came as one without ids
             flat[into[:-1][batch.column("key").to_numpy() == END]] = subwords.size
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((into * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
@@ -170,40 +181,54 @@ def fine_kinds(counts: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.nda
     return fine, np.concatenate([kind[order], np.arange(attention.KINDS - own)[: attention.CLASSES]])
 
 
-def draw_windows(docs: DataFrame, model, path: str) -> DataFrame:
+def packed_rows(windows: np.ndarray, together: int, k: int | None) -> pa.RecordBatch:
+    """Rows (inputs, and round before them if there is one) of so many windows each; the last may have fewer."""
+    n = -(-len(windows) // together)
+    where = np.minimum(np.arange(n + 1) * together, len(windows)) * windows.shape[1] * windows.itemsize
+    inputs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(windows))])
+    if k is None:
+        return pa.RecordBatch.from_arrays([inputs], names=["inputs"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), inputs], names=["round", "inputs"])
+
+
+def draw_windows(docs: DataFrame, model, path: str, together: int = 0) -> DataFrame:
     """Windows (inputs) over all symbols of all texts, ends included: the kinds that the model reads and, last, the one
-    that follows them. Every symbol follows once; places before a text and after its end have the kind of a start."""
+    that follows them. Every symbol follows once; places before a text and after its end have the kind of a start.
+
+    With ``together`` the windows are dealt out to the rounds of training (round), and a row has so many of one round.
+    """
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_at_hand()
         m, subwords = model.value, Subwords.of(path)
-        start = len(m["class_of"])
+        start, seen = len(m["class_of"]), 0
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0), WINDOW_BYTES):
                 low, starts, ends, first, key = words_in(data, offsets)
-                raw = low.tobytes()
-                fresh, at, which = np.unique(key, return_index=True, return_inverse=True)
-                flat, into = codes_of(subwords, [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                fresh, at, which = distinct_keys(key)
+                flat, into = codes_of(subwords, low, starts[at], ends[at])
                 flat, into = np.append(flat, flat.dtype.type(subwords.size)), np.append(into, into[-1] + 1)  # the end
-                kinds = m["fine"][symbols_of(flat, into)]
+                kinds = m["fine"][symbols_of(flat, into)].astype("<u2")
                 # a text's end follows its words, also where there are none
                 word = np.insert(which, first[1:], len(fresh))
                 size = np.diff(into)[word]
                 spot = np.arange(size.sum()) + np.repeat(into[word] - np.cumsum(size) + size, size)
                 total = np.concatenate([[0], np.cumsum(size)])[first + np.arange(len(first))]
-                x, y = attention.windows_of(kinds[spot], np.diff(total), attention.CONTEXT, attention.CONTEXT, start)
-                rows = np.concatenate([x, np.where(y[:, -1:] < 0, start, y[:, -1:])], axis=1).astype("<u2")
-                if len(rows):
-                    where = np.arange(len(rows) + 1, dtype=np.int32) * rows[0].nbytes
-                    yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(where), pa.py_buffer(rows)])], names=["inputs"])
+                rows = attention.runs_of(kinds[spot], np.diff(total), RUN, start)
+                if not together:
+                    yield packed_rows(rows, 1, None)
+                else:
+                    for k in range(ROUNDS):
+                        yield packed_rows(rows[(k - seen) % ROUNDS :: ROUNDS], together, k)
+                    seen += len(rows)
         subwords.forget()
 
-    return docs.select("text").mapInArrow(run, "inputs binary")
+    return docs.select("text").mapInArrow(run, "round int, inputs binary" if together else "inputs binary")
 
 
 def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
-    """Weights after ROUNDS rounds: each task trains a copy on a part of its windows, and the copies are averaged."""
+    """Weights after ROUNDS rounds: each task trains a copy on its windows of the round, and the copies are averaged."""
     spark = windows.sparkSession
     # a start follows nothing
     goal = np.append(class_of, -1)
@@ -218,17 +243,13 @@ def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
         rate = RATE * (1 - 0.9 * k / max(1, ROUNDS - 1))
 
         @frugal
-        def run(batches: Iterator[pa.RecordBatch], k=k, sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
             keep_at_hand()
-            seen = 0
 
             def parts():
-                nonlocal seen
                 for batch in batches:
-                    rows = np.flatnonzero((np.arange(batch.num_rows) + seen) % ROUNDS == k)
-                    seen += batch.num_rows
-                    if len(rows):
-                        kinds = ragged(batch.column(0).take(pa.array(rows)), "<u2")[0].reshape(len(rows), -1).astype(np.int64)
+                    for i in range(0, batch.num_rows, AT_ONCE):
+                        kinds = ragged(batch.column(0).slice(i, AT_ONCE), "<u2")[0].reshape(-1, RUN + 1).astype(np.int64)
                         yield kinds[:, :-1], goal[kinds[:, 1:]]
 
             w, n = attention.train(attention.unpacked(sent.value, weights), parts(), rate, STEPS)
@@ -240,7 +261,7 @@ def trained(windows: DataFrame, weights: dict, class_of: np.ndarray) -> dict:
 
         kind = "slot long, n long, weights binary"
         # at most SLOTS rows of the model's size
-        rows = windows.mapInArrow(run, kind).groupBy("slot").applyInArrow(average, kind).toArrow().sort_by("slot")
+        rows = windows.filter(F.col("round") == k).select("inputs").mapInArrow(run, kind).groupBy("slot").applyInArrow(average, kind).toArrow().sort_by("slot")
         if len(rows):
             weights = attention.unpacked(average(rows)["weights"][0].as_py(), weights)
     return weights
@@ -258,7 +279,7 @@ def learn(docs: DataFrame, counts: DataFrame, path: str) -> dict:
     fine, class_of = fine_kinds(total, kind)
     words, once = (np.bincount(kind, x, attention.CLASSES) for x in (heads, singles))
     model = {"kind": kind.astype(np.int16), "fine": fine.astype(np.int16), "class_of": class_of, "inner": inner, "words": words, "recall": np.where(words > 0, (words - once + 0.5) / (words + 1), 0.0), "size": size, "ids": id_type(size)}
-    windows = cut(draw_windows(docs, spark.sparkContext.broadcast(model), path))
+    windows = cut(draw_windows(docs, spark.sparkContext.broadcast(model), path, TOGETHER))
     weights = attention.initial(classes=attention.CLASSES, kinds=len(class_of))
     return model | {"weights": trained(windows, weights, class_of)}
 
@@ -280,7 +301,7 @@ def predicted(words_and_ids: DataFrame, model) -> DataFrame:
     return words_and_ids.mapInArrow(run, "key long, n long, inner double, kinds binary")
 
 
-def word_scores(m: dict, kinds: np.ndarray, into: np.ndarray, n: np.ndarray, inner: np.ndarray, size: np.ndarray) -> np.ndarray:
+def word_scores(m: dict, kinds: np.ndarray, into: np.ndarray, log_n: np.ndarray, inner: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each word, given all before it: its first symbol's class, times what it is
     recalled or spelled with."""
     place = attention.log_probabilities(m["weights"], kinds, size, m["class_of"])
@@ -288,10 +309,9 @@ def word_scores(m: dict, kinds: np.ndarray, into: np.ndarray, n: np.ndarray, inn
         return np.zeros(0)
     head = place[into[:-1]]
     kind = m["class_of"][kinds[into[:-1]]]
-    recall = m["recall"][kind]
     with np.errstate(divide="ignore"):
-        recalled = np.log(recall * n / np.maximum(m["words"][kind], 1))
-        spelled = np.log1p(-recall) + inner + np.add.reduceat(place, into[:-1]) - head
+        recalled = np.log(m["recall"] / np.maximum(m["words"], 1))[kind] + log_n
+        spelled = np.log1p(-m["recall"])[kind] + inner + np.add.reduceat(place, into[:-1]) - head
     return head + np.logaddexp(recalled, spelled)
 
 
@@ -319,8 +339,8 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, model: dict |
         block = table["block"][0].as_py()
         keys = [np.array([END])]
         for part in table["text"].chunks:
-            keys += [np.unique(words_in(data, offsets)[4]) for *_, data, offsets in chunks(part)]
-        key = np.unique(np.concatenate(keys))
+            keys += [pa.array(words_in(data, offsets)[4]).unique().to_numpy() for *_, data, offsets in chunks(part)]
+        key = pa.array(np.concatenate(keys)).unique().to_numpy()
         return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "key": pa.array(key)})
 
     # all columns, so that the shuffle of the texts is made once for both steps
@@ -342,18 +362,21 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, model: dict |
         flat, at = ragged(known["kinds"].chunk(0), "<u2")
         within = known["inner"].to_numpy()
         length, logs = np.diff(at), np.log10((n + 1.0) / (tokens + distinct + 1.0))
+        with np.errstate(divide="ignore"):
+            log_n = np.log(n)
         end = int(np.searchsorted(key, END))
         out = []
         for batch in there.to_batches():
             for a, b, data, offsets in chunks(batch.column("text"), 1 << 19):
                 _, _, _, first, word = words_in(data, offsets)
                 # every word of the block was asked for; a text's end follows its words
-                row = np.insert(np.searchsorted(key, word), first[1:], end)
+                fresh, _, which = distinct_keys(word)
+                row = np.insert(np.searchsorted(key, fresh)[which], first[1:], end)
                 first = first + np.arange(len(first))
                 size = length[row]
                 into = np.concatenate([[0], np.cumsum(size)])
-                kinds = flat[np.arange(into[-1]) + np.repeat(at[row] - into[:-1], size)].astype(np.int64)
-                own = word_scores(m, kinds, into, n[row], within[row], np.diff(into[first]))
+                kinds = flat[np.arange(into[-1]) + np.repeat(at[row] - into[:-1], size)]
+                own = word_scores(m, kinds, into, log_n[row], within[row], np.diff(into[first]))
                 own, base = (np.array([float(np.sum(x[i:j])) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]) for x in (own, logs[row]))
                 seen = np.diff(np.concatenate([[0], np.cumsum(n[row] > 0)])[first])
                 out.append((batch.column("doc_id")[a:b], batch.column("held_out")[a:b], np.diff(first), seen, base, own / np.log(10)))

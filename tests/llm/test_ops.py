@@ -740,3 +740,37 @@ def test_attention_reuses_memory():
     ids, size = Subwords(default_tokenizer()).ids_of_words([x.encode() for x in words])
     plain = Subwords(default_tokenizer()).tokenizer
     assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])] == [plain.encode(x, add_special_tokens=False).ids for x in words]
+
+
+def test_words_are_merged_together_as_the_tokenizer_merges_them():
+    """Ids of many words at once are those of each word's own encoding, also where words are not plain or empty."""
+    rng = random.Random(5)
+    signs = ["a", "s", "t", "re", "v", "ll", "'", "'s", "'re", "7", "!", "-", "<", "|", "é", "À", "ß", "×", "÷", "ÿ", "Ÿ", "東", "é", "x" * 30, "-" * 40, "the", "ing"]
+    words = ["", "the", "don't", "it's,", "'''s", "naïve", "<|endoftext|>", "'l", "x'r", *("".join(rng.choices(signs, k=rng.randint(1, 7))).lower() for _ in range(4000))]
+    cutter = subwords.Subwords(subwords.default_tokenizer())
+    assert cutter.merges is not None
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    ids, size = cutter.ids_of_spans(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
+    want = [cutter.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(size)[:-1])] == want
+    key = np.array([7, -1, 7, 3, -1])
+    fresh, at, which = lm.distinct_keys(key)
+    assert fresh.tolist() == [7, -1, 3] and (key[at] == fresh).all() and (fresh[which] == key).all()
+
+
+def test_each_round_reads_only_windows_of_its_own(spark):
+    """Windows laid together are those laid one a row, each in one round, and a text of n words reads few rows."""
+    path = subwords.default_tokenizer()
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 7}" for j in range(i * 37))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    cutter = subwords.Subwords.of(path)
+    start = 50000
+    model = spark.sparkContext.broadcast({"class_of": np.arange(start), "fine": np.arange(2 * cutter.size + 4) % start, "ids": lm.id_type(cutter.size)})
+    one = sorted(bytes(r["inputs"]) for r in lm.draw_windows(docs, model, path).collect())
+    rows = lm.draw_windows(docs, model, path, lm.TOGETHER).collect()
+    width = 2 * (lm.RUN + 1)
+    many = [[bytes(r["inputs"])[i : i + width] for i in range(0, len(r["inputs"]), width)] for r in rows]
+    assert sorted(w for ws in many for w in ws) == one
+    assert max(map(len, many)) == lm.TOGETHER and len(rows) < len(one) / lm.TOGETHER + 2 * lm.ROUNDS
+    of = [sum(len(ws) for r, ws in zip(rows, many, strict=True) if r["round"] == k) for k in range(lm.ROUNDS)]
+    assert max(of) - min(of) <= 1 and sum(of) == len(one)
