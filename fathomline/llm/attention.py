@@ -113,8 +113,8 @@ def log_chosen(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return chosen - np.log(row_sums(np.exp(logits, out=logits)))
 
 
-def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of the places of the windows that have a target (0 or more), and its gradients."""
+def step(w: dict, windows: np.ndarray, target: np.ndarray, loss: bool = True) -> tuple[float, dict]:
+    """Mean loss of the places of the windows that have a target (0 or more), if it is asked for, and its gradients."""
     n, size = windows.shape
     known = target >= 0
     target, places = np.maximum(target, 0).ravel(), max(1, int(known.sum()))
@@ -123,7 +123,7 @@ def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]
     p = softened(logits.reshape(len(target), -1))
     spot = np.arange(len(target)) * p.shape[1] + target
     total, flat = row_sums(p), p.reshape(-1)
-    loss = -(np.log(np.maximum(flat[spot] / total, 1e-12)) * known).sum() / places
+    mean = -float((np.log(np.maximum(flat[spot] / total, 1e-12)) * known).sum() / places) if loss else 0.0
     weigh = (known / np.float32(places)).astype(p.dtype)
     p *= (weigh / total)[:, None]
     flat[spot] -= weigh
@@ -147,7 +147,7 @@ def step(w: dict, windows: np.ndarray, target: np.ndarray) -> tuple[float, dict]
     grad["place"][:size] = (np.ones(n, x.dtype) @ dx.reshape(n, -1)).reshape(size, width)
     cells = np.arange(w["embed"].size).reshape(w["embed"].shape).take(windows, axis=0)
     grad["embed"] = np.bincount(cells.ravel(), dx.ravel(), w["embed"].size).astype(x.dtype).reshape(w["embed"].shape)
-    return float(loss), grad
+    return mean, grad
 
 
 def train(w: dict, batches, rate: float, steps: int = 0, batch: int = 96, keep: int = 20_000, seed: int = 2) -> tuple[dict, int]:
@@ -172,7 +172,7 @@ def train(w: dict, batches, rate: float, steps: int = 0, batch: int = 96, keep:
             if most is not None and t >= most:
                 return
             rows = order[i : i + batch]
-            _, grad = step(w, windows[rows], target[rows])
+            _, grad = step(w, windows[rows], target[rows], loss=False)
             t += 1
             np.concatenate([grad[k].ravel() for k in names], out=g)
             np.multiply(m, np.float32(0.9), out=m)

@@ -40,6 +40,8 @@ from fathomline.llm.subwords import Subwords, default_tokenizer
 BLOCK_BYTES, STRETCH_BYTES = 20 << 20, 24 << 20
 #: Training windows cover one word in DRAW, that is every word, and RUN symbols each; bytes of text made into windows together.
 DRAW, RUN, WINDOW_BYTES = 1, attention.CONTEXT, 1 << 21
+#: Distinct words tokenised together, at least if there are so many.
+WORDS_TOGETHER = 1 << 16
 #: Windows of a row of the table that training reads, and rows whose windows are permuted together.
 TOGETHER, AT_ONCE = 100, 25
 #: Rounds of training, steps of a task in a round at least, and groups of tasks whose weights are averaged apart.
@@ -126,15 +128,26 @@ def tokenised(counts: DataFrame, path: str) -> DataFrame:
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path)
-        for batch in batches:
-            subwords.cache.clear()
+        subwords, held = Subwords.of(path), []
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
             data, offsets = texts(batch.column("word"))
             flat, into = codes_of(subwords, data, offsets[:-1], offsets[1:])
             # the end of texts has no word, so it came as one without ids
             flat[into[:-1][batch.column("key").to_numpy() == END]] = subwords.size
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((into * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), ids], names=["key", "n", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), ids], names=["key", "n", "ids"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= WORDS_TOGETHER:
+                yield flush()
+        if held:
+            yield flush()
+        subwords.forget()
 
     return counts.mapInArrow(run, "key long, n long, ids binary")
 
